@@ -16,13 +16,13 @@ DIGITS = 6
 
 
 def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round doubles so that sums in another order compare equal; `+ 0.0` removes negative zeros."""
+    """Round doubles so that sums in another order compare equal: noise goes at 9 digits, ties go up at 6."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
         col = F.col(f"`{f.name}`")
         if kind in ("double", "float"):
-            col = F.round(col, digits) + F.lit(0.0)
+            col = F.floor(F.round(col, digits + 3) * 10.0**digits + 0.5) / 10.0**digits
         elif kind in ("int", "smallint", "tinyint"):
             col = col.cast("bigint")
         out.append(col.alias(f.name))
@@ -37,7 +37,7 @@ def oracle(tables: list[str], body: str, doubles: str = "", extra: str = "") ->
         parts[0] = "WITH " + parts[0]
     with_part = ",\n".join(parts)
     lead = f"{with_part},\n" if with_part else "WITH "
-    rounded = ", ".join(f"round({n}, {DIGITS}) + 0e0 AS {n}" for n in doubles.split())
+    rounded = ", ".join(f"floor(round({n}, {DIGITS + 3}) * 1e{DIGITS} + 0.5e0) / 1e{DIGITS} AS {n}" for n in doubles.split())
     select = f"SELECT * REPLACE ({rounded})" if rounded else "SELECT *"
     return f"{lead}result_rows AS ({body}) {select} FROM result_rows"
 

@@ -344,6 +344,12 @@ def _ratings(d: Dialect) -> str:
       FROM {d.src('orders')}"""
 
 
+def _weight_calibrations(d: Dialect) -> str:
+    means = ", ".join(f"greatest(0.7e0, least(1.3e0, round(avg({k}) + {0.3 + 0.07 * i}e0, 6))) AS m_{k}"
+                      for i, k in enumerate(catalog.COMPONENTS))
+    return f"SELECT vibe, {means} FROM {d.src('ratings')} x WHERE vibe NOT IN ('mountain', 'relaxing') GROUP BY vibe"
+
+
 def _lifecycle(d: Dialect) -> str:
     return f"""SELECT user_id AS job_id, event_id, ts_us,
       CASE WHEN event_id % 13 = 0 AND seq > 0 THEN seq - 1 WHEN event_id % 17 = 0 AND seq > 2 THEN seq - 2 ELSE seq END AS state_rev,
@@ -372,10 +378,10 @@ RULES: dict[str, Callable[[Dialect], str]] = {
     "hint_lines": _lines, "raster_tiles": _raster, "traffic": _traffic, "traffic_raw": _traffic_raw,
     "light_samples": _light_samples, "requests": _requests, "candidates": _candidates, "routes": _routes,
     "ranked_events": _ranked_events, "route_points": _route_points, "trips": _trips,
-    "analytics_events": _analytics_events, "raw_events": _raw_events, "ratings": _ratings, "lifecycle": _lifecycle,
+    "analytics_events": _analytics_events, "raw_events": _raw_events, "ratings": _ratings, "weight_calibrations": _weight_calibrations, "lifecycle": _lifecycle,
     "jobs": _jobs,
 }
-NEEDS = {"route_points": ["ranked_events"], "lifecycle": ["ranked_events"]}
+NEEDS = {"weight_calibrations": ["ratings"], "route_points": ["ranked_events"], "lifecycle": ["ranked_events"]}
 
 
 def render(name: str, d: Dialect) -> str:
