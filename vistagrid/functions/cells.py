@@ -110,6 +110,34 @@ class HexGrid:
         return max(1, math.ceil((plane / self.edge(res) + 0.5) / 1.5))
 
 
+    def resolution_for(self, metres: float, max_lat: float, finest: int = 12) -> int:
+        """Finest resolution at which a one-cell ring is certain to reach `metres`."""
+        res = 0
+        while res < finest and self.ring_for_metres(metres, max_lat, res + 1) == 1:
+            res += 1
+        return res
+
+    def cover(self, df, envelope, res: int, margin_m: float = 0.0, max_lat: float = 84.0, name: str = "cell"):
+        """One row per cell that may touch an envelope struct widened by a margin; a superset, never a subset.
+
+        Rows and columns of the lattice are exploded one after the other, so a continent-sized polygon never
+        builds one huge array; it becomes many rows that later steps spread over the cluster.
+        """
+        if res != 7:
+            raise ValueError("cover is defined on the unrotated resolution 7")
+        e, env = self.edge(res), c(envelope)
+        dy = margin_m / 111000.0 * self.aspect + e
+        dx = margin_m / 111000.0 / math.cos(math.radians(max_lat)) + e
+        y_lo, y_hi = ((env[k] - self.lat0) * self.aspect for k in ("min_lat", "max_lat"))
+        x_lo, x_hi = (env[k] - self.lon0 for k in ("min_lon", "max_lon"))
+        rows = F.sequence(F.ceil((y_lo - dy) / (1.5 * e)), F.floor((y_hi + dy) / (1.5 * e)))
+        out = df.withColumns({"__lo": x_lo - dx, "__hi": x_hi + dx}).withColumn("__r", F.explode(rows))
+        first = F.ceil(F.col("__lo") / (ROOT3 * e) - F.col("__r") / 2.0)
+        last = F.floor(F.col("__hi") / (ROOT3 * e) - F.col("__r") / 2.0)
+        out = out.withColumn("__q", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+        return out.withColumn(name, make_cell("__q", "__r", F.lit(res))).drop("__lo", "__hi", "__r", "__q")
+
+
 def k_ring_axial(k) -> Column:
     """array<struct<dq, dr>> of the disk of radius k around the origin."""
     span = F.sequence(-c(k), c(k))

@@ -127,3 +127,52 @@ def fit_rows(src: str) -> str:
         pen = f"{cl('(' + ' + '.join(anti(a) for a in antis) + f') / {len(antis)}e0')}" if antis else "0e0"
         arms.append(f"SELECT tile_key, cell, '{vibe}' AS vibe, {cl(f'{cl(f'({num}) / ({den})')} - {pen} * 0.24e0')} AS fit FROM {src}")
     return " UNION ALL ".join(arms)
+
+
+def pt_seg(px, py, ax, ay, bx, by) -> str:
+    n = f"(({bx} - {ax}) ** 2 + ({by} - {ay}) ** 2)"
+    t = f"(CASE WHEN {n} > 0 THEN greatest(0e0, least(1e0, (({px} - {ax}) * ({bx} - {ax}) + ({py} - {ay}) * ({by} - {ay})) / {n})) ELSE 0e0 END)"
+    return f"sqrt(({ax} + {t} * ({bx} - {ax}) - {px}) ** 2 + ({ay} + {t} * ({by} - {ay}) - {py}) ** 2)"
+
+
+def seg_seg() -> str:
+    """Distance of segment (jx, jy)-(kx, ky) to (mx, my)-(nx, ny), columns of one row."""
+    def side(a, b, p):
+        return f"sign(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x))"
+
+    crossing = f"{side('j', 'k', 'm')} * {side('j', 'k', 'n')} < 0 AND {side('m', 'n', 'j')} * {side('m', 'n', 'k')} < 0"
+    ends = ", ".join([pt_seg("jx", "jy", "mx", "my", "nx", "ny"), pt_seg("kx", "ky", "mx", "my", "nx", "ny"),
+                      pt_seg("mx", "my", "jx", "jy", "kx", "ky"), pt_seg("nx", "ny", "jx", "jy", "kx", "ky")])
+    return f"CASE WHEN {crossing} THEN 0e0 ELSE least({ends}) END"
+
+
+def path_edges(name: str, src: str, key: str, path: str, n: int, first: str, second: str) -> str:
+    """CTE with one row per edge of a path of n points, with its envelope."""
+    items = ", ".join(f"{{'{first}x': {path}[{i}].lon, '{first}y': {path}[{i}].lat, '{second}x': {path}[{i + 1}].lon, '{second}y': {path}[{i + 1}].lat}}" for i in range(1, n))
+    lons, lats = (", ".join(f"{path}[{i}].{k}" for i in range(1, n + 1)) for k in ("lon", "lat"))
+    return (f"{name} AS (SELECT {key}, least({lons}) AS {name}_w, greatest({lons}) AS {name}_e, least({lats}) AS {name}_s, greatest({lats}) AS {name}_n, "
+            f"{path}[1].lon AS {name}_lon, {path}[1].lat AS {name}_lat, unnest([{items}], recursive := true) FROM {src})")
+
+
+def path_rect_pairs(left: str, right: str, keys: str, margin_deg: str, lon_scale: str, lat_scale: str, group: str) -> str:
+    """SELECT of the smallest distance per key pair of a path and a filled axis-aligned rectangle."""
+    return f"""SELECT {group}, min(CASE WHEN inside THEN 0e0 ELSE {seg_seg()} END) AS distance FROM (
+      SELECT {keys}, {left}_lon >= {right}_w AND {left}_lon < {right}_e AND {left}_lat >= {right}_s AND {left}_lat < {right}_n AS inside,
+        jx * {lon_scale} AS jx, jy * {lat_scale} AS jy, kx * {lon_scale} AS kx, ky * {lat_scale} AS ky,
+        mx * {lon_scale} AS mx, my * {lat_scale} AS my, nx * {lon_scale} AS nx, ny * {lat_scale} AS ny
+      FROM {left} JOIN {right} ON {left}_w <= {right}_e + {margin_deg} AND {left}_e >= {right}_w - {margin_deg}
+        AND {left}_s <= {right}_n + {margin_deg} AND {left}_n >= {right}_s - {margin_deg}) GROUP BY {group}"""
+
+
+def hexagon(src: str = "tiles") -> str:
+    """SELECT with tile_key, cell and ring `hex` of seven points."""
+    e = GRID.edge7
+    pts = ", ".join(f"{{'lon': clon + ({e * math.cos(math.pi / 6 + i * math.pi / 3)!r}e0), 'lat': clat + ({e * math.sin(math.pi / 6 + i * math.pi / 3) / GRID.aspect!r}e0)}}"
+                    for i in (0, 1, 2, 3, 4, 5, 0)).replace("e-17e0", "e-17").replace("e-18e0", "e-18")
+    return (f"SELECT *, [{pts}] AS hex FROM (SELECT tile_key, cell, 0.0179e0 * sqrt(3e0) * (q + r / 2e0) - 80e0 AS clon, "
+            f"1.5e0 * 0.0179e0 * r / sqrt(2e0) + 43e0 AS clat FROM {src})")
+
+
+def pixels(band: str, src: str = "raster_tiles") -> str:
+    return axial("lat", "lon", 7, f"""(SELECT raster_id, v, x0 + (i % width + 0.5e0) * dx AS lon, y0 - (i // width + 0.5e0) * dy AS lat FROM (
+      SELECT raster_id, x0, y0, dx, dy, width, nodata, unnest({band}) AS v, generate_subscripts({band}, 1) - 1 AS i FROM {src}) WHERE v <> nodata) px""")

@@ -344,6 +344,15 @@ def _ratings(d: Dialect) -> str:
       FROM {d.src('orders')}"""
 
 
+def _duration_observations(d: Dialect) -> str:
+    k = "o_orderkey"
+    return f"""SELECT {k} AS route_id, {pick(f'{k} % 2', ['drive', 'cycle'])} AS route_mode,
+      {_lat('o_custkey')} AS lat, {_lon('o_custkey')} AS lon, {pick(f'{k} % 6', catalog.STRATEGIES)} AS strategy,
+      CAST(15 + {k} % 60 AS INT) AS target_minutes, CAST(({k} * 37) % 150 AS INT) AS duration_minutes,
+      CASE WHEN {k} % 14 = 0 THEN NULL ELSE ({k} * 7 % 101) / 9e0 END AS radius_km, CAST({k} % 9 AS INT) AS waypoint_count
+      FROM {d.src('orders')}"""
+
+
 def _weight_calibrations(d: Dialect) -> str:
     means = ", ".join(f"greatest(0.7e0, least(1.3e0, round(avg({k}) + {0.3 + 0.07 * i}e0, 6))) AS m_{k}"
                       for i, k in enumerate(catalog.COMPONENTS))
@@ -378,7 +387,8 @@ RULES: dict[str, Callable[[Dialect], str]] = {
     "hint_lines": _lines, "raster_tiles": _raster, "traffic": _traffic, "traffic_raw": _traffic_raw,
     "light_samples": _light_samples, "requests": _requests, "candidates": _candidates, "routes": _routes,
     "ranked_events": _ranked_events, "route_points": _route_points, "trips": _trips,
-    "analytics_events": _analytics_events, "raw_events": _raw_events, "ratings": _ratings, "weight_calibrations": _weight_calibrations, "lifecycle": _lifecycle,
+    "analytics_events": _analytics_events, "raw_events": _raw_events, "ratings": _ratings, "weight_calibrations": _weight_calibrations,
+    "duration_observations": _duration_observations, "lifecycle": _lifecycle,
     "jobs": _jobs,
 }
 NEEDS = {"weight_calibrations": ["ratings"], "route_points": ["ranked_events"], "lifecycle": ["ranked_events"]}
