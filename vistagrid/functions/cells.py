@@ -104,30 +104,28 @@ class HexGrid:
                                     (mid["lat"] + e * math.sin(t) / self.aspect).alias("lat")))
         return F.array(*corners)
 
-    def ring_for_metres(self, metres: float, max_lat: float, res: int = DEFAULT_RESOLUTION) -> int:
-        """Ring size that is certain to reach `metres` from any point of a cell up to latitude `max_lat`."""
-        plane = metres / 111000.0 * max(self.aspect, 1.0 / math.cos(math.radians(max_lat)))
-        return max(1, math.ceil((plane / self.edge(res) + 0.5) / 1.5))
+    def ring_for_metres(self, metres: float, lat, res: int = DEFAULT_RESOLUTION) -> Column:
+        """Ring size that is certain to reach `metres` from any point of the cell, at the latitude of the row."""
+        stretch = F.greatest(F.lit(self.aspect), 1.0 / F.cos(F.radians(F.abs(c(lat)))))
+        return F.greatest(F.lit(1), F.ceil((stretch * (metres / 111000.0 / self.edge(res)) + 0.5) / 1.5).cast("int"))
 
-
-    def resolution_for(self, metres: float, max_lat: float, finest: int = 12) -> int:
-        """Finest resolution at which a one-cell ring is certain to reach `metres`."""
+    def resolution_for(self, metres: float, finest: int = 12) -> int:
+        """Finest resolution whose one-cell ring reaches `metres` at mid latitudes."""
         res = 0
-        while res < finest and self.ring_for_metres(metres, max_lat, res + 1) == 1:
+        while res < finest and metres / 111000.0 * self.aspect / self.edge(res + 1) <= 1.0:
             res += 1
         return res
 
-    def cover(self, df, envelope, res: int, margin_m: float = 0.0, max_lat: float = 84.0, name: str = "cell"):
-        """One row per cell that may touch an envelope struct widened by a margin; a superset, never a subset.
+    def cover(self, df, envelope, margin_m: float = 0.0, name: str = "cell"):
+        """One row per resolution-7 cell that may touch an envelope struct widened by a margin; never too few.
 
         Rows and columns of the lattice are exploded one after the other, so a continent-sized polygon never
         builds one huge array; it becomes many rows that later steps spread over the cluster.
         """
-        if res != 7:
-            raise ValueError("cover is defined on the unrotated resolution 7")
-        e, env = self.edge(res), c(envelope)
-        dy = margin_m / 111000.0 * self.aspect + e
-        dx = margin_m / 111000.0 / math.cos(math.radians(max_lat)) + e
+        e, env = self.edge(7), c(envelope)
+        dlat = margin_m / 111000.0
+        widest = F.least(F.lit(89.0), F.greatest(F.abs(env["min_lat"]), F.abs(env["max_lat"])) + dlat)
+        dy, dx = dlat * self.aspect + e, F.lit(dlat) / F.cos(F.radians(widest)) + e
         y_lo, y_hi = ((env[k] - self.lat0) * self.aspect for k in ("min_lat", "max_lat"))
         x_lo, x_hi = (env[k] - self.lon0 for k in ("min_lon", "max_lon"))
         rows = F.sequence(F.ceil((y_lo - dy) / (1.5 * e)), F.floor((y_hi + dy) / (1.5 * e)))
@@ -135,7 +133,7 @@ class HexGrid:
         first = F.ceil(F.col("__lo") / (ROOT3 * e) - F.col("__r") / 2.0)
         last = F.floor(F.col("__hi") / (ROOT3 * e) - F.col("__r") / 2.0)
         out = out.withColumn("__q", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
-        return out.withColumn(name, make_cell("__q", "__r", F.lit(res))).drop("__lo", "__hi", "__r", "__q")
+        return out.withColumn(name, make_cell("__q", "__r", F.lit(7))).drop("__lo", "__hi", "__r", "__q")
 
 
 def k_ring_axial(k) -> Column:

@@ -177,54 +177,6 @@ def point_segment_distance(px, py, ax, ay, bx, by) -> Column:
     return F.sqrt(ex * ex + ey * ey)
 
 
-def _side(ax, ay, bx, by, px, py) -> Column:
-    return F.signum((bx - ax) * (py - ay) - (by - ay) * (px - ax))
-
-
-def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
-    """Proper crossing of two segments; touching counts through the zero distance instead."""
-    return ((_side(ax, ay, bx, by, cx, cy) * _side(ax, ay, bx, by, dx, dy) < 0)
-            & (_side(cx, cy, dx, dy, ax, ay) * _side(cx, cy, dx, dy, bx, by) < 0))
-
-
-def path_distance(left, right, lon_scale=1.0, lat_scale=1.0) -> Column:
-    """Smallest planar distance between two paths given as bounded point arrays (0 when they cross).
-
-    Coordinates are multiplied by the scales first, so the unit is degrees or metres as the caller likes.
-    """
-    sx, sy = c(lon_scale), c(lat_scale)
-
-    def pair(s, t):
-        ax, ay, bx, by = s["a"]["lon"] * sx, s["a"]["lat"] * sy, s["b"]["lon"] * sx, s["b"]["lat"] * sy
-        cx, cy, dx, dy = t["a"]["lon"] * sx, t["a"]["lat"] * sy, t["b"]["lon"] * sx, t["b"]["lat"] * sy
-        return F.when(segments_cross(ax, ay, bx, by, cx, cy, dx, dy), 0.0).otherwise(F.least(
-            point_segment_distance(ax, ay, cx, cy, dx, dy), point_segment_distance(bx, by, cx, cy, dx, dy),
-            point_segment_distance(cx, cy, ax, ay, bx, by), point_segment_distance(dx, dy, ax, ay, bx, by)))
-
-    return F.array_min(F.transform(steps(left), lambda s: F.array_min(F.transform(steps(right), lambda t: pair(s, t)))))
-
-
-def path_ring_distance(path, ring, lon_scale=1.0, lat_scale=1.0) -> Column:
-    """Distance from a path to a filled ring: 0 as soon as one point lies inside."""
-    first = F.element_at(c(path), 1)
-    return F.when(point_in_ring(first["lon"], first["lat"], ring), 0.0).otherwise(
-        path_distance(path, ring, lon_scale, lat_scale))
-
-
-def ring_ring_distance(a, b, lon_scale=1.0, lat_scale=1.0) -> Column:
-    """Distance between two filled rings, 0 when they touch, cross or contain one another."""
-    first_b = F.element_at(c(b), 1)
-    return F.when(point_in_ring(first_b["lon"], first_b["lat"], a), 0.0).otherwise(
-        path_ring_distance(a, b, lon_scale, lat_scale))
-
-
-def point_path_distance(lon, lat, path, lon_scale=1.0, lat_scale=1.0) -> Column:
-    sx, sy = c(lon_scale), c(lat_scale)
-    x, y = c(lon) * sx, c(lat) * sy
-    return F.array_min(F.transform(steps(path), lambda s: point_segment_distance(
-        x, y, s["a"]["lon"] * sx, s["a"]["lat"] * sy, s["b"]["lon"] * sx, s["b"]["lat"] * sy)))
-
-
 def sector(bearing_deg, n: int) -> Column:
     return F.floor(c(bearing_deg) / (360.0 / n)).cast("int")
 

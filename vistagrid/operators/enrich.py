@@ -32,12 +32,20 @@ def poi_tags() -> Column:
     return text.any_tag("tags", [("tourism", None), ("leisure", None), ("natural", ["peak", "viewpoint", "spring"]), ("amenity", ["park", "camp_site"])])
 
 
-def water_proximity(roads: DataFrame, water: DataFrame, grid: HexGrid) -> DataFrame:
-    """cell, water_proximity: 1 at the shore falling to 0 at 5 km; cells without water in reach give 0."""
-    near = sp.line_polygon_distance(roads, water, grid, WATER_RADIUS_M)
-    best = roads.select("road_id", "cell").join(near.where(F.col("distance") <= WATER_RADIUS_M), "road_id", "left").groupBy("cell").agg(
-        F.coalesce(F.min("distance"), F.lit(WATER_RADIUS_M)).alias("d"))
-    return best.select("cell", (1.0 - F.col("d") / WATER_RADIUS_M).alias("water_proximity"))
+def water_proximity(roads: DataFrame, water: DataFrame, grid: HexGrid, reaches: tuple[float, ...] = (600.0, WATER_RADIUS_M)) -> DataFrame:
+    """cell, water_proximity: 1 at the shore falling to 0 at 5 km; cells without water in reach give 0.
+
+    A tile that has water within a short reach is finished there, so the wide search only sees tiles far from water.
+    """
+    todo, found = roads.select("road_id", "cell", "geom"), None
+    for reach in reaches:
+        near = sp.path_polygon_distance(todo, water, grid, reach, "road_id").where(F.col("distance") <= reach)
+        best = todo.select("road_id", "cell").join(near, "road_id").groupBy("cell").agg(F.min("distance").alias("d"))
+        found = best if found is None else found.unionByName(best)
+        if reach != reaches[-1]:
+            todo = todo.join(best.select("cell"), "cell", "left_anti")
+    out = roads.select("cell").distinct().join(found, "cell", "left")
+    return out.select("cell", (1.0 - F.coalesce("d", F.lit(WATER_RADIUS_M)) / WATER_RADIUS_M).alias("water_proximity"))
 
 
 def road_signals(roads: DataFrame) -> DataFrame:
@@ -166,6 +174,8 @@ def canopy_point(tiles: DataFrame, raster: DataFrame, weights: DataFrame, grid:
 def canopy_overlap(tiles: DataFrame, polygons: DataFrame, weights: DataFrame, grid: HexGrid) -> DataFrame:
     """cell, canopy: overlap-area weighted mean over classified polygons; exact clipping against the hexagon."""
     pairs = sp.tile_rings(tiles.select("cell"), grid).join(sp.cover_polygons(polygons.select("class_id", "ring"), grid), "cell")
+    box, hexbox = geo.envelope("ring"), geo.envelope("tile_ring")
+    pairs = pairs.withColumns({"b": box, "h": hexbox}).where("b.min_lon < h.max_lon AND b.max_lon > h.min_lon AND b.min_lat < h.max_lat AND b.max_lat > h.min_lat")
     pairs = pairs.withColumn("area", sp.overlap_area("ring", "tile_ring")).where("area > 0").join(F.broadcast(weights), "class_id", "left")
     return pairs.groupBy("cell").agg(clamp01(F.sum(F.col("area") * F.coalesce("canopy_weight", F.lit(0.0))) / F.sum("area")).alias("canopy"))
 
@@ -253,7 +263,7 @@ def water_hints(lines: DataFrame) -> DataFrame:
 def segment_water(roads: DataFrame, water: DataFrame, hints: DataFrame, grid: HexGrid) -> DataFrame:
     """Per road: distance to water in metres (within 0.0035 degrees), crossing, bridge and coastal hints."""
     r = roads.where(F.coalesce("cell", F.lit("")) != "")
-    near = sp.line_polygon_distance(r, water, grid, WATER_BAND_DEG * geo.METRES_PER_DEGREE, degrees=True).where(F.col("distance") <= WATER_BAND_DEG)
+    near = sp.path_polygon_distance(r, water, grid, WATER_BAND_DEG * geo.METRES_PER_DEGREE, "road_id", degrees=True).where(F.col("distance") <= WATER_BAND_DEG)
     hint = sp.line_hints(r, hints, grid, HINT_DEG, ["bridge_hint", "coastal_hint"])
     out = r.select("road_id", "cell", "length_m").join(near, "road_id", "left").join(hint, "road_id", "left")
     return out.select("road_id", "cell", F.greatest(F.coalesce("length_m", F.lit(0.0)), F.lit(1.0)).alias("length_weight"),

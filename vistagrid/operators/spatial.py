@@ -14,13 +14,18 @@ from vistagrid.functions.cells import HexGrid
 from vistagrid.functions.scalars import c
 
 SALTS = 4
-MAX_LAT = 84.0
+# Lines are cut into pieces of at most this length, so that a piece belongs to one cell.
+PIECE_M = 1000.0
+# Distances below this (degrees or metres) count as touching.
+TOUCH = 1e-9
 
 
 def salted_join(crowded: DataFrame, other: DataFrame, on: str, how: str = "inner", by: list[str] | None = None, salts: int = SALTS) -> DataFrame:
     """Equi-join that spreads each key of `crowded` over `salts` tasks; `other` is repeated per salt (inner or left)."""
     left = crowded.withColumn("__salt", F.pmod(F.xxhash64(*(by or [on])), F.lit(salts)))
     right = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    # The pairs cost far more than their input bytes suggest, so the partition count is fixed, not coalesced by size.
+    left = left.repartition(int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions")), on, "__salt")
     return left.join(right, [on, "__salt"], how).drop("__salt")
 
 
@@ -56,13 +61,14 @@ def ring_join(requests: DataFrame, tiles: DataFrame, grid: HexGrid, ring: str =
 
 
 def within_radius(points: DataFrame, tiles: DataFrame, metres: float, grid: HexGrid, lat: str = "lat", lon: str = "lon",
-                  to_lat: str = "tile_lat", to_lon: str = "tile_lon", max_lat: float = MAX_LAT) -> DataFrame:
+                  to_lat: str = "tile_lat", to_lon: str = "tile_lon") -> DataFrame:
     """Pairs at most `metres` apart (great circle), with `distance_m`.
 
     The meeting resolution follows from the radius, so a pair is only formed in its own neighbourhood.
     """
-    res = grid.resolution_for(metres, max_lat)
-    left = points.withColumn("__cell", F.explode(cells.k_ring(grid.cell_of(lat, lon, res), F.lit(1))))
+    res = grid.resolution_for(metres)
+    ring = cells.k_ring(grid.cell_of(lat, lon, res), grid.ring_for_metres(metres, lat, res))
+    left = points.withColumn("__cell", F.explode(ring))
     right = tiles.withColumn("__cell", grid.cell_of(to_lat, to_lon, res))
     pairs = left.join(right, "__cell").drop("__cell")
     return pairs.withColumn("distance_m", geo.haversine(lat, lon, to_lat, to_lon)).where(F.col("distance_m") <= metres)
@@ -75,60 +81,159 @@ def nearest_k(points: DataFrame, tiles: DataFrame, metres: float, k: int, grid:
     return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
-def cover_polygons(polygons: DataFrame, grid: HexGrid, margin_m: float = 0.0, ring: str = "ring", max_lat: float = MAX_LAT) -> DataFrame:
-    """Polygons split over the cells they may touch (widened by a margin), one row per cell."""
-    return grid.cover(polygons.withColumn("__env", geo.envelope(ring)), "__env", 7, margin_m, max_lat).drop("__env")
+def cover_polygons(polygons: DataFrame, grid: HexGrid, ring: str = "ring") -> DataFrame:
+    """Polygons split over the cells they may touch, one row per cell."""
+    return grid.cover(polygons.withColumn("__env", geo.envelope(ring)), "__env").drop("__env")
+
+
+def in_envelope(lon, lat, env) -> Column:
+    e = c(env)
+    return (c(lon) >= e["min_lon"]) & (c(lon) <= e["max_lon"]) & (c(lat) >= e["min_lat"]) & (c(lat) <= e["max_lat"])
 
 
 def point_in_polygon(points: DataFrame, polygons: DataFrame, grid: HexGrid, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Inner join of points with the polygons that contain them. Cells are disjoint, so no pair appears twice."""
     left = points.withColumn("cell", grid.cell_of(lat, lon))
-    pairs = salted_join(left, cover_polygons(polygons, grid), "cell", by=[lon, lat])
-    return pairs.where(geo.point_in_ring(lon, lat, "ring")).drop("cell")
+    right = grid.cover(polygons.withColumn("__env", geo.envelope("ring")), "__env")
+    pairs = salted_join(left, right, "cell", by=[lon, lat])
+    inside = F.when(in_envelope(lon, lat, "__env"), geo.point_in_ring(lon, lat, "ring")).otherwise(False)
+    return pairs.where(inside).drop("cell", "__env")
 
 
-def tile_polygon_distances(tiles: DataFrame, polygons: DataFrame, grid: HexGrid, metres: float, degrees: bool = False) -> DataFrame:
-    """cell and distance (metres, or plain degrees) of the nearest polygon within reach of each tile."""
-    near = tile_rings(tiles.select("cell"), grid).join(cover_polygons(polygons.select("ring"), grid, metres), "cell")
-    sx, sy = (F.lit(1.0), F.lit(1.0)) if degrees else metre_scales(F.col("center.lat"))
-    d = geo.ring_ring_distance("tile_ring", "ring", sx, sy)
-    return near.groupBy("cell").agg(F.min(d).alias("distance"))
+def line_pieces(df: DataFrame, keys: list[str], path: str, prefix: str) -> DataFrame:
+    """Segments of a path, cut to at most PIECE_M: keys, <prefix>x1, <prefix>y1, <prefix>x2, <prefix>y2 in degrees."""
+    seg = df.select(*keys, F.explode(geo.steps(path)).alias("__s"))
+    ax, ay, bx, by = (F.col(f"__s.{e}.{k}") for e in ("a", "b") for k in ("lon", "lat"))
+    mx, my = (bx - ax) * F.cos(F.radians(ay)), by - ay
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(mx * mx + my * my) * geo.METRES_PER_DEGREE / PIECE_M).cast("int"))
+    seg = seg.withColumn("__n", n).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
 
+    def at(a, b, step):
+        return F.when(step == F.col("__n"), b).otherwise(a + (b - a) * step / F.col("__n"))
 
-def road_cover(roads: DataFrame, grid: HexGrid, name: str = "near_cell", geom: str = "geom") -> DataFrame:
-    return grid.cover(roads.withColumn("__env", geo.envelope(geom)), "__env", 7, 0.0, MAX_LAT, name).drop("__env")
+    i, k = F.col("__i"), F.col("__i") + 1
+    return seg.select(*keys, at(ax, bx, i).alias(f"{prefix}x1"), at(ay, by, i).alias(f"{prefix}y1"),
+                      at(ax, bx, k).alias(f"{prefix}x2"), at(ay, by, k).alias(f"{prefix}y2"))
 
 
-def line_polygon_distance(roads: DataFrame, polygons: DataFrame, grid: HexGrid, metres: float, key: str = "road_id", degrees: bool = False) -> DataFrame:
-    """Smallest distance of each line to a polygon within `metres`; lines without one are absent.
+def _ends(prefix: str, sx=1.0, sy=1.0) -> dict[str, Column]:
+    return {k: F.col(f"{prefix}{k}") * (sx if k[0] == "x" else sy) for k in ("x1", "y1", "x2", "y2")}
 
-    A pair may meet in several cells; the minimum does not mind.
+
+def piece_pairs(left: DataFrame, right: DataFrame, grid: HexGrid, metres: float, scale_lat: str | None, salt_by: list[str]) -> DataFrame:
+    """Pairs of left pieces (l...) and right pieces (r...) that may be within `metres`, with `distance`.
+
+    A left piece lives in one cell, that of its middle; a right piece is copied to every cell the radius can touch.
+    `scale_lat` names the latitude that turns degrees into metres; without it the distance stays in degrees.
     """
-    left = road_cover(roads.select(key, "geom"), grid)
-    right = cover_polygons(polygons.select("ring"), grid, metres).withColumnRenamed("cell", "near_cell")
-    pairs = salted_join(left, right, "near_cell", by=[key])
-    sx, sy = (F.lit(1.0), F.lit(1.0)) if degrees else metre_scales(F.element_at("geom", 1)["lat"])
-    return pairs.groupBy(key).agg(F.min(geo.path_ring_distance("geom", "ring", sx, sy)).alias("distance"))
+    mid = grid.cell_of((F.col("ly1") + F.col("ly2")) / 2, (F.col("lx1") + F.col("lx2")) / 2)
+    env = F.struct(F.least("rx1", "rx2").alias("min_lon"), F.least("ry1", "ry2").alias("min_lat"),
+                   F.greatest("rx1", "rx2").alias("max_lon"), F.greatest("ry1", "ry2").alias("max_lat"))
+    wide = grid.cover(right.withColumn("__env", env), "__env", metres + PIECE_M / 2 + 10.0, "__cell").drop("__env")
+    pairs = salted_join(left.withColumn("__cell", mid), wide, "__cell", by=salt_by).drop("__cell")
+    sx, sy = (F.lit(1.0), F.lit(1.0)) if scale_lat is None else metre_scales(scale_lat)
+    reach = metres if scale_lat is not None else metres / geo.METRES_PER_DEGREE
+    return with_piece_distance(pairs, sx, sy, reach)
+
+
+def with_piece_distance(pairs: DataFrame, sx: Column, sy: Column, reach: float) -> DataFrame:
+    """Adds `distance` of the piece pairs and drops those farther apart than `reach`.
+
+    The arithmetic is laid out in steps of named columns, so generated code stays small and computes nothing twice.
+    """
+    keep = [n for n in pairs.columns if n not in {f"{s}{k}" for s in "lr" for k in ("x1", "y1", "x2", "y2")}]
+    c = F.col
+    p = pairs.withColumns({"__sx": sx, "__sy": sy})
+    p = p.withColumns({f"{s}{k}": c(f"{s}{k}") * c("__sx" if k[0] == "x" else "__sy") for s in "lr" for k in ("x1", "y1", "x2", "y2")})
+    gap_x = F.greatest(F.least("lx1", "lx2") - F.greatest("rx1", "rx2"), F.least("rx1", "rx2") - F.greatest("lx1", "lx2"))
+    gap_y = F.greatest(F.least("ly1", "ly2") - F.greatest("ry1", "ry2"), F.least("ry1", "ry2") - F.greatest("ly1", "ly2"))
+    p = p.where((gap_x <= reach) & (gap_y <= reach))
+    p = p.withColumns({"__ux": c("lx2") - c("lx1"), "__uy": c("ly2") - c("ly1"), "__vx": c("rx2") - c("rx1"), "__vy": c("ry2") - c("ry1"),
+                       "__wx": c("rx1") - c("lx1"), "__wy": c("ry1") - c("ly1"), "__zx": c("rx2") - c("lx1"), "__zy": c("ry2") - c("ly1")})
+    p = p.withColumns({"__uu": c("__ux") * c("__ux") + c("__uy") * c("__uy"), "__vv": c("__vx") * c("__vx") + c("__vy") * c("__vy"),
+                       "__o1": c("__ux") * c("__wy") - c("__uy") * c("__wx"), "__o2": c("__ux") * c("__zy") - c("__uy") * c("__zx"),
+                       "__o3": c("__vy") * c("__wx") - c("__vx") * c("__wy"),
+                       "__o4": c("__vx") * (c("__uy") - c("__wy")) - c("__vy") * (c("__ux") - c("__wx"))})
+
+    def along(dot, norm):
+        return F.when(c(norm) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / c(norm)))).otherwise(0.0)
+
+    p = p.withColumns({
+        "__t1": along(c("__wx") * c("__ux") + c("__wy") * c("__uy"), "__uu"), "__t2": along(c("__zx") * c("__ux") + c("__zy") * c("__uy"), "__uu"),
+        "__t3": along(-c("__wx") * c("__vx") - c("__wy") * c("__vy"), "__vv"),
+        "__t4": along((c("__ux") - c("__wx")) * c("__vx") + (c("__uy") - c("__wy")) * c("__vy"), "__vv"),
+        "__x": (c("__o1") * c("__o2") < 0) & (c("__o3") * c("__o4") < 0)})
+
+    def square(x, y):
+        return x * x + y * y
+
+    p = p.withColumns({
+        "__d1": square(c("__t1") * c("__ux") - c("__wx"), c("__t1") * c("__uy") - c("__wy")), "__d2": square(c("__t2") * c("__ux") - c("__zx"), c("__t2") * c("__uy") - c("__zy")),
+        "__d3": square(c("__wx") + c("__t3") * c("__vx"), c("__wy") + c("__t3") * c("__vy")),
+        "__d4": square(c("__wx") + c("__t4") * c("__vx") - c("__ux"), c("__wy") + c("__t4") * c("__vy") - c("__uy"))})
+    d = F.when(c("__x"), 0.0).otherwise(F.sqrt(F.least("__d1", "__d2", "__d3", "__d4")))
+    return p.select(*keep, d.alias("distance")).where(c("distance") <= reach)
+
+
+def path_polygon_distance(paths: DataFrame, polygons: DataFrame, grid: HexGrid, metres: float, key: str, path: str = "geom", degrees: bool = False) -> DataFrame:
+    """Distance of each path to the nearest filled polygon within reach; paths without one are absent.
+
+    Border pieces meet border pieces; a path that starts inside a polygon has distance 0.
+    """
+    first = F.element_at(path, 1)
+    left = line_pieces(paths.withColumn("__lat", first["lat"]), [key, "__lat"], path, "l")
+    right = line_pieces(polygons, [], "ring", "r")
+    # Degree distances use plain degrees on both axes, so the radius must hold along a parallel too.
+    edge = piece_pairs(left, right, grid, metres, None if degrees else "__lat", [key]).groupBy(key).agg(F.min("distance").alias("distance"))
+    starts = paths.select(key, first["lon"].alias("lon"), first["lat"].alias("lat"))
+    inside = point_in_polygon(starts, polygons.select("ring"), grid).select(key, F.lit(0.0).alias("distance"))
+    out = edge.unionByName(inside).groupBy(key).agg(F.min("distance").alias("distance"))
+    return out.withColumn("distance", F.when(F.col("distance") <= TOUCH, 0.0).otherwise(F.col("distance")))
+
+
+def tile_polygon_distances(tiles: DataFrame, polygons: DataFrame, grid: HexGrid, metres: float, degrees: bool = False) -> DataFrame:
+    """cell and distance (metres, or plain degrees) of the nearest polygon within reach of each tile."""
+    hexes = tile_rings(tiles.select("cell"), grid)
+    left = line_pieces(hexes.withColumn("__lat", F.col("center.lat")), ["cell", "__lat"], "tile_ring", "l")
+    edge = piece_pairs(left, line_pieces(polygons, [], "ring", "r"), grid, metres, None if degrees else "__lat", ["cell"])
+    tile_inside = point_in_polygon(hexes.select(F.col("cell").alias("tile"), F.col("center.lon").alias("lon"), F.col("center.lat").alias("lat")),
+                                   polygons.select("ring"), grid).select(F.col("tile").alias("cell"), F.lit(0.0).alias("distance"))
+    start = F.element_at("ring", 1)
+    polygon_inside = polygons.select(grid.cell_of(start["lat"], start["lon"]).alias("cell"), F.lit(0.0).alias("distance")).join(
+        tiles.select("cell"), "cell", "left_semi")
+    out = edge.select("cell", "distance").unionByName(tile_inside).unionByName(polygon_inside).groupBy("cell").agg(F.min("distance").alias("distance"))
+    return out.withColumn("distance", F.when(F.col("distance") <= TOUCH, 0.0).otherwise(F.col("distance")))
+
+
+def touching_tiles(tiles: DataFrame, polygons: DataFrame, grid: HexGrid, key: str) -> DataFrame:
+    """Distinct (key, cell) pairs of polygons and the tiles whose hexagon they touch."""
+    hexes = tile_rings(tiles.select("cell"), grid)
+    edge = piece_pairs(line_pieces(hexes, ["cell"], "tile_ring", "l"), line_pieces(polygons, [key], "ring", "r"), grid, 0.0, None, ["cell"])
+    tile_inside = point_in_polygon(hexes.select(F.col("cell").alias("tile"), F.col("center.lon").alias("lon"), F.col("center.lat").alias("lat")),
+                                   polygons.select(key, "ring"), grid).select(key, F.col("tile").alias("cell"))
+    start = F.element_at("ring", 1)
+    polygon_inside = polygons.select(key, grid.cell_of(start["lat"], start["lon"]).alias("cell")).join(tiles.select("cell"), "cell", "left_semi")
+    return edge.where(F.col("distance") <= TOUCH).select(key, "cell").unionByName(tile_inside).unionByName(polygon_inside.select(key, "cell")).distinct()
 
 
 def line_hints(roads: DataFrame, hints: DataFrame, grid: HexGrid, degrees: float, flags: list[str], key: str = "road_id") -> DataFrame:
     """bool_or of hint flags over the hint lines within `degrees` of each road."""
-    left = road_cover(roads.select(key, "geom"), grid)
-    metres = degrees * 111320.0
-    right = grid.cover(hints.select(F.col("geom").alias("hint_geom"), *flags).withColumn("__env", geo.envelope("hint_geom")), "__env", 7,
-                       metres, MAX_LAT, "near_cell").drop("__env")
-    pairs = salted_join(left, right, "near_cell", by=[key]).where(geo.path_distance("geom", "hint_geom") <= degrees)
+    left, right = line_pieces(roads, [key], "geom", "l"), line_pieces(hints, flags, "geom", "r")
+    pairs = piece_pairs(left, right, grid, degrees * geo.METRES_PER_DEGREE, None, [key]).where(F.col("distance") <= degrees)
     return pairs.groupBy(key).agg(*[F.bool_or(f).alias(f) for f in flags])
 
 
 def points_near_roads(points: DataFrame, roads: DataFrame, metres: float, grid: HexGrid, point_key: str) -> DataFrame:
     """Distinct (tile cell of a road, point) pairs with a road of that tile within `metres` of the point."""
-    left = points.select(point_key, "lon", "lat").withColumn("near_cell", grid.cell_of("lat", "lon"))
-    env = geo.envelope("geom")
-    right = grid.cover(roads.select("cell", "geom").withColumn("__env", env), "__env", 7, metres, MAX_LAT, "near_cell").drop("__env")
-    sx, sy = metre_scales("lat")
-    close = geo.point_path_distance("lon", "lat", "geom", sx, sy) <= metres
-    return salted_join(left, right, "near_cell", by=[point_key]).where(close).select("cell", point_key).distinct()
+    left = points.select(point_key, F.col("lon").alias("px"), F.col("lat").alias("py")).withColumn("__cell", grid.cell_of("py", "px"))
+    env = F.struct(F.least("rx1", "rx2").alias("min_lon"), F.least("ry1", "ry2").alias("min_lat"),
+                   F.greatest("rx1", "rx2").alias("max_lon"), F.greatest("ry1", "ry2").alias("max_lat"))
+    right = grid.cover(line_pieces(roads, ["cell"], "geom", "r").withColumn("__env", env), "__env", metres, "__cell")
+    sx, sy = metre_scales("py")
+    seg = _ends("r", sx, sy)
+    d = geo.point_segment_distance(F.col("px") * sx, F.col("py") * sy, seg["x1"], seg["y1"], seg["x2"], seg["y2"])
+    near = salted_join(left, right, "__cell", by=[point_key]).where(d <= metres)
+    return near.select("cell", point_key).distinct()
 
 
 def raster_pixels(raster: DataFrame, band: str, grid: HexGrid) -> DataFrame:
@@ -150,7 +255,7 @@ def sample_raster(points: DataFrame, raster: DataFrame, band: str, grid: HexGrid
 
     Points first meet raster outlines only; the pixel arrays then travel once per raster, not once per cell.
     """
-    outlines = grid.cover(raster.select("raster_id", "x0", "y0", "dx", "dy", "width", "height").withColumn("__env", raster_envelope()), "__env", 7)
+    outlines = grid.cover(raster.select("raster_id", "x0", "y0", "dx", "dy", "width", "height").withColumn("__env", raster_envelope()), "__env")
     left = points.select(key, F.col(lon).alias("__lon"), F.col(lat).alias("__lat")).withColumn("cell", grid.cell_of("__lat", "__lon"))
     col, row = F.floor((F.col("__lon") - F.col("x0")) / F.col("dx")), F.floor((F.col("y0") - F.col("__lat")) / F.col("dy"))
     hit = (col >= 0) & (row >= 0) & (col < F.col("width")) & (row < F.col("height"))
@@ -165,39 +270,39 @@ def scope_to_footprint(tiles: DataFrame, raster: DataFrame, grid: HexGrid) -> Da
     env = raster_envelope()
     box = F.array(*[geo.point(env[a], env[b]) for a, b in (("min_lon", "min_lat"), ("max_lon", "min_lat"), ("max_lon", "max_lat"),
                                                            ("min_lon", "max_lat"), ("min_lon", "min_lat"))])
-    footprints = cover_polygons(raster.select(box.alias("ring")), grid)
-    touching = tile_rings(tiles.select("cell"), grid).join(footprints, "cell").where(geo.ring_ring_distance("tile_ring", "ring") == 0.0)
+    touching = touching_tiles(tiles, raster.select("raster_id", box.alias("ring")), grid, "raster_id")
     return tiles.join(touching.select("cell").distinct(), "cell", "left_semi")
 
 
 def clip_to_ring(subject, convex) -> Column:
-    """Part of a ring inside a convex counter-clockwise ring, as a closed point array (empty when disjoint)."""
+    """Part of a ring inside a convex counter-clockwise ring, as an open point array (empty when disjoint)."""
+    none = F.array().cast("array<struct<lon:double,lat:double>>")
 
     def clip(poly, edge):
         a, b = edge["a"], edge["b"]
 
-        def side(p):
-            return (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (p["lon"] - a["lon"])
+        def tagged(p):
+            side = (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (p["lon"] - a["lon"])
+            return F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), side.alias("s"))
 
-        def leg(s):
-            p, q = s["a"], s["b"]
-            sp, sq = side(p), side(q)
-            t = sp / (sp - sq)
+        def leg(p, q):
+            t = p["s"] / (p["s"] - q["s"])
             cut = F.struct((p["lon"] + (q["lon"] - p["lon"]) * t).alias("lon"), (p["lat"] + (q["lat"] - p["lat"]) * t).alias("lat"))
-            none = F.array().cast("array<struct<lon:double,lat:double>>")
-            return F.concat(F.when((sp >= 0) != (sq >= 0), F.array(cut)).otherwise(none), F.when(sq >= 0, F.array(q)).otherwise(none))
+            end = F.struct(q["lon"].alias("lon"), q["lat"].alias("lat"))
+            enters, kept = (p["s"] >= 0) != (q["s"] >= 0), q["s"] >= 0
+            return F.when(enters & kept, F.array(cut, end)).when(enters, F.array(cut)).when(kept, F.array(end)).otherwise(none)
 
-        kept = F.flatten(F.transform(F.coalesce(geo.steps(poly), F.array().cast(
-            "array<struct<a:struct<lon:double,lat:double>,b:struct<lon:double,lat:double>>>")), leg))
-        return F.when(F.size(kept) > 0, F.concat(kept, F.slice(kept, 1, 1))).otherwise(kept)
+        turned = F.concat(F.slice(poly, F.lit(2), F.greatest(F.lit(0), F.size(poly) - 1)), F.slice(poly, F.lit(1), F.lit(1)))
+        return F.flatten(F.zip_with(F.transform(poly, tagged), F.transform(turned, tagged), leg))
 
-    return F.aggregate(geo.steps(convex), c(subject), clip)
+    g = c(subject)
+    return F.aggregate(geo.steps(convex), F.slice(g, F.lit(1), F.size(g) - 1), clip)
 
 
 def overlap_area(subject, convex) -> Column:
     """Area of the overlap in squared degrees."""
     part = clip_to_ring(subject, convex)
-    return F.when(F.size(part) >= 4, F.abs(geo.ring_area2(part)) / 2.0).otherwise(0.0)
+    return F.coalesce(F.abs(geo.ring_area2(F.concat(part, F.slice(part, 1, 1)))) / 2.0, F.lit(0.0))
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame, grid: HexGrid, key: str, levels: tuple[int, ...] = (7, 5, 3, 1)) -> DataFrame:

@@ -65,7 +65,7 @@ def poi_density(spark, sf):
 
 def _park(degrees: bool) -> tuple[str, str]:
     sx, sy = ("1e0", "1e0") if degrees else ("cos(radians(clat)) * 111320e0", "111320e0")
-    near, far = (0.02, 0.05) if degrees else (2000, 5000)
+    near, far = ("0.02e0", "0.05e0") if degrees else ("2000", "5000")
     extra = f"""hexes AS ({q.hexagon()}), {q.path_edges('hex_edges', 'hexes', 'tile_key, cell, clat, hex', 'hex', 7, 'j', 'k')},
       {q.path_edges('area_edges', 'areas', 'area_id', 'ring', 5, 'm', 'n')},
       park_near AS ({q.path_rect_pairs('hex_edges', 'area_edges', 'cell', '0.08e0', sx, sy, 'cell')})"""
@@ -80,7 +80,7 @@ _inside = f"""area_in_tile AS (SELECT DISTINCT concat(cq, ':', cr, ':7') AS cell
 
 def _park_oracle(degrees: bool) -> str:
     body, extra = _park(degrees)
-    body = body.replace("WHEN distance <= 0", "WHEN distance <= 0 OR cell IN (SELECT cell FROM area_in_tile)")
+    body = body.replace("WHEN distance <= 0 THEN", "WHEN distance <= 0 OR cell IN (SELECT cell FROM area_in_tile) THEN")
     return oracle(["tiles", "areas"], body, "park_score", extra + ", " + _inside)
 
 
@@ -110,7 +110,7 @@ _rec_extra = (WATER_NEAR.replace("water_id, tags,", "water_id,").replace("FROM w
         FROM roads GROUP BY 1) s
       LEFT JOIN (SELECT cell, avg(traffic_score) AS t FROM traffic GROUP BY 1) t USING (cell)
       JOIN (SELECT cell, 1 - coalesce(min(CASE WHEN distance <= 5000 THEN distance END), 5000e0) / 5000 AS wp FROM roads LEFT JOIN near_water USING (road_id) GROUP BY 1) w USING (cell)
-      JOIN ({POI_SQL}) p USING (cell) JOIN ({_rec_park_body.replace("WHEN distance <= 0", "WHEN distance <= 0 OR cell IN (SELECT cell FROM area_in_tile)")}) k USING (cell)
+      JOIN ({POI_SQL}) p USING (cell) JOIN ({_rec_park_body.replace("WHEN distance <= 0 THEN", "WHEN distance <= 0 OR cell IN (SELECT cell FROM area_in_tile) THEN")}) k USING (cell)
       WHERE s.cell IN (SELECT cell FROM traffic))""")
 
 
@@ -198,7 +198,7 @@ def release_2_8(spark, sf):
 
 
 R29 = _released("2.9", {"park_score": "park_new", "scenic_score": "least(1e0, (water_score * 0.25e0 + green_score * 0.22e0 + elevation_score * 0.15e0 + solitude_score * 0.12e0 + curve_score * 0.11e0 + poi_score * 0.15e0) * (1 + park_new * 0.3e0))"},
-                f"(tiles JOIN (SELECT cell, park_score AS park_new FROM ({_park(True)[0].replace('WHEN distance <= 0', 'WHEN distance <= 0 OR cell IN (SELECT cell FROM area_in_tile)')})) USING (cell))", "")
+                f"(tiles JOIN (SELECT cell, park_score AS park_new FROM ({_park(True)[0].replace('WHEN distance <= 0 THEN', 'WHEN distance <= 0 OR cell IN (SELECT cell FROM area_in_tile) THEN')})) USING (cell))", "")
 
 
 @query("release_2_9", oracle(["tiles", "areas"], R29[0], R29[1], _park(True)[1] + ", " + _inside))
@@ -213,11 +213,8 @@ def release_2_9(spark, sf):
     extra=f"hexes AS ({q.hexagon()}), {q.path_edges('hex_edges', 'hexes', 'tile_key, cell, hex', 'hex', 7, 'j', 'k')}, {q.path_edges('area_edges', 'areas', 'area_id', 'ring', 5, 'm', 'n')}").replace("count(*) AS touching_tiles", "count(DISTINCT cell) AS touching_tiles"))
 def polygon_cover(spark, sf):
     """Areas split over the lattice, kept where the hexagon of a tile really touches."""
-    from vistagrid.functions import geo
-
     tiles, areas = _get(spark, sf, "tiles", "areas")
-    pieces = sp.cover_polygons(areas, GRID).join(sp.tile_rings(tiles.select("cell"), GRID), "cell")
-    return pieces.where(geo.ring_ring_distance("tile_ring", "ring") == 0.0).groupBy("area_id").agg(F.count("*").alias("touching_tiles"))
+    return sp.touching_tiles(tiles, areas, GRID, "area_id").groupBy("area_id").agg(F.count("*").alias("touching_tiles"))
 
 
 _pcell = f"SELECT *, concat(cq, ':', cr, ':7') AS cell FROM ({q.axial('lat', 'lon', 7, 'places')})"

@@ -117,7 +117,8 @@ def _roads(d: Dialect) -> str:
     lon, lat = _lon("l_partkey"), _lat("l_partkey")
     pts = [d.pt(f"round({lon} + (({i} % {m}) - {m // 2}) * {dx}e0, 7)", f"round({lat} + (({i} % {n}) - {n // 2}) * {dy}e0, 7)")
            for m, dx, n, dy in ((7, 0.0031, 5, 0.0027), (11, 0.0013, 3, 0.0049), (13, 0.0017, 9, 0.0011))]
-    return f"""SELECT {i} AS road_id, l_orderkey AS way_id, {_cell('l_partkey')} AS cell,
+    unique = f"({i} * 10000000 + (l_partkey * 7919 + CAST(round(l_extendedprice * 100e0) AS BIGINT)) % 10000000)"
+    return f"""SELECT {unique} AS road_id, l_orderkey AS way_id, {_cell('l_partkey')} AS cell,
       l_extendedprice / 50e0 AS length_m, CAST(((l_orderkey + 13 * l_linenumber) % 13) * 10 AS INT) AS speed_kmh,
       {pick('l_partkey % 17', ROAD_TYPES)} AS road_type, {pick('l_partkey % 16', SURFACES)} AS surface,
       l_discount * 10e0 AS curvature, CASE WHEN l_orderkey % 5 = 0 THEN 0e0 ELSE l_tax * 1000e0 END AS elevation_change,
