@@ -24,7 +24,7 @@ TWIST = math.atan2(ROOT3 / 2, 2.5)
 
 
 def make_cell(q, r, res) -> Column:
-    return F.concat_ws(":", c(q).cast("string"), c(r).cast("string"), c(res).cast("string"))
+    return F.concat(c(q).cast("string"), F.lit(":"), c(r).cast("string"), F.lit(":"), c(res).cast("string"))
 
 
 def cell_q(cell) -> Column:
@@ -80,7 +80,7 @@ class HexGrid:
 
     def cell_of(self, lat, lon, res: int = DEFAULT_RESOLUTION) -> Column:
         q, r = self.axial(lat, lon, res)
-        return F.when(c(lat).isNotNull() & c(lon).isNotNull(), make_cell(q, r, F.lit(res)))
+        return make_cell(q, r, F.lit(res))
 
     def center_axial(self, q, r, res: int) -> Column:
         cos_a, sin_a = self._turn(res)

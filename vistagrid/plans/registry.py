@@ -29,7 +29,7 @@ def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*out)
 
 
-def oracle(tables: list[str], body: str, doubles: str = "", extra: str = "") -> str:
+def oracle(tables: list[str], body: str, doubles: str = "", extra: str = "", recursive: bool = False) -> str:
     """SQL text: domain tables as CTEs, optional further CTEs, the body, rounding of the named doubles."""
     head = duck_ctes(*tables) if tables else ""
     parts = [p for p in (head, extra.strip().rstrip(",")) if p]
@@ -39,7 +39,8 @@ def oracle(tables: list[str], body: str, doubles: str = "", extra: str = "") ->
     lead = f"{with_part},\n" if with_part else "WITH "
     rounded = ", ".join(f"floor(round({n}, {DIGITS + 3}) * 1e{DIGITS} + 0.5e0) / 1e{DIGITS} AS {n}" for n in doubles.split())
     select = f"SELECT * REPLACE ({rounded})" if rounded else "SELECT *"
-    return f"{lead}result_rows AS ({body}) {select} FROM result_rows"
+    text = f"{lead}result_rows AS ({body}) {select} FROM result_rows"
+    return text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
 
 
 def query(name: str, sql: str | None = None):
