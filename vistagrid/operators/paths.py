@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from vistagrid.functions import catalog, cells, geo, scoring
 from vistagrid.functions.cells import HexGrid
 from vistagrid.functions.scalars import clamp01, graded, mean_of, unit, weighted_sum
-from vistagrid.operators.skew import drop_halo, running_total, span_window, with_halo
+from vistagrid.operators.skew import drop_halo, numbered, running_total, span_window, with_halo
+from vistagrid.session import shared
 
 ROUTE = ["route_id"]
 KM = geo.EARTH_KM
@@ -143,12 +144,12 @@ NEAR_KM, LEG_KM, WINDOW_STEPS = 0.12, 0.85, 4
 def craft_metrics(points: DataFrame, grid: HexGrid, metres: float = 350.0) -> DataFrame:
     """Repeated cells, reversed edges, separation of the three legs, near duplicates and the backtracking penalty."""
     headers = points.groupBy("route_id").agg(F.max("n_points").alias("n_points"))
-    sampled = sample_path(points, metres)
+    sampled = shared(sample_path(points, metres))
     few = sampled.groupBy("route_id").agg(F.max("n_samples").alias("k"))
     # Fewer than four samples: the path itself takes their place.
     whole = points.join(few.where("k < 4").select("route_id"), "route_id", "left_semi").withColumns({"idx": F.col("seq"), "n_samples": F.col("n_points")})
     cols = ["route_id", "idx", "n_samples", "lat", "lon"]
-    s = sampled.where("n_samples >= 4").select(*cols).unionByName(whole.select(*cols))
+    s = shared(sampled.where("n_samples >= 4").select(*cols).unionByName(whole.select(*cols)))
     line = compress_cells(s.withColumn("seq", F.col("idx")), grid)
     edge = F.when(F.col("prev_cell").isNotNull(), F.concat_ws("|", F.least("cell", "prev_cell"), F.greatest("cell", "prev_cell")))
     shares = line.withColumn("edge", edge).groupBy("route_id").agg(F.count("*").alias("n"), F.count_distinct("cell").alias("u"),
@@ -201,20 +202,15 @@ def corridor_tiles(points: DataFrame, tiles: DataFrame, grid: HexGrid, metres: f
 
     Adds `pos` (dense) and `n_tiles` per route.
     """
-    s = sample_path(points, metres).select("route_id", "idx", grid.cell_of("lat", "lon").alias("cell"))
-    direct = s.join(tiles, "cell")
+    s = shared(sample_path(points, metres).select("route_id", "idx", grid.cell_of("lat", "lon").alias("cell")))
+    known = tiles.select("cell")
+    direct = s.join(known, "cell", "left_semi")
     lost = s.join(direct.select("route_id").distinct(), "route_id", "left_anti")
-    ring = lost.select("route_id", F.explode(cells.k_ring("cell", F.lit(2))).alias("cell")).distinct().join(tiles, "cell").withColumn("idx", F.lit(0).cast("bigint"))
-    found = direct.unionByName(ring.select(*direct.columns))
-    n = found.groupBy("route_id").agg(F.count("*").alias("n_tiles"))
-    # Ranks come from counting matches per sample index: spans of samples, then positions inside a span.
-    span = F.floor(F.col("idx") / 4096)
-    before = found.groupBy("route_id", span.alias("__b")).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy("route_id").orderBy("__b")
-    before = before.withColumn("__before", F.sum("__n").over(w) - F.col("__n")).drop("__n")
-    inner = Window.partitionBy("route_id", "__b").orderBy("idx", "cell")
-    ranked = found.withColumn("__b", span).withColumn("__rn", F.row_number().over(inner)).join(before, ["route_id", "__b"])
-    return ranked.withColumn("pos", F.col("__before") + F.col("__rn") - 1).join(n, "route_id").drop("__b", "__rn", "__before")
+    ring = lost.select("route_id", F.explode(cells.k_ring("cell", F.lit(2))).alias("cell")).distinct().join(known, "cell", "left_semi")
+    found = shared(direct.unionByName(ring.withColumn("idx", F.lit(0).cast("bigint"))))
+    # Positions: rows of earlier spans of samples, then the rank inside a span; the tile columns come last.
+    ranked = numbered(found, ["idx", "cell"], F.floor(F.col("idx") / 4096), ROUTE, "pos", total="n_tiles")
+    return ranked.withColumn("pos", F.col("pos") - 1).join(tiles, "cell")
 
 
 def corridor_scores(points: DataFrame, trips: DataFrame, tiles: DataFrame, grid: HexGrid) -> DataFrame:
@@ -276,6 +272,7 @@ def top_fraction_mean(df: DataFrame, key: str, value: str, fraction: float, name
 
 def strategy_metrics(corridor: DataFrame) -> DataFrame:
     """Corridor shares, photo peak, strategy fit and mismatch penalty per route."""
+    corridor = shared(corridor)
     low_urban, low_stress = 1.0 - clamp01("pressure"), 1.0 - unit("road_stress_score")
     quiet = clamp01(weighted_sum([("solitude", 0.44), ("greenery", 0.18), (low_urban, 0.20), (low_stress, 0.08), (unit("darkness_score"), 0.10)]))
     opening = clamp01(weighted_sum([("open", 0.68), (low_urban, 0.20), (low_stress, 0.12)]))
@@ -326,10 +323,11 @@ def drive_quality(turn, urban, stress) -> Column:
 
 def score_routes(points: DataFrame, trips: DataFrame, tiles: DataFrame, grid: HexGrid) -> DataFrame:
     """Final score and its parts per route; a route without corridor tiles falls back to its start area or its shape."""
-    corridor = corridor_scores(points, trips, tiles, grid)
+    corridor = shared(corridor_scores(points, trips, tiles, grid))
     out = closure_km(points).join(trips, "route_id").join(mean_turn(points), "route_id").join(craft_metrics(points, grid), "route_id")
     for part in (corridor_means(corridor), scenic_moments(corridor), edge_penalty(corridor), strategy_metrics(corridor)):
         out = out.join(part, "route_id", "left")
+    out = shared(out)
     out = out.withColumns({"route_shape_score": route_shape(F.col("target_minutes"), F.col("minutes"), F.col("closure_km")),
                            "drive_quality_score": drive_quality(F.col("mean_turn"), F.col("urban_penalty"), F.col("road_stress_score"))})
     total = weighted_sum([("landscape_score", 0.38), ("vibe_fit_score", 0.24), ("drive_quality_score", 0.14), ("route_shape_score", 0.10),

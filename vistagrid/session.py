@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 
 def local_session(name: str = "vistagrid", cpus: str | None = None) -> SparkSession:
@@ -38,3 +39,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Marks a result that several branches of one plan read, so it is computed once.
+
+    Blocks go to memory and disk; those of a lost executor are recomputed from their lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -238,6 +238,12 @@ def _requests(d: Dialect) -> str:
       FROM {d.src('orders')}"""
 
 
+def _trip_requests(d: Dialect) -> str:
+    k = "c_custkey"
+    return f"""SELECT {k} AS request_id, round({_lat(k)} + ({k} % 3 - 1) * 0.002e0, 7) AS lat, round({_lon(k)} + ({k} % 5 - 2) * 0.002e0, 7) AS lon,
+      CAST(15 + {k} % 60 AS INT) AS budget, {_vibes_json(k)} AS vibes_json FROM {d.src('customer')}"""
+
+
 def _candidates(d: Dialect) -> str:
     k = "o_orderkey"
     return f"""SELECT {k} AS candidate_id, o_custkey AS request_id,
@@ -386,7 +392,7 @@ def _jobs(d: Dialect) -> str:
 RULES: dict[str, Callable[[Dialect], str]] = {
     "tiles": _tiles, "roads": _roads, "places": _places, "buildings": _buildings, "areas": _areas, "water": _water,
     "hint_lines": _lines, "raster_tiles": _raster, "traffic": _traffic, "traffic_raw": _traffic_raw,
-    "light_samples": _light_samples, "requests": _requests, "candidates": _candidates, "routes": _routes,
+    "light_samples": _light_samples, "requests": _requests, "trip_requests": _trip_requests, "candidates": _candidates, "routes": _routes,
     "ranked_events": _ranked_events, "route_points": _route_points, "trips": _trips,
     "analytics_events": _analytics_events, "raw_events": _raw_events, "ratings": _ratings, "weight_calibrations": _weight_calibrations,
     "duration_observations": _duration_observations, "lifecycle": _lifecycle,
