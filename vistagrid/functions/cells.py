@@ -155,10 +155,15 @@ def ring_distance(a, b) -> Column:
     return F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr))
 
 
+def parent_axial(q, r) -> tuple[Column, Column]:
+    """Lattice coordinates one resolution coarser. Chain it through named columns, not nested: it repeats its input."""
+    return cube_round((c(q) * 3 + c(r)) / 7.0, (c(r) * 2 - c(q)) / 7.0)
+
+
 def cell_parent(cell) -> Column:
     """Cell one resolution coarser."""
     q, r = cell_q(cell), cell_r(cell)
-    pq, pr = cube_round((q * 3 + r) / 7.0, (r * 2 - q) / 7.0)
+    pq, pr = parent_axial(q, r)
     return make_cell(pq, pr, cell_resolution(cell) - 1)
 
 

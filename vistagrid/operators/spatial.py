@@ -43,21 +43,18 @@ def tile_rings(tiles: DataFrame, grid: HexGrid) -> DataFrame:
 def ring_join(requests: DataFrame, tiles: DataFrame, grid: HexGrid, ring: str = "ring", lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Tiles within `ring` lattice steps of each request's start cell.
 
-    Both sides meet on cells two levels coarser (49 tiles each): a ring of 22 needs at most 91 of them instead of
-    1,519 single cells per request. The exact ring test follows.
+    Both sides meet on blocks of 8 x 8 lattice positions: a ring of 22 touches at most 49 blocks instead of 1,519
+    single cells per request. The exact ring test follows.
     """
     q, r = grid.axial(lat, lon, 7)
     starts = requests.withColumns({"__q": q, "__r": r})
-    start_cell = cells.make_cell(F.col("__q"), F.col("__r"), F.lit(7))
-    coarse = cells.cell_parent(cells.cell_parent(start_cell))
-    # A step of the coarse lattice spans sqrt(49) = 7 fine steps; two extra rings cover both flower borders.
-    reach = F.ceil(F.col(ring) / 6.0).cast("int") + 1
-    starts = starts.withColumn("__area", F.explode(cells.k_ring(coarse, reach)))
-    spread = tiles.withColumns({"__area": cells.cell_parent(cells.cell_parent(F.col("cell"))),
-                                "__tq": cells.cell_q("cell"), "__tr": cells.cell_r("cell")})
+    starts = starts.withColumn("__bq", F.explode(F.sequence(F.floor((F.col("__q") - F.col(ring)) / 8), F.floor((F.col("__q") + F.col(ring)) / 8))))
+    starts = starts.withColumn("__br", F.explode(F.sequence(F.floor((F.col("__r") - F.col(ring)) / 8), F.floor((F.col("__r") + F.col(ring)) / 8))))
+    spread = tiles.withColumns({"__tq": cells.cell_q("cell"), "__tr": cells.cell_r("cell")})
+    spread = spread.withColumns({"__bq": F.floor(F.col("__tq") / 8), "__br": F.floor(F.col("__tr") / 8)})
     dq, dr = F.col("__tq") - F.col("__q"), F.col("__tr") - F.col("__r")
     inside = F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr)) <= F.col(ring)
-    return starts.join(spread, "__area").where(inside).drop("__q", "__r", "__area", "__tq", "__tr")
+    return starts.join(spread, ["__bq", "__br"]).where(inside).drop("__q", "__r", "__bq", "__br", "__tq", "__tr")
 
 
 def within_radius(points: DataFrame, tiles: DataFrame, metres: float, grid: HexGrid, lat: str = "lat", lon: str = "lon",
