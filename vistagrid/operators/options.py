@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vistagrid.functions import catalog, geo, text
 from vistagrid.functions.scalars import clamp01, weighted_sum
 from vistagrid.operators.paths import KM
-from vistagrid.session import shared
+from vistagrid.session import cut_lineage
 
 # Fixed values of the selection rules.
 SEPARATION_KM, SIMILAR, ALIKE = 0.35, 0.72, 0.50
@@ -150,11 +150,12 @@ def option_pairs(options: DataFrame, key: str = "request_id", order: str = "opti
 
 def select_options(cands: DataFrame, arrays: DataFrame) -> DataFrame:
     """Three greedy picks per request (option 1..3): primary, balanced, shorter, each penalised by its nearness to the
-    earlier picks. Only (candidate, pick) pairs are formed, never candidate pairs.
+    earlier picks. Only (candidate, pick) pairs are formed, never candidate pairs. Each round ends in a checkpoint in the
+    shared folder, which keeps the plans of later rounds small.
 
     `cands` comes from profile_scores; `arrays` has (candidate_id, pts, keys).
     """
-    pool = shared(cands.join(arrays, "candidate_id").withColumns({"penalty": F.lit(0.0), "nearest": F.lit(1e9), "differs": F.lit(True)}))
+    pool = cut_lineage(cands.join(arrays, "candidate_id").withColumns({"penalty": F.lit(0.0), "nearest": F.lit(1e9), "differs": F.lit(True)}))
     picked, rounds = None, [("s_primary", False), ("s_balanced", True), ("s_shorter", True), ("s_balanced", False), ("s_shorter", False), ("fallback", False), ("fallback", False)]
     for i, (score, strict) in enumerate(rounds):
         value = F.col(score) if score != "fallback" else F.col("s_scenic") + clamp01(F.col("nearest") / SEPARATION_KM) * 0.30 + F.col("fit") * 0.10
@@ -164,7 +165,7 @@ def select_options(cands: DataFrame, arrays: DataFrame) -> DataFrame:
             eligible = eligible.join(full, "request_id", "left_anti")
         pick = eligible.groupBy("request_id").agg(F.max(F.struct((value - F.col("penalty")).alias("v"), (-F.col("candidate_id")).alias("neg"), "signature", "minutes", "km",
                                                                  "target_minutes", "pts", "keys")).alias("p"))
-        pick = shared(pick.select("request_id", (-F.col("p.neg")).alias("p_id"), F.col("p.signature").alias("p_signature"), F.col("p.minutes").alias("p_minutes"),
+        pick = cut_lineage(pick.select("request_id", (-F.col("p.neg")).alias("p_id"), F.col("p.signature").alias("p_signature"), F.col("p.minutes").alias("p_minutes"),
                                   F.col("p.km").alias("p_km"), F.col("p.pts").alias("p_pts"), F.col("p.keys").alias("p_keys")))
         chosen = pick.select("request_id", F.col("p_id").alias("candidate_id"), F.lit(i).alias("round"))
         picked = chosen if picked is None else picked.unionByName(chosen)
@@ -175,7 +176,7 @@ def select_options(cands: DataFrame, arrays: DataFrame) -> DataFrame:
             j = j.withColumns({"sep": F.when(has, separation_km("pts", "p_pts")), "sim": F.when(has, jaccard("keys", "p_keys")),
                                "close": F.when(has, (F.abs(F.col("minutes") - F.col("p_minutes")) < F.greatest(F.lit(4), F.ceil(F.col("target_minutes") * 0.08)))
                                                & (F.abs(F.col("km") - F.col("p_km")) < F.greatest(F.lit(2.0), F.least("km", "p_km") * 0.08)))})
-            pool = shared(j.withColumns({
+            pool = cut_lineage(j.withColumns({
                 "penalty": F.when(has, F.greatest("penalty", pair_penalty(F.col("sep"), F.col("sim"), F.col("close")))).otherwise(F.col("penalty")),
                 "nearest": F.when(has, F.least("nearest", "sep")).otherwise(F.col("nearest")),
                 "differs": F.when(has, F.col("differs") & pair_different(F.col("sep"), F.col("sim"), F.col("close"))).otherwise(F.col("differs"))}).select(*pool.columns))

@@ -71,9 +71,8 @@ def effective_weights(requests: DataFrame, calibrations: DataFrame | None, key:
     weights are multiplied (the form used while planning, which may be applied on top of the stored one).
     `calibrations` has one row per vibe (vibe, m_<component>), at most one per known vibe.
     """
-    base = default_weights(known_vibes(vibes))
-    base = {k: F.coalesce(F.col(preferences)[k], v) for k, v in base.items()}
-    df = requests.withColumns({f"w_{k}": v for k, v in base.items()})
+    base = {k: F.coalesce(F.col(preferences)[k], v) for k, v in default_weights("__known").items()}
+    df = requests.withColumn("__known", known_vibes(vibes)).withColumns({f"w_{k}": v for k, v in base.items()}).drop("__known")
     cols = {k: F.col(f"w_{k}") for k in catalog.COMPONENTS}
     if ratios:
         df = df.withColumns({f"w_{k}": v for k, v in normalized(cols).items()})

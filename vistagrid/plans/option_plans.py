@@ -70,7 +70,7 @@ def profile_scores(spark, sf):
 
 @query("flat_score_spread")
 def flat_score_spread(spark, sf):
-    """Jitter comes from crc32, which the check engine lacks; compared with a hand computation in the tests."""
+    """Jitter comes from crc32, which the check engine lacks, so there is no SQL twin."""
     return op.flat_score_fallback(cands(spark, sf)).select("candidate_id", "request_id", "flat", "score")
 
 
@@ -155,7 +155,7 @@ def min_option_separation(spark, sf):
 
 @query("selected_options")
 def selected_options(spark, sf):
-    """Greedy choice among the trips that share a user modulus; checked against a plain loop in the tests."""
+    """Greedy choice of three trips out of each group of six."""
     t = domain(spark, sf, "trips")
     c = t.select(F.col("route_id").alias("candidate_id"), F.floor(F.col("route_id") / 6).alias("request_id"), F.col("route_id").cast("string").alias("signature"),
                  ((F.col("route_id") * 61 % 97) / 96.0).alias("score"), "minutes", "km", F.lit(90).alias("target_minutes"), F.lit("BALANCED_VARIETY").alias("strategy"),
