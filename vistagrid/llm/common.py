@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ def sized_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -
     """Cuts a batch into runs of rows with about `limit` bytes of text each; a longer text makes a run of its own."""
     if not batch.num_rows:
         return
-    lengths = np.array([0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
+    lengths = np.array([0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
     group = np.cumsum(lengths) // limit
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for lo, hi in zip(starts, np.r_[starts[1:], batch.num_rows]):
