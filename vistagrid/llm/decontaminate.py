@@ -43,7 +43,8 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     n = len(symbols)
     order = np.argsort(symbols, kind="stable")
     rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.cumsum(np.r_[0, symbols[order][1:] != symbols[order][:-1]])
+    # A rank is the place of the first suffix that shares it.
+    rank[order] = np.maximum.accumulate(np.where(np.r_[True, symbols[order][1:] != symbols[order][:-1]], np.arange(n), 0))
     width = 1
     # Only suffixes that still share their rank with another one are sorted again.
     while True:
