@@ -124,8 +124,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = iter(minhashes([sets[k] for k in full])) if full else iter(())
             signs = [next(values).astype("<u4").tobytes() if len(s) else None for s in sets]
             keys = [hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.binary())],
-                                             names=["id", "c", "n", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.binary()),
+                                              pa.array([hashlib.md5(t).hexdigest() for t in text_bytes(part.column("t"))], pa.string())],
+                                             names=["id", "c", "n", "signature", "mark"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +315,7 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: id, its class (smallest id of all rows joined by links), links, shingles and copies."""
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
-    rows = reliable(source.mapInArrow(_signed, "id bigint, c binary, n bigint, signature binary"))
+    rows = reliable(source.mapInArrow(_signed, "id bigint, c binary, n bigint, signature binary, mark string"))
     classes = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     classes = reliable(classes)
     bands = classes.select("c", "signature").mapInArrow(_banded, "bucket bigint, c binary")
@@ -344,12 +345,34 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     known = known.join(heads, "label", "left").select("c", F.coalesce("head", "first").alias("class_id"),
                                                       (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     # Wordless rows get keys of their own.
-    keyed = rows.select("id", F.coalesce("c", F.encode(F.concat(F.lit("none:"), F.xxhash64("id").cast("string")), "utf-8")).alias("c"), "n")
+    keyed = rows.select("id", "mark", F.coalesce("c", F.encode(F.concat(F.lit("none:"), F.xxhash64("id").cast("string")), "utf-8")).alias("c"), "n")
     return keyed.join(known, "c", "left").select(F.col("id").alias(doc_id), F.coalesce("class_id", "id").alias("class_id"),
                                                  F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("n").alias("n_shingles"),
-                                                 F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"))
+                                                 F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"), "mark")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Input rows and columns, with one row of every near-duplicate class: the one with the smallest id, then text digest.
+
+    Rows without id are grouped by equal text. Only rows that may have to go, by a bounded filter, travel with their
+    texts; all others are passed on where they are read.
+    """
+    def key(id_col, mark):
+        return F.concat_ws(":", F.coalesce(id_col.cast("string"), F.lit("none")), mark)
+
+    rows = reliable(jaccard_classes(docs, text, doc_id).select(key(F.col(doc_id), F.col("mark")).alias("k"), F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("none:"), "mark")).alias("class"),
+                                                               F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col("mark").alias("c")).alias("rank")))
+    kept = rows.groupBy("class").agg(F.min("rank").alias("rank")).select(key(F.col("rank.b"), F.col("rank.c")).alias("k"))
+    gone = reliable(rows.select("k").distinct().join(kept, "k", "left_anti"))
+    repeated = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    keyed = docs.withColumn("__k", key(F.col(f"`{doc_id}`"), F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))).withColumn("__h", F.xxhash64("__k"))
+    hashes = gone.unionByName(repeated).select(F.xxhash64("k").alias("h"))
+    open_ = member_filter(keyed, "__h", hashes)
+    left = open_.join(gone.withColumnRenamed("k", "__k"), "__k", "left_anti").dropDuplicates(["__k"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    passed = member_filter(keyed, "__h", hashes, inside=False).drop("__k")
+    return passed.unionByName(left)
 
 
 @query("op8_jaccard_join")
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("mark")
