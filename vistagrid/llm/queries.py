@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vistagrid.llm import bpe, brown, decontaminate, jaccard, licenses, pii, quality, secrets, styletree  # noqa: F401
+from vistagrid.llm import bpe, brown, decontaminate, jaccard, licenses, pii, quality, secrets, styletree, suffixes  # noqa: F401
 from vistagrid.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
