@@ -52,7 +52,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 class Shingler:
     """Sorted distinct shingle hashes of texts; word hashes are remembered up to a limit."""
 
-    def __init__(self, words: int = WORDS, memory: int = 1_000_000):
+    def __init__(self, words: int = WORDS, memory: int = 300_000):
         self.words, self.memory = words, memory
         self.known: dict[bytes, int] = {}
 

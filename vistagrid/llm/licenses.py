@@ -164,9 +164,12 @@ def detections(texts: DataFrame, key: str, padded: str) -> DataFrame:
     return places.where(F.coalesce(F.col("covered") < F.col("end"), F.lit(True))).select(key, "label", "tier", weight.alias("weight"), "start", "end")
 
 
+OUTPUTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "detections", "score")
+
+
 def license_scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` with word count, places of the base phrases, labels, detections and a score."""
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in OUTPUTS]
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     gated = F.rlike(body, F.lit(GATE))
     own = docs.select(*keep, body.alias("__text"), gated.alias("__gated"))
@@ -175,7 +178,7 @@ def license_scan(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     texts = own.where("__gated").select("__key", "__padded").groupBy("__key").agg(F.first("__padded").alias("__padded"))
     found = detections(texts, "__key", "__padded").groupBy("__key").agg(
         F.array_sort(F.collect_set("label")).alias("__labels"), F.max("weight").alias("__score"),
-        F.array_sort(F.collect_list(F.struct("start", "end", "label", "tier"))).alias("detections"))
+        F.array_sort(F.collect_list(F.struct("start", "end", "label", "tier"))).alias("__found"))
     places = {label: F.when(F.col("__gated") & F.contains("__padded", F.lit(f" {phrase} ")), _base_places(F.col("__padded"), phrase)) for phrase, label in BASE.items()}
     rows = own.select(*keep, F.regexp_count("__text", F.lit(WORD)).cast("bigint").alias("n_words"), *[p.alias(f"__{n}") for n, p in places.items()],
                       F.coalesce("__key", F.xxhash64(*keep).cast("string")).alias("__key"))
@@ -186,7 +189,7 @@ def license_scan(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         *keep, "n_words", reduce(lambda a, b: a + b, [F.coalesce(c["n"], F.lit(0)) for c in labels]).cast("bigint").alias("n_base"),
         F.least(*[c["first"] for c in labels]).alias("first_word"), F.greatest(*[c["last"] for c in labels]).alias("last_word"),
         F.array_sort(base).alias("base_labels"), F.array_sort(F.array_union(base, F.coalesce("__labels", F.array().cast("array<string>")))).alias("labels"),
-        F.coalesce("detections", F.array().cast(found.schema["detections"].dataType)).alias("detections"),
+        F.coalesce("__found", F.array().cast(found.schema["__found"].dataType)).alias("detections"),
         F.coalesce("__score", F.when(F.size(base) > 0, F.lit(WEIGHT[2])), F.lit(0.0)).alias("score"))
 
 

@@ -83,7 +83,7 @@ def _spans_of(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     own = own.withColumn("__key", F.when(F.col("__gated"), text_key(F.col("__text"))))
     texts = own.where("__gated").groupBy("__key").agg(F.first("__text").alias("__text"))
     spans = linked(candidates(texts, "__key", "__text"), "__key").groupBy("__key").agg(
-        F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("spans"))
+        F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("__spans"))
     # Texts without a candidate get keys of their own, so no task receives all of them.
     rows = own.withColumn("__key", F.coalesce("__key", F.xxhash64(*[F.col(f"`{c}`") for c in keep]).cast("string"))).drop("__gated", "__text")
     return rows.join(spans, "__key", "left").drop("__key")
@@ -91,8 +91,8 @@ def _spans_of(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def secret_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` and `spans`: array of (start, rank, end, kind) by start, then rank; code points, end exclusive."""
-    found = _spans_of(docs, text, keep or ["doc_id"])
-    return found.withColumn("spans", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)))
+    found = _spans_of(docs, text, [c for c in keep or ["doc_id"] if c.lower() != "spans"])
+    return found.withColumn("spans", F.coalesce("__spans", F.array().cast(found.schema["__spans"].dataType))).drop("__spans")
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -101,7 +101,7 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> Dat
     # Only texts with a candidate travel: their columns go through the join, all others are passed on where they are.
     marked = _spans_of(docs.where(gate(F.col(text))), text, docs.columns)
     merged = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")),
+        F.coalesce("__spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")),
         F.array().cast("array<struct<start:bigint,end:bigint,new:string>>"),
         lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
                               F.concat(F.slice(acc, 1, F.size(acc) - 1),
