@@ -171,3 +171,53 @@ def test_plans_have_no_cartesian_product(spark):
 def test_haversine_known_distance(spark):
     d = spark.range(1).select(geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("d")).first().d
     assert abs(d - math.pi * 6371000 / 180) < 1e-6
+
+
+def test_nearest_node_of_far_points(spark):
+    """Points far from every node still get their nearest one."""
+    from vistagrid.functions.cells import HexGrid
+    from vistagrid.operators.spatial import nearest_node
+
+    places = [(1, 43.0, -79.0), (2, 43.01, -79.02), (3, 44.5, -80.0), (4, -10.0, 20.0)]
+    starts = [(k, 43.0 - 1.7 * k, -79.0 + 2.3 * k) for k in range(40)] + [(100, 10.0, -40.0), (101, 60.0, -130.0), (102, -80.0, 170.0)]
+    got = nearest_node(spark.createDataFrame(starts, "k long, lat double, lon double"), spark.createDataFrame(places, "node_id long, lat double, lon double"), HexGrid(), "k").collect()
+    want = {k: min(((a - lat) ** 2 + (b - lon) ** 2, n) for n, a, b in places) for k, lat, lon in starts}
+    assert len(got) == len(starts)
+    for r in got:
+        assert r.node_id == want[r.k][1] and abs(r.distance2 - want[r.k][0]) < 1e-9
+
+
+def test_clock_debounce_loses_no_event(spark):
+    """Late events of a cell start or join a burst; nothing is dropped and a quiet cell is released by the clock."""
+    from vistagrid.streaming import streams as st
+
+    pending = spark.createDataFrame([("a", 0), ("a", 5_000_000), ("b", 1_000_000), ("c", 29_000_000)], "cell string, ts_us long")
+    ready, waiting = st.debounce_by_clock(pending, 20_000_000, 10)
+    assert sorted(tuple(r) for r in ready.collect()) == [("a", 0, 15_000_000, 2), ("b", 1_000_000, 11_000_000, 1)]
+    assert [r.cell for r in waiting.collect()] == ["c"]
+
+
+def test_ledger_never_forgets(spark, tmp_path):
+    """An id seen in any earlier batch is left out, however old."""
+    from vistagrid.streaming import streams as st
+
+    seen = []
+    for k, ids in enumerate([[1, 2, 2], [2, 3], [1, 4]]):
+        spark.createDataFrame([(i, k * 10_000_000_000) for i in ids], "event_id long, ts_us long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("event_id long, ts_us long").parquet(str(tmp_path / "in"))
+        st.dedup_against_ledger(stream, str(tmp_path / "ledger"), lambda df, n: seen.extend(r.event_id for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(seen) == [1, 2, 3, 4]
+
+
+def test_exports_join_to_valid_files(spark):
+    import json
+    from xml.dom.minidom import parseString
+
+    from vistagrid.sources import readers as rd
+
+    points = spark.createDataFrame([(1, k, 43.0 + k / 1e4, -79.0) for k in range(9000)] + [(2, 0, 43.0, -79.0)], "route_id long, seq long, lat double, lon double")
+    for fn, name in ((rd.export_geojson, "geojson"), (rd.export_gpx, "gpx")):
+        rows = sorted(tuple(r) for r in fn(points).collect())
+        texts = {k: "".join(t for i, _, t in rows if i == k) for k in (1, 2)}
+        n = [len(json.loads(texts[k])["geometry"]["coordinates"]) if name == "geojson" else len(parseString(texts[k]).getElementsByTagName("trkpt")) for k in (1, 2)]
+        assert n == [9000, 1]

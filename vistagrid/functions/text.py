@@ -71,9 +71,10 @@ def parse_preferences(raw_json) -> Column:
     named = F.transform(entries, lambda e: F.struct(
         known[F.translate(F.lower(F.trim(e["key"])), "- ", "__")].alias("key"), clamp01(e["value"]).alias("value")))
     kept = F.filter(named, lambda e: e["key"].isNotNull())
-    # A key may arrive under two spellings: the last one wins.
-    keys = F.array_distinct(F.transform(kept, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(kept, lambda e: e["key"] == k), -1)["value"]))
+    # A key may arrive under two spellings: the last one wins. The fold reads the parsed entries once.
+    single = F.aggregate(kept, F.array().cast("array<struct<key:string,value:double>>"),
+                         lambda acc, e: F.concat(F.filter(acc, lambda x: x["key"] != e["key"]), F.array(e)))
+    return F.map_from_entries(single)
 
 
 def parse_breakdown(raw_json) -> Column:

@@ -141,8 +141,8 @@ def jaccard(a, b) -> Column:
 
 
 def option_pairs(options: DataFrame, key: str = "request_id", order: str = "option_no") -> DataFrame:
-    """Pairs i < j of the options of a request. A request has one option per profile, so at most three pairs."""
-    one = options.groupBy(key, order).agg(F.min(F.struct(*[c for c in options.columns if c not in (key, order)])).alias("o")).select(key, order, "o.*")
+    """Pairs i < j of the options of a request. A request has one option per profile, so at most three pairs; repeated options are kept."""
+    one = options
     left = one.select(key, *[F.col(c).alias(f"a_{c}") for c in one.columns if c != key])
     right = one.select(key, *[F.col(c).alias(f"b_{c}") for c in one.columns if c != key])
     return left.join(right, key).where(F.col(f"a_{order}") < F.col(f"b_{order}"))

@@ -64,12 +64,13 @@ def normalized(weights: dict[str, Column]) -> dict[str, Column]:
 
 
 def effective_weights(requests: DataFrame, calibrations: DataFrame | None, key: str = "request_id",
-                      vibes: str = "vibes", preferences: str = "preferences", ratios: bool = True) -> DataFrame:
+                      vibes: str = "vibes", preferences: str = "preferences", ratios: bool = True, newest: str | None = None) -> DataFrame:
     """w_<component> per request: vibe defaults, overrides, then mean learned multipliers of its vibes.
 
     `ratios` normalizes before and after calibration (the form stored with a request); without it the raw
     weights are multiplied (the form used while planning, which may be applied on top of the stored one).
-    `calibrations` has one row per vibe (vibe, m_<component>), at most one per known vibe.
+    `calibrations` has rows (vibe, m_<component>); of several rows of a vibe the newest by `newest` counts, or without
+    that column the one with the largest multipliers in component order.
     """
     base = {k: F.coalesce(F.col(preferences)[k], v) for k, v in default_weights("__known").items()}
     df = requests.withColumn("__known", known_vibes(vibes)).withColumns({f"w_{k}": v for k, v in base.items()}).drop("__known")
@@ -79,7 +80,9 @@ def effective_weights(requests: DataFrame, calibrations: DataFrame | None, key:
     if calibrations is None:
         return df
     # The filter to known vibes bounds the broadcast side at nine rows.
-    table = F.broadcast(calibrations.where(F.col("vibe").isin(catalog.VIBES)).dropDuplicates(["vibe"]))
+    factors = F.struct(*[f"m_{k}" for k in catalog.COMPONENTS])
+    order = F.struct(F.col(newest), factors) if newest else factors
+    table = F.broadcast(calibrations.where(F.col("vibe").isin(catalog.VIBES)).groupBy("vibe").agg(F.max_by(factors, order).alias("m")).select("vibe", "m.*"))
     means = (df.select(key, F.explode(vibes).alias("vibe")).join(table, "vibe")
              .groupBy(key).agg(*[F.avg(f"m_{k}").alias(f"m_{k}") for k in catalog.COMPONENTS]))
     df = df.join(means, key, "left")

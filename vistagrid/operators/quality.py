@@ -29,7 +29,7 @@ def readiness_checks(audit: DataFrame) -> DataFrame:
 def audit_roads(roads: DataFrame) -> DataFrame:
     n = F.count("*")
     return roads.agg(n.alias("segments"), (F.count("road_type") / n).alias("type_coverage"), (F.count("surface") / n).alias("surface_coverage"),
-                     (F.count_if(F.col("speed_kmh") > 0) / n).alias("speed_coverage"), (F.count_if(F.coalesce("elevation_change", F.lit(0.0)) != 0) / n).alias("elevation_coverage"),
+                     (F.count("speed_kmh") / n).alias("speed_coverage"), (F.count_if(F.coalesce("elevation_change", F.lit(0.0)) != 0) / n).alias("elevation_coverage"),
                      F.count_distinct("cell").alias("tiles"))
 
 
@@ -66,12 +66,17 @@ def apply_release(tiles: DataFrame, release: DataFrame, columns: list[str]) -> D
     return tiles.join(r, "cell", "left").withColumns({x: F.coalesce(F.col(f"__{x}"), F.col(x)) for x in columns}).drop(*[f"__{x}" for x in columns])
 
 
-def gate_darkness(tiles: DataFrame, version: str) -> DataFrame:
-    """One row (tiles, verdict): why a release must not ship, or 'pass'."""
-    g = tiles.agg(F.count("*").alias("tiles"), F.count_if(F.coalesce("scoring_version", F.lit("")) == version).alias("at_version"),
-                  F.stddev_pop("darkness_score").alias("sd"), F.count_if(F.abs(F.col("urban_penalty_score") - F.col("building_density_score")) > 1e-6).alias("distinct_urban"))
-    verdict = (F.when(F.col("tiles") == 0, "no_tiles").when(F.col("at_version") < F.col("tiles"), "mixed_versions").when(F.coalesce("sd", F.lit(0.0)) <= 0.0001, "flat_darkness")
-               .when(F.col("distinct_urban") == 0, "urban_equals_building").otherwise("pass"))
+def gate_darkness(tiles: DataFrame, version: str, allow_neutral: bool = False) -> DataFrame:
+    """One row (tiles, verdict): why a release must not ship, or 'warn' when most penalties equal the density, or 'pass'.
+
+    Darkness is flat when no tile differs from the default or nothing varies; a dry run may allow that.
+    """
+    g = tiles.agg(F.count("*").alias("tiles"), F.count_if(F.col("scoring_version") == version).alias("at_version"),
+                  F.coalesce(F.stddev_pop("darkness_score"), F.lit(0.0)).alias("sd"), F.count_if(F.col("darkness_score") != 0.5).alias("changed"),
+                  F.count_if(F.col("building_density_score") == F.col("urban_penalty_score")).alias("equal_penalty"))
+    flat = F.lit(not allow_neutral) & ((F.col("changed") == 0) | (F.col("sd") <= 0))
+    verdict = (F.when(F.col("tiles") == 0, "no_tiles").when(F.col("at_version") != F.col("tiles"), "mixed_versions").when(flat, "flat_darkness")
+               .when(F.col("equal_penalty") >= F.col("tiles"), "urban_equals_building").when(F.col("equal_penalty") / F.col("tiles") > 0.5, "warn").otherwise("pass"))
     return g.select("tiles", verdict.alias("verdict"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistagrid.session import cut_lineage
+
 # Rows of one key that one task handles together.
 SPAN = 4096
 
@@ -31,6 +33,16 @@ def numbered(df: DataFrame, order: list, chunk: Column, keys: list[str] | None =
         "__chunk", "__rn", "__before")
 
 
+def numbered_in_ranges(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
+    """Dense 1-based position in the whole order: rows are dealt into even ranges of the full order, ranked there, and
+    shifted by the rows of earlier ranges. The ranges grow in number, not in size, with the data.
+
+    Range borders come from a sample, so the dealt rows are checkpointed before they are counted and ranked.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    return numbered(dealt, order, F.col("__range"), name=name).drop("__range")
+
+
 def with_halo(df: DataFrame, keys: list[str], seq: str, before: int = 0, after: int = 0, span: int = SPAN) -> DataFrame:
     """Splits each key into spans of `span` dense positions and copies the border rows into the neighbouring span.
 

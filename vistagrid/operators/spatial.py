@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vistagrid.session import cut_lineage
 from vistagrid.functions import cells, geo
 from vistagrid.functions.cells import HexGrid
 from vistagrid.functions.scalars import c
@@ -306,7 +307,9 @@ def nearest_node(points: DataFrame, nodes: DataFrame, grid: HexGrid, key: str, l
     """Nearest node by squared degrees: (key, node_id, distance2).
 
     Each level looks in a one-cell ring and accepts a hit only when it is closer than that ring reaches for sure; the
-    few points left over go to a seven-squared times larger cell. The last level accepts any hit.
+    few points left over go to a seven-squared times larger cell. Points far from every node are compared with the
+    bounding boxes of the nodes of each occupied cell of the coarsest level: the lattice bounds the number of boxes, and
+    only boxes that can hold the nearest node are joined.
     """
     todo = points.select(key, F.col("lat").alias("__plat"), F.col("lon").alias("__plon"))
     out = None
@@ -316,9 +319,35 @@ def nearest_node(points: DataFrame, nodes: DataFrame, grid: HexGrid, key: str, l
         d2 = (F.col("lat") - F.col("__plat")) * (F.col("lat") - F.col("__plat")) + (F.col("lon") - F.col("__plon")) * (F.col("lon") - F.col("__plon"))
         best = left.join(right, "__cell").withColumn("d2", d2).groupBy(key).agg(F.min(F.struct("d2", "node_id")).alias("b"))
         sure = (0.85 * grid.edge(res) / max(1.0, grid.aspect)) ** 2
-        if i < len(levels) - 1:
-            best = best.where(F.col("b.d2") <= sure)
-        found = best.select(key, F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("distance2"))
+        # Each level's answers are written once: the next levels would otherwise repeat all earlier ones.
+        state = cut_lineage(todo.join(best, key, "left"))
+        settled = F.coalesce(F.col("b.d2") <= sure, F.lit(False))
+        found = state.where(settled).select(key, F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("distance2"))
         out = found if out is None else out.unionByName(found)
-        todo = todo.join(found.select(key), key, "left_anti")
-    return out
+        todo = state.where(~settled).drop("b")
+    return out.unionByName(_nearest_far(todo, nodes, grid, key, levels[-1]))
+
+
+def _nearest_far(points: DataFrame, nodes: DataFrame, grid: HexGrid, key: str, res: int) -> DataFrame:
+    """Nearest node of points that may lie anywhere, by lower and upper bounds to the boxes of occupied cells."""
+    placed = nodes.select("node_id", "lat", "lon").withColumn("__cell", grid.cell_of("lat", "lon", res))
+    boxes = placed.groupBy("__cell").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
+    boxes = boxes.agg(F.collect_list(F.struct("__cell", "a", "b", "c", "d")).alias("__boxes"))
+    y, x = F.col("__plat"), F.col("__plon")
+
+    def square(v):
+        return v * v
+
+    def least(b):
+        return square(F.greatest(b["a"] - y, y - b["b"], F.lit(0.0))) + square(F.greatest(b["c"] - x, x - b["d"], F.lit(0.0)))
+
+    def most(b):
+        return square(F.greatest(F.abs(y - b["a"]), F.abs(y - b["b"]))) + square(F.greatest(F.abs(x - b["c"]), F.abs(x - b["d"])))
+
+    bounded = points.join(F.broadcast(boxes)).withColumn("__near", F.transform("__boxes", lambda b: F.struct(b["__cell"].alias("cell"), least(b).alias("low"), most(b).alias("high"))))
+    bounded = bounded.withColumn("__reach", F.array_min(F.transform("__near", lambda b: b["high"])))
+    wanted = bounded.select(key, "__plat", "__plon", F.explode(F.filter("__near", lambda b: b["low"] <= F.col("__reach") + 1e-12)).alias("n")).select(
+        key, "__plat", "__plon", F.col("n.cell").alias("__cell"))
+    d2 = square(F.col("lat") - y) + square(F.col("lon") - x)
+    best = wanted.join(placed, "__cell").withColumn("d2", d2).groupBy(key).agg(F.min(F.struct("d2", "node_id")).alias("b"))
+    return best.select(key, F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("distance2"))

@@ -113,7 +113,7 @@ def latest_states(spark, sf):
     return op.latest_state(domain(spark, sf, "lifecycle"))
 
 
-PAIRS = f"""even AS (SELECT p.route_id, p.lat, p.lon, t.request_id, t.option_no FROM route_points p JOIN trips t USING (route_id) WHERE n_points <= 60 OR EXISTS (SELECT 1 FROM range(0, 60) r(i) WHERE floor(i * (n_points - 1) / 59e0 + 0.5e0) = p.seq)),
+PAIRS = f"""even AS (SELECT p.route_id, p.lat, p.lon, t.request_id, t.option_no FROM route_points p JOIN trips t USING (route_id) WHERE n_points <= 80 OR EXISTS (SELECT 1 FROM range(0, 80) r(i) WHERE floor(i * (n_points - 1) / 79e0 + 0.5e0) = p.seq)),
   one_way AS (SELECT request_id, a, b, avg(d) AS m FROM (SELECT x.request_id, x.option_no AS a, y.option_no AS b, x.lat, x.lon, x.rn, min({q.hav('x.lat', 'x.lon', 'y.lat', 'y.lon', '6371e0')}) AS d
     FROM (SELECT *, row_number() OVER () AS rn FROM even) x JOIN even y ON x.request_id = y.request_id AND x.option_no <> y.option_no GROUP BY ALL) GROUP BY ALL),
   seps AS (SELECT request_id, least(a, b) AS first_option, greatest(a, b) AS second_option, avg(m) AS separation_km FROM one_way GROUP BY ALL),
@@ -128,7 +128,7 @@ PAIRS = f"""even AS (SELECT p.route_id, p.lat, p.lon, t.request_id, t.option_no
 
 
 def trip_pairs(spark, sf):
-    arrays = op.path_arrays(domain(spark, sf, "route_points"), samples=60)
+    arrays = op.path_arrays(domain(spark, sf, "route_points"))
     t = domain(spark, sf, "trips").select("request_id", "option_no", "route_id", "minutes", "km", "target_minutes").join(arrays, "route_id")
     p = op.option_pairs(t)
     return p.select("request_id", F.col("a_option_no").alias("first_option"), F.col("b_option_no").alias("second_option"),

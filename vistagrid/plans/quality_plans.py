@@ -27,7 +27,7 @@ def readiness(spark, sf):
     return qu.readiness_checks(qu.audit_tiles(domain(spark, sf, "tiles"), SIGNALS)).select("signal", "status")
 
 
-@query("road_audit", oracle(["roads"], """SELECT count(*) AS segments, count(road_type) / count(*) AS type_coverage, count(surface) / count(*) AS surface_coverage, count(*) FILTER (speed_kmh > 0) / count(*) AS speed_coverage,
+@query("road_audit", oracle(["roads"], """SELECT count(*) AS segments, count(road_type) / count(*) AS type_coverage, count(surface) / count(*) AS surface_coverage, count(speed_kmh) / count(*) AS speed_coverage,
     count(*) FILTER (elevation_change <> 0) / count(*) AS elevation_coverage, count(DISTINCT cell) AS tiles FROM roads""", "type_coverage surface_coverage speed_coverage elevation_coverage"))
 def road_audit(spark, sf):
     return qu.audit_roads(domain(spark, sf, "roads"))
@@ -66,9 +66,27 @@ def applied_release(spark, sf):
     return qu.apply_release(t, r, ["water_score", "green_score", "scoring_version"]).select("cell", "water_score", "scoring_version")
 
 
-@query("darkness_gate", oracle(["tiles"], f"SELECT count(*) AS tiles, CASE WHEN count(*) FILTER (coalesce(scoring_version, '') = '{V37}') < count(*) THEN 'mixed_versions' ELSE 'pass' END AS verdict FROM tiles"))
+# Variants of the tile table, one per verdict: (name, SQL columns version / darkness / density / penalty, allow neutral darkness).
+GATES = [("mixed", "scoring_version", "darkness_score", "building_density_score", "urban_penalty_score", False),
+         ("flat", f"'{V37}'", "0.5e0", "building_density_score", "urban_penalty_score", False),
+         ("neutral_allowed", f"'{V37}'", "0.5e0", "0.25e0", "CASE WHEN tile_key % 3 = 0 THEN 0.25e0 ELSE 0.75e0 END", True),
+         ("equal", f"'{V37}'", "(tile_key % 7) / 8e0", "0.25e0", "0.25e0", False),
+         ("mostly_equal", f"'{V37}'", "(tile_key % 7) / 8e0", "0.25e0", "CASE WHEN tile_key % 3 = 0 THEN 0.75e0 ELSE 0.25e0 END", False),
+         ("fine", f"'{V37}'", "(tile_key % 7) / 8e0", "0.25e0", "CASE WHEN tile_key % 3 = 0 THEN 0.25e0 ELSE 0.75e0 END", False)]
+_gate = " UNION ALL ".join(f"""SELECT '{n}' AS variant, count(*) AS tiles, CASE WHEN count(*) <= 0 THEN 'no_tiles' WHEN count(*) FILTER ({v} = '{V37}') <> count(*) THEN 'mixed_versions'
+    WHEN NOT {str(ok).lower()} AND (count(*) FILTER ({d} <> 0.5) <= 0 OR coalesce(stddev_pop({d}), 0) <= 0) THEN 'flat_darkness' WHEN count(*) FILTER ({b} = {u}) >= count(*) THEN 'urban_equals_building'
+    WHEN count(*) FILTER ({b} = {u}) / count(*) > 0.5 THEN 'warn' ELSE 'pass' END AS verdict FROM tiles""" for n, v, d, b, u, ok in GATES)
+
+
+@query("darkness_gate", oracle(["tiles"], _gate))
 def darkness_gate(spark, sf):
-    return qu.gate_darkness(domain(spark, sf, "tiles"), V37)
+    out = None
+    for name, version, darkness, density, penalty, ok in GATES:
+        t = domain(spark, sf, "tiles").withColumns({"scoring_version": F.expr(version), "darkness_score": F.expr(darkness.replace("e0", "d")),
+                                                    "building_density_score": F.expr(density.replace("e0", "d")), "urban_penalty_score": F.expr(penalty.replace("e0", "d"))})
+        row = qu.gate_darkness(t, V37, ok).select(F.lit(name).alias("variant"), "tiles", "verdict")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("budget_flags", oracle(["candidates"], "SELECT candidate_id, minutes > target_minutes + greatest(5e0, target_minutes * 0.15e0) AS over_budget, minutes < greatest(10e0, target_minutes * 0.55e0) AS under_budget FROM candidates"))

@@ -159,17 +159,22 @@ def road_anchors(spark, sf):
 _node = "concat(CAST(round(geom[{i}].lat * 1e7) AS BIGINT), ',', CAST(round(geom[{i}].lon * 1e7) AS BIGINT))"
 
 
-@query("road_edges", oracle(["roads", "tiles"], f"SELECT road_id, {_node.format(i=1)} AS from_node, {_node.format(i=3)} AS to_node, 1 - coalesce(scenic_score, 0.5e0) + length_m / 100000 AS weight FROM roads LEFT JOIN (SELECT cell, scenic_score FROM tiles WHERE tile_key % 5 <> 0) USING (cell)", "weight"))
+@query("road_edges", oracle(["roads", "tiles"], f"SELECT road_id, {_node.format(i=1)} AS from_node, {_node.format(i=3)} AS to_node, 1 - coalesce(scenic_score, 0.5e0) + length_m / 100000 AS weight FROM roads LEFT JOIN (SELECT cell, scenic_score FROM tiles) USING (cell)", "weight"))
 def road_edges(spark, sf):
-    t = domain(spark, sf, "tiles").where("tile_key % 5 <> 0").select("cell", F.col("scenic_score").alias("tile_score"))
+    t = domain(spark, sf, "tiles").select("cell", F.col("scenic_score").alias("tile_score"))
     return rq.road_edges(domain(spark, sf, "roads"), t)
 
 
-@query("nearest_nodes", oracle([TR, "roads"], f"""SELECT request_id, min(d2) AS distance2 FROM (SELECT p.request_id, (n.lat - p.lat) ** 2 + (n.lon - p.lon) ** 2 AS d2 FROM trip_requests p JOIN (
-    SELECT DISTINCT geom[1].lat AS lat, geom[1].lon AS lon FROM roads UNION SELECT DISTINCT geom[3].lat, geom[3].lon FROM roads) n ON abs(n.lat - p.lat) < 0.05 AND abs(n.lon - p.lon) < 0.05) GROUP BY 1""", "distance2"))
+@query("nearest_nodes", oracle([TR, "roads"], f"""SELECT request_id, distance2 FROM (SELECT request_id, min(d2) AS distance2 FROM (SELECT p.request_id, (n.lat - p.lat) ** 2 + (n.lon - p.lon) ** 2 AS d2 FROM trip_requests p JOIN n ON abs(n.lat - p.lat) < 0.05 AND abs(n.lon - p.lon) < 0.05) GROUP BY 1
+    UNION ALL SELECT request_id, min((n.lat - p.lat) ** 2 + (n.lon - p.lon) ** 2) FROM (SELECT request_id + 10000000 AS request_id, lat - request_id % 80 AS lat, lon + 5 + request_id % 120 AS lon FROM trip_requests WHERE request_id % 16 = 0) p CROSS JOIN n GROUP BY 1)""", "distance2",
+    "n AS (SELECT DISTINCT geom[1].lat AS lat, geom[1].lon AS lon FROM roads UNION SELECT DISTINCT geom[3].lat, geom[3].lon FROM roads)"))
 def nearest_nodes(spark, sf):
+    """All requests, and a sixteenth of them moved far from every node."""
     nodes = rq.road_nodes(domain(spark, sf, "roads"))
-    return sp.nearest_node(domain(spark, sf, TR), shared(nodes), GRID, "request_id").select("request_id", "distance2")
+    r = domain(spark, sf, TR).select("request_id", "lat", "lon")
+    far = r.where("request_id % 16 = 0").select((F.col("request_id") + 10000000).alias("request_id"), (F.col("lat") - F.col("request_id") % 80).alias("lat"),
+                                                (F.col("lon") + 5 + F.col("request_id") % 120).alias("lon"))
+    return sp.nearest_node(r.unionByName(far), shared(nodes), GRID, "request_id").select("request_id", "distance2")
 
 
 @query("recent_requests", oracle(["requests"], """SELECT 'latest' AS kind, request_id FROM (SELECT * FROM requests ORDER BY created_us DESC, request_id DESC LIMIT 40) UNION ALL

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vistagrid.functions import catalog, geo
-from vistagrid.operators.skew import numbered
+from vistagrid.operators.skew import numbered_in_ranges
 from vistagrid.plans import sqlgen as q
 from vistagrid.plans.registry import oracle, query
 from vistagrid.sources import readers as rd
@@ -21,9 +21,9 @@ def tiles_of_version(spark, sf):
     return domain(spark, sf, "tiles").where(F.col("scoring_version") == V37).select("cell", "scenic_score", "bridge_coastal_score", "last_scored_us")
 
 
-@query("road_scan", oracle(["roads"], "SELECT road_id, way_id, cell, length_m, speed_kmh, road_type, surface, len(geom) AS points FROM roads WHERE speed_kmh >= 80", "length_m"))
+@query("road_scan", oracle(["roads"], "SELECT road_id, way_id, cell, length_m, speed_kmh, road_type, surface, len(geom) AS points FROM roads", "length_m"))
 def road_scan(spark, sf):
-    return domain(spark, sf, "roads").where("speed_kmh >= 80").select(
+    return domain(spark, sf, "roads").select(
         "road_id", "way_id", "cell", "length_m", "speed_kmh", "road_type", "surface", F.size("geom").alias("points"))
 
 
@@ -137,21 +137,23 @@ def segment_endpoints(spark, sf):
     return rd.segment_endpoints(domain(spark, sf, "roads"))
 
 
-def _join_points(item: str, sep: str) -> str:
-    return f"string_agg({item}, '{sep}' ORDER BY seq)"
 
 
+def _document_sql(name: str, head: str, point: str, between: str, foot: str) -> str:
+    part = f"CAST(floor(seq / {rd.EXPORT_SPAN}) AS BIGINT) + 1"
+    return f"""SELECT route_id, {part} AS part, concat(CASE WHEN {part} > 1 THEN '{between}' ELSE '' END, string_agg({point}, '{between}' ORDER BY seq)) AS {name} FROM route_points GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT route_id, 0, {head} FROM route_points UNION ALL SELECT route_id, max({part}) + 1, '{foot}' FROM route_points GROUP BY 1"""
 
 
-@query("exported_geojson", oracle(["route_points"], f"""SELECT route_id, CAST(floor(seq / {rd.EXPORT_PART_POINTS}) AS BIGINT) AS part, concat('{{"type":"Feature","properties":{{"routeId":', route_id,
-    '}},"geometry":{{"type":"LineString","coordinates":[', {_join_points("concat('[', lon, ',', lat, ']')", ',')}, ']}}}}') AS geojson FROM route_points GROUP BY 1, 2"""))
+@query("exported_geojson", oracle(["route_points"], _document_sql(
+    "geojson", """concat('{"type":"Feature","properties":{"routeId":', route_id, '},"geometry":{"type":"LineString","coordinates":[')""", "concat('[', lon, ',', lat, ']')", ",", "]}}")))
 def exported_geojson(spark, sf):
     return rd.export_geojson(domain(spark, sf, "route_points"))
 
 
-@query("exported_gpx", oracle(["route_points"], f"""SELECT route_id, CAST(floor(seq / {rd.EXPORT_PART_POINTS}) AS BIGINT) AS part,
-    concat('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>Loop &amp; &quot;view&quot; ', route_id, '</name><trkseg>',
-    {_join_points("concat('<trkpt lat=\"', lat, '\" lon=\"', lon, '\" />')", '')}, '</trkseg></trk></gpx>') AS gpx FROM route_points GROUP BY 1, 2"""))
+@query("exported_gpx", oracle(["route_points"], _document_sql(
+    "gpx", """concat('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>Loop &amp; &quot;view&quot; ', route_id, '</name><trkseg>')""",
+    """concat('<trkpt lat="', lat, '" lon="', lon, '" />')""", "", "</trkseg></trk></gpx>")))
 def exported_gpx(spark, sf):
     return rd.export_gpx(domain(spark, sf, "route_points"), 'Loop & "view"')
 
@@ -196,14 +198,14 @@ def spec_routes(spark, sf):
 
 @query("numbered_tiles", oracle(["tiles"], "SELECT cell, row_number() OVER (ORDER BY cell) AS rn FROM tiles"))
 def numbered_tiles(spark, sf):
-    """Global numbering by cell text, ranked inside two-character prefixes."""
-    return numbered(domain(spark, sf, "tiles").select("cell"), ["cell"], F.substring("cell", 1, 2)).select("cell", "rn")
+    """Global numbering by cell text, ranked inside ranges of the order."""
+    return numbered_in_ranges(domain(spark, sf, "tiles").select("cell"), ["cell"]).select("cell", "rn")
 
 
 @query("batch_plan", oracle(["tiles"], f"""SELECT CAST((rn - 1) // 300 AS BIGINT) AS batch, min(rn) AS start_rn, max(rn) AS end_rn, count(*) AS n, min(cell) AS first_cell FROM (
     SELECT cell, row_number() OVER (ORDER BY cell) AS rn FROM tiles WHERE coalesce(scoring_version, '') <> '{V37}') GROUP BY 1"""))
 def batch_plan(spark, sf):
-    df = numbered(rd.target_tiles(domain(spark, sf, "tiles"), V37).select("cell"), ["cell"], F.substring("cell", 1, 2))
+    df = numbered_in_ranges(rd.target_tiles(domain(spark, sf, "tiles"), V37).select("cell"), ["cell"])
     return df.withColumn("batch", F.floor((F.col("rn") - 1) / 300)).groupBy("batch").agg(
         F.min("rn").alias("start_rn"), F.max("rn").alias("end_rn"), F.count("*").alias("n"), F.min("cell").alias("first_cell"))
 

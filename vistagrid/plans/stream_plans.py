@@ -47,12 +47,12 @@ def rollup_by_day(spark, sf):
 NOW_US = 820454400000000 + 86400_000_000 * 400
 
 
-@query("expired_jobs", oracle(["jobs"], f"SELECT job_id, status FROM jobs WHERE status IN ('QUEUED', 'PROCESSING', 'PRIMARY_READY') AND lease_us + 30000000 < {NOW_US}"))
+@query("expired_jobs", oracle(["jobs"], f"SELECT job_id, status FROM jobs WHERE status IN ('QUEUED', 'PROCESSING', 'PRIMARY_READY') AND (lease_us < {NOW_US} OR (lease_us IS NULL AND started_us < {NOW_US} - 600000000))"))
 def expired_jobs(spark, sf):
-    return st.expired_jobs(domain(spark, sf, "jobs"), NOW_US).select("job_id", "status")
+    return st.expired_jobs(domain(spark, sf, "jobs"), NOW_US, NOW_US - 600_000_000).select("job_id", "status")
 
 
-@query("due_dispatches", oracle(["jobs"], f"SELECT job_id, least(60000, 500 * 2 ** greatest(0, attempts - 1))::BIGINT AS delay_ms FROM jobs WHERE sent_us IS NULL AND coalesce(available_us, 0) <= {NOW_US} AND status IN ('QUEUED', 'PROCESSING') ORDER BY available_us NULLS FIRST, job_id LIMIT 200"))
+@query("due_dispatches", oracle(["jobs"], f"SELECT job_id, least(60000, 500 * 2 ** greatest(0, attempts - 1))::BIGINT AS delay_ms FROM jobs WHERE sent_us IS NULL AND available_us <= {NOW_US} AND status IN ('QUEUED', 'PRIMARY_READY') AND (dispatch_lease_us IS NULL OR dispatch_lease_us <= {NOW_US}) ORDER BY submitted_us, job_id LIMIT 200"))
 def due_dispatches(spark, sf):
     return st.due_dispatches(domain(spark, sf, "jobs"), NOW_US, 200).select("job_id", st.retry_delay("attempts").alias("delay_ms"))
 
@@ -67,5 +67,4 @@ def queue_latency(spark, sf):
 def malformed_events(spark, sf):
     r = domain(spark, sf, "requests").where("preferences_json IS NOT NULL").select("request_id", F.col("preferences_json").alias("value"))
     parsed = r.withColumn("e", F.from_json("value", "Water double")).select("request_id", "value", "e.*")
-    dead = st.split_malformed(parsed.withColumn("value", F.col("value")), ["Water"])[1].distinct()
-    return r.join(dead, "value").select("request_id", "reason")
+    return st.split_malformed(parsed, ["Water"], carry=["request_id"])[1].select("request_id", "reason")

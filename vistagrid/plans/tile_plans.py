@@ -35,11 +35,11 @@ _profile_rows = q.values([(k, *p[1]) for k, p in catalog.VIBE_PROFILES.items()],
       SELECT *, row_number() OVER (PARTITION BY vibe ORDER BY selection DESC, cell) AS position FROM (
         SELECT vibe, cell, scenic, fit, round(scenic * 0.35e0 + fit * 0.65e0, 9) AS selection FROM (
           SELECT p.vibe, s.cell, {q.tile_score({k: f'p.w_{k}' for k in catalog.COMPONENTS})} AS scenic, f.fit
-          FROM scored s CROSS JOIN {_profile_rows} p JOIN fits f ON f.tile_key = s.tile_key AND f.vibe = p.vibe WHERE s.scoring_version LIKE '3.%')))
+          FROM scored s CROSS JOIN {_profile_rows} p JOIN fits f ON f.tile_key = s.tile_key AND f.vibe = p.vibe)))
       WHERE position <= 25""", "scenic fit selection", SCORED + f", fits AS ({q.fit_rows('scored')})"))
 def flagship_vibe_tiles(spark, sf):
-    """Best 25 enriched tiles of each vibe: score and fit per tile first, then one bounded top-k per vibe."""
-    tiles = scored_tiles(spark, sf).where(scoring.enriched())
+    """Best 25 tiles of each vibe: score and fit per tile first, then one bounded top-k per vibe."""
+    tiles = scored_tiles(spark, sf)
     entries = [F.struct(F.lit(v).alias("vibe"), scoring.score_tile(literal_weights(p[1])).alias("scenic"),
                         scoring.vibe_fit_one(v).alias("fit")) for v, p in catalog.VIBE_PROFILES.items()]
     rows = tiles.select("cell", F.explode(F.array(*entries)).alias("e")).select("cell", "e.*")

@@ -380,7 +380,8 @@ def _jobs(d: Dialect) -> str:
       {d.micros('o_orderdate')} + ({k} % 50) * 1000000 AS started_us,
       CASE WHEN {k} % 4 = 0 THEN NULL ELSE {d.micros('o_orderdate')} + (60 + {k} % 300) * 1000000 END AS completed_us,
       CASE WHEN {k} % 3 = 0 THEN NULL ELSE {d.micros('o_orderdate')} + (55 + {k} % 200) * 1000000 END AS primary_us,
-      {d.micros('o_orderdate')} + ({k} % 97) * 1000000 AS lease_us,
+      CASE WHEN {k} % 7 = 0 THEN NULL ELSE {d.micros('o_orderdate')} + ({k} % 97) * 1000000 END AS lease_us,
+      CASE WHEN {k} % 6 <> 0 THEN {d.micros('o_orderdate')} + ({k} % 89) * 1000000 END AS dispatch_lease_us,
       {pick(f'{k} % 5', ['QUEUED', 'PROCESSING', 'COMPLETED', 'FAILED', 'PRIMARY_READY'])} AS status,
       CAST({k} % 4 AS INT) AS option_count, {pick(f'{k} % 2', ['drive', 'cycle'])} AS route_mode,
       {pick(f'{k} % 6', catalog.STRATEGIES)} AS strategy,

@@ -197,34 +197,37 @@ def segment_endpoints(roads: DataFrame, limit: int | None = None) -> DataFrame:
     return out if limit is None else out.orderBy("road_id").limit(limit)
 
 
-# A route's exported text is one cell of the output, so it has to fit one row; longer routes are cut into numbered
-# parts of this many points, which a reader concatenates in order.
-EXPORT_PART_POINTS = 20000
+# Points in one body row of an exported route.
+EXPORT_SPAN = 4096
 
 
-def _ordered_points(points: DataFrame) -> DataFrame:
-    part = F.floor(F.col("seq") / EXPORT_PART_POINTS).alias("part")
-    return points.groupBy("route_id", part).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))).alias("pts"))
+def _document(points: DataFrame, name: str, head: Column, point: Column, between: str, foot: str) -> DataFrame:
+    """(route_id, part, text) rows of one document per route: a header row, body rows in order, a footer row.
+
+    Every route has this shape, whatever its length, and the texts joined in the order of `part` are the valid file.
+    """
+    part = F.floor(F.col("seq") / EXPORT_SPAN) + 1
+    lines = points.select("route_id", part.alias("part"), "seq", point.alias("line"))
+    body = lines.groupBy("route_id", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda p: p["line"]), between).alias("text"))
+    body = body.select("route_id", "part", F.when(F.col("part") > 1, F.concat(F.lit(between), "text")).otherwise(F.col("text")).alias(name))
+    ends = body.groupBy("route_id").agg(F.max("part").alias("last"))
+    rows = F.array(F.struct(F.lit(0).cast("bigint").alias("part"), head.alias(name)), F.struct((F.col("last") + 1).alias("part"), F.lit(foot).alias(name)))
+    return body.unionByName(ends.select("route_id", F.explode(rows).alias("r")).select("route_id", "r.*"))
 
 
 def export_geojson(points: DataFrame) -> DataFrame:
-    """One LineString feature text per route part."""
-    xy = F.transform("pts", lambda p: F.concat(F.lit("["), p["lon"].cast("string"), F.lit(","), p["lat"].cast("string"), F.lit("]")))
-    feature = F.concat(F.lit('{"type":"Feature","properties":{"routeId":'), F.col("route_id").cast("string"),
-                       F.lit('},"geometry":{"type":"LineString","coordinates":['), F.array_join(xy, ","), F.lit("]}}"))
-    return _ordered_points(points).select("route_id", "part", feature.alias("geojson"))
+    """LineString feature text of each route, as header, body and footer rows."""
+    head = F.concat(F.lit('{"type":"Feature","properties":{"routeId":'), F.col("route_id").cast("string"), F.lit('},"geometry":{"type":"LineString","coordinates":['))
+    point = F.concat(F.lit("["), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]"))
+    return _document(points, "geojson", head, point, ",", "]}}")
 
 
 def export_gpx(points: DataFrame, title: str = "Route") -> DataFrame:
-    """One GPX track text per route part."""
-    trk = F.transform("pts", lambda p: F.concat(F.lit('<trkpt lat="'), p["lat"].cast("string"), F.lit('" lon="'),
-                                                p["lon"].cast("string"), F.lit('" />')))
-    head = ('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'
-            + sax.escape(title, {'"': "&quot;"}) + " ")
-    gpx = F.concat(F.lit(head), F.col("route_id").cast("string"), F.lit("</name><trkseg>"), F.array_join(trk, ""),
-                   F.lit("</trkseg></trk></gpx>"))
-    return _ordered_points(points).select("route_id", "part", gpx.alias("gpx"))
+    """GPX track text of each route, as header, body and footer rows."""
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'
+                          + sax.escape(title, {'"': "&quot;"}) + " "), F.col("route_id").cast("string"), F.lit("</name><trkseg>"))
+    point = F.concat(F.lit('<trkpt lat="'), F.col("lat").cast("string"), F.lit('" lon="'), F.col("lon").cast("string"), F.lit('" />'))
+    return _document(points, "gpx", head, point, "", "</trkseg></trk></gpx>")
 
 
 def _decode(text: str) -> tuple[list[float], list[float]]:
