@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vistagrid.functions import catalog, text
+from vistagrid.functions.scalars import clamp01
 
 
 def audit_tiles(tiles: DataFrame, signals: list[str], neutral: float = 0.5) -> DataFrame:
@@ -19,30 +20,59 @@ def audit_tiles(tiles: DataFrame, signals: list[str], neutral: float = 0.5) -> D
     return tiles.agg(*aggs).select(F.explode(F.array(*signals)).alias("x")).select("x.*")
 
 
-def readiness_checks(audit: DataFrame) -> DataFrame:
-    """Status per signal: flat when the spread is at most 0.01, neutral when 90 % of the tiles carry the default, empty when all are 0."""
-    status = (F.when(F.col("non_zero_share") == 0, "empty").when(F.col("stddev_value") <= 0.01, "flat")
-              .when(F.col("neutral_share") >= 0.90, "neutral").otherwise("ready"))
-    return audit.withColumn("status", status)
+def readiness_checks(tiles: DataFrame, roads: DataFrame, places: DataFrame, waters: DataFrame, landcover: DataFrame, parks: DataFrame, light: DataFrame) -> DataFrame:
+    """(check, status) of every data source: ready, needs data QA, missing, candidate, present or partial.
+
+    Each check is one aggregate over its table, so the result has a fixed number of rows.
+    """
+    def check(name, df, status):
+        return df.agg(F.lit(name).alias("check"), status.alias("status")).select("check", "status")
+
+    n = F.count("*")
+    dark = F.coalesce(F.stddev_pop("darkness_score"), F.lit(0.0))
+    neutral = F.coalesce(F.count_if(F.col("darkness_score") == 0.5) / n, F.lit(1.0))
+    tags = audit_tags(places, None)
+    seen = F.coalesce(F.sum(F.when(F.col("feature").isin("viewpoint", "peak"), F.col("n"))), F.lit(0))
+    rows = [check("darkness", tiles, F.when((dark > 0.01) & (neutral < 0.90), "ready").otherwise("needs data QA")),
+            check("road_stress_score", tiles, F.when(F.coalesce(F.stddev_pop("road_stress_score"), F.lit(0.0)) > 0.01, "ready").otherwise("needs data QA")),
+            check("light_samples", light, F.when(n > 0, "present").otherwise("missing")),
+            check("road_class", roads, F.when(n > 0, "candidate").otherwise("blocked")),
+            check("viewpoints", tags, F.when(seen > 0, "candidate").otherwise("needs data QA")),
+            check("water_visibility", waters, F.when(n > 0, "partial").otherwise("needs data QA")),
+            check("tree_canopy", landcover, F.when(n > 0, "partial").otherwise("missing")),
+            check("parks", parks, F.when(n > 0, "ready").otherwise("missing"))]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
 
 
 def audit_roads(roads: DataFrame) -> DataFrame:
     n = F.count("*")
     return roads.agg(n.alias("segments"), (F.count("road_type") / n).alias("type_coverage"), (F.count("surface") / n).alias("surface_coverage"),
                      (F.count("speed_kmh") / n).alias("speed_coverage"), (F.count_if(F.coalesce("elevation_change", F.lit(0.0)) != 0) / n).alias("elevation_coverage"),
-                     F.count_distinct("cell").alias("tiles"))
+                     (F.count_if(F.col("road_type").isin("motorway", "trunk", "primary")) / n).alias("major_share"),
+                     (F.count_if(F.col("road_type").isin("residential", "service", "living_street")) / n).alias("local_share"), F.count_distinct("cell").alias("tiles"))
 
 
 def top_road_types(roads: DataFrame, n: int = 12) -> DataFrame:
     return roads.groupBy(F.coalesce("road_type", F.lit("unknown")).alias("road_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "road_type").limit(n)
 
 
-def audit_tags(places: DataFrame, lines: DataFrame) -> DataFrame:
-    """Counts of tagged features, as (feature, n) rows."""
-    p = places.agg(F.count_if(text.tag_in("tags", "tourism", ["viewpoint"])).alias("viewpoint"), F.count_if(text.tag_in("tags", "natural", ["peak"])).alias("peak"))
-    x = lines.agg(F.count_if(text.tag_set("tags", "bridge")).alias("bridge"), F.count_if(text.tag_set("tags", "tunnel")).alias("tunnel"),
-                  F.count_if(text.tag_present("tags", "waterway")).alias("waterway"))
-    return p.unpivot([], ["viewpoint", "peak"], "feature", "n").unionByName(x.unpivot([], ["bridge", "tunnel", "waterway"], "feature", "n"))
+def audit_tags(places: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Counts of tagged features, as (feature, n) rows; without `lines` only those of points."""
+    points = {"viewpoint": text.tag_in("tags", "tourism", ["viewpoint"]), "peak": text.tag_in("tags", "natural", ["peak"]), "spring": text.tag_in("tags", "natural", ["spring"]),
+              "tourism": F.col("tags")["tourism"].isNotNull()}
+    bridge = text.tag_set("tags", "bridge")
+    seasonal = text.tag_set("tags", "seasonal") | F.col("tags")["winter_road"].isNotNull() | F.col("tags")["ice_road"].isNotNull() | F.col("tags")["access:conditional"].isNotNull()
+    ways = {"bridge": bridge, "tunnel": text.tag_set("tags", "tunnel"), "waterway": text.tag_present("tags", "waterway"), "seasonal": seasonal,
+            "coastal_hint": bridge | F.col("tags")["waterway"].isNotNull() | F.col("tags")["ford"].isNotNull()}
+    out = None
+    for df, kinds in ((places, points), (lines, ways)):
+        if df is not None:
+            part = df.agg(*[F.count_if(v).alias(k) for k, v in kinds.items()]).unpivot([], list(kinds), "feature", "n")
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 def validate_release(release: DataFrame, target: DataFrame, version: str, signals: list[str]) -> DataFrame:
@@ -91,27 +121,78 @@ def target_components(vibes) -> Column:
     return F.array_distinct(F.flatten(F.transform(vibes, lambda v: table[v])))
 
 
-# Contract limits. Fixed values. metric -> (comparison, limit)
-CONTRACT = {"repeated_corridor_ok": ("repeated_cell_share", "<=", 0.25), "leg_separation_ok": ("leg_separation", ">=", 0.35),
-            "backtracking_risk_ok": ("backtracking_penalty", "<=", 0.35), "corridor_urban_pressure_ok": ("urban_penalty", "<=", 0.42),
-            "edge_urban_pressure_ok": ("start_end_penalty", "<=", 0.58)}
+# Contract limits, the vibes a flag belongs to, and the messages of broken flags, in their order.
+LIMITS = {"closure_km": 3.0, "unique_ratio": 0.72, "repeated_corridor_cell_share": 0.25, "leg_separation_score": 0.35, "backtracking_penalty": 0.35,
+          "corridor_urban_pressure": 0.42, "edge_urban_pressure": 0.58, "scenic_peak": 0.42, "score": 0.65, "water": 0.28, "elevation": 0.28, "quiet": 0.32,
+          "road_stress_score": 0.48, "tree_canopy_score": 0.26}
+FLAG_VIBES = {"water_share_ok": ["coastal", "riverside"], "elevation_curve_share_ok": ["mountain", "winding_roads", "adventure"],
+              "quiet_share_ok": ["countryside", "open_roads", "relaxing"], "road_stress_ok": ["countryside", "open_roads", "relaxing"],
+              "tree_canopy_ok": ["nature_escape"]}
 WARNINGS = {"time_budget_fit": "Route duration does not fit the requested time budget.", "loop_closure": "Route does not close cleanly as a loop.",
+            "low_repeated_road_risk": "Route may repeat too much road.",
             "repeated_corridor_ok": "Route reuses too many corridor cells.", "leg_separation_ok": "Route legs may not separate enough.",
             "backtracking_risk_ok": "Route may backtrack too much.", "corridor_urban_pressure_ok": "Route corridor has more urban pressure than expected.",
-            "edge_urban_pressure_ok": "Route starts or ends in a more urban area.", "scenic_peak_ok": "Route lacks a strong scenic stretch."}
+            "edge_urban_pressure_ok": "Route starts or ends in a more urban area.", "scenic_peak_ok": "Route lacks a strong scenic stretch.",
+            "water_share_ok": "Water-focused vibe has low water corridor share.", "elevation_curve_share_ok": "Mountain or winding vibe has weak elevation/curve share.",
+            "quiet_share_ok": "Quiet/rural vibe has weak quiet corridor share.", "road_stress_ok": "Quiet/rural vibe uses higher-stress road classes.",
+            "tree_canopy_ok": "Nature vibe has weak tree-canopy signal."}
+
 
+def contract_flags(routes: DataFrame, metrics: str = "metrics", components: str = "components", vibes: str = "vibes") -> DataFrame:
+    """The 15 contract flags of each route; flags of other vibes are null.
 
-def contract_flags(routes: DataFrame) -> DataFrame:
-    """Contract flags per route; a missing metric counts as kept. Needs minutes, target_minutes, closure_km, scenic peaks and score."""
-    b = budget_flags()
-    flags = {"time_budget_fit": ~b["over_budget"] & ~b["under_budget"], "loop_closure": F.col("closure_km") <= 3.0,
-             "scenic_peak_ok": (F.greatest("scenic_moments_score", "photo_peak") >= 0.42) | (F.col("score") >= 0.65)}
-    for name, (metric, op, limit) in CONTRACT.items():
-        kept = F.col(metric) <= limit if op == "<=" else F.col(metric) >= limit
-        flags[name] = F.coalesce(kept, F.lit(True))
+    Needs minutes, target_minutes, closure_km, unique_ratio (distinct places over points), score, the map `metrics` of
+    the score breakdown, the map `components` of tile averages, and the list `vibes`. A metric that is absent counts as
+    kept where it is a limit and as 0 where it is a share.
+    """
+    m, comp = F.col(metrics), F.col(components)
+
+    def known(key):
+        return F.when(m[key].isNotNull(), clamp01(m[key]))
+
+    def value(key):
+        return F.coalesce(known(key), F.lit(0.0))
+
+    def at_most(limit, *keys):
+        return F.coalesce(F.coalesce(*[known(k) for k in keys]) <= limit, F.lit(True))
+
+    def at_least(limit, key):
+        return F.coalesce(known(key) >= limit, F.lit(True))
+
+    def best(key, component):
+        return clamp01(F.greatest(value(key), F.coalesce(comp[component], F.lit(0.0))))
+
+    b, target = budget_flags(), F.coalesce(F.col("target_minutes"), F.lit(0))
+    urban = at_most(LIMITS["corridor_urban_pressure"], "corridor_urban_pressure", "urban_penalty")
+    flags = {"time_budget_fit": (target <= 0) | (~b["over_budget"] & ~b["under_budget"]),
+             "loop_closure": F.coalesce(F.col("closure_km"), F.lit(0.0)) <= LIMITS["closure_km"],
+             "low_repeated_road_risk": F.coalesce(F.col("unique_ratio"), F.lit(1.0)) >= LIMITS["unique_ratio"],
+             "repeated_corridor_ok": at_most(LIMITS["repeated_corridor_cell_share"], "repeated_corridor_cell_share"),
+             "leg_separation_ok": at_least(LIMITS["leg_separation_score"], "leg_separation_score"),
+             "backtracking_risk_ok": at_most(LIMITS["backtracking_penalty"], "backtracking_penalty"),
+             "corridor_urban_pressure_ok": urban,
+             "edge_urban_pressure_ok": at_most(LIMITS["edge_urban_pressure"], "edge_urban_pressure", "start_end_penalty"),
+             "urban_pressure_ok": urban,
+             "scenic_peak_ok": (F.greatest(value("scenic_moments_score"), value("photo_peak_score")) >= LIMITS["scenic_peak"])
+             | F.coalesce(F.col("score") >= LIMITS["score"], F.lit(False)),
+             "water_share_ok": F.greatest(best("water_corridor_share", "water"), value("bridge_coastal_score")) >= LIMITS["water"],
+             "elevation_curve_share_ok": best("curve_elevation_corridor_share", "elevation") >= LIMITS["elevation"],
+             "quiet_share_ok": best("quiet_corridor_share", "solitude") >= LIMITS["quiet"],
+             "road_stress_ok": at_most(LIMITS["road_stress_score"], "road_stress_score"),
+             "tree_canopy_ok": at_least(LIMITS["tree_canopy_score"], "tree_canopy_score")}
+    for name, wanted in FLAG_VIBES.items():
+        flags[name] = F.when(F.arrays_overlap(F.col(vibes), F.array(*[F.lit(v) for v in wanted])), flags[name])
     return routes.withColumns(flags)
 
 
 def contract_warnings() -> Column:
-    """Messages of the broken flags, in fixed order."""
+    """Messages of the broken flags, in fixed order; flags of other vibes say nothing."""
     return F.filter(F.array(*[F.when(~F.col(k), F.lit(v)) for k, v in WARNINGS.items()]), lambda w: w.isNotNull())
+
+
+def unique_ratio(points: DataFrame) -> DataFrame:
+    """Distinct places at five digits over the points of each route; 1 for fewer than two points."""
+    place = F.concat_ws(",", F.round("lon", 5), F.round("lat", 5))
+    per = points.groupBy("route_id", place.alias("place")).agg(F.count("*").alias("n"))
+    n = F.sum("n")
+    return per.groupBy("route_id").agg(F.when(n < 2, 1.0).otherwise(F.count("*") / n).alias("unique_ratio"))

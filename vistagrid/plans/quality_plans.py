@@ -22,13 +22,25 @@ def tile_audit(spark, sf):
     return qu.audit_tiles(domain(spark, sf, "tiles"), SIGNALS)
 
 
-@query("readiness", oracle(["tiles"], f"SELECT signal, CASE WHEN non_zero_share = 0 THEN 'empty' WHEN stddev_value <= 0.01 THEN 'flat' WHEN neutral_share >= 0.9 THEN 'neutral' ELSE 'ready' END AS status FROM ({AUDIT})"))
+@query("readiness", oracle(["tiles", "roads", "places", "water", "raster_tiles", "areas", "light_samples"], """SELECT 'darkness' AS "check", CASE WHEN stddev_pop(darkness_score) > 0.01 AND count(*) FILTER (darkness_score = 0.5) / count(*) < 0.9 THEN 'ready' ELSE 'needs data QA' END AS status FROM tiles
+    UNION ALL SELECT 'road_stress_score', CASE WHEN stddev_pop(road_stress_score) > 0.01 THEN 'ready' ELSE 'needs data QA' END FROM tiles
+    UNION ALL SELECT 'light_samples', CASE WHEN count(*) > 0 THEN 'present' ELSE 'missing' END FROM light_samples UNION ALL SELECT 'road_class', CASE WHEN count(*) > 0 THEN 'candidate' ELSE 'blocked' END FROM roads
+    UNION ALL SELECT 'viewpoints', CASE WHEN count(*) FILTER (tags['tourism'] = 'viewpoint' OR tags['natural'] = 'peak') > 0 THEN 'candidate' ELSE 'needs data QA' END FROM places
+    UNION ALL SELECT 'water_visibility', CASE WHEN count(*) > 0 THEN 'partial' ELSE 'needs data QA' END FROM water UNION ALL SELECT 'tree_canopy', CASE WHEN count(*) > 0 THEN 'partial' ELSE 'missing' END FROM raster_tiles
+    UNION ALL SELECT 'parks', CASE WHEN count(*) > 0 THEN 'ready' ELSE 'missing' END FROM areas
+    UNION ALL SELECT 'flat_darkness', 'needs data QA' UNION ALL SELECT 'flat_road_stress_score', 'needs data QA'"""))
 def readiness(spark, sf):
-    return qu.readiness_checks(qu.audit_tiles(domain(spark, sf, "tiles"), SIGNALS)).select("signal", "status")
+    """All sources as they are, and the two tile checks once more over tiles whose signals are constant."""
+    sources = [domain(spark, sf, t) for t in ("roads", "places", "water", "raster_tiles", "areas", "light_samples")]
+    tiles = domain(spark, sf, "tiles")
+    flat = tiles.withColumns({"darkness_score": F.lit(0.5), "road_stress_score": F.lit(0.25)})
+    again = qu.readiness_checks(flat, *sources).where(F.col("check").isin("darkness", "road_stress_score"))
+    return qu.readiness_checks(tiles, *sources).unionByName(again.withColumn("check", F.concat(F.lit("flat_"), "check")))
 
 
 @query("road_audit", oracle(["roads"], """SELECT count(*) AS segments, count(road_type) / count(*) AS type_coverage, count(surface) / count(*) AS surface_coverage, count(speed_kmh) / count(*) AS speed_coverage,
-    count(*) FILTER (elevation_change <> 0) / count(*) AS elevation_coverage, count(DISTINCT cell) AS tiles FROM roads""", "type_coverage surface_coverage speed_coverage elevation_coverage"))
+    count(*) FILTER (elevation_change <> 0) / count(*) AS elevation_coverage, count(*) FILTER (road_type IN ('motorway', 'trunk', 'primary')) / count(*) AS major_share,
+    count(*) FILTER (road_type IN ('residential', 'service', 'living_street')) / count(*) AS local_share, count(DISTINCT cell) AS tiles FROM roads""", "type_coverage surface_coverage speed_coverage elevation_coverage major_share local_share"))
 def road_audit(spark, sf):
     return qu.audit_roads(domain(spark, sf, "roads"))
 
@@ -40,7 +52,9 @@ def top_road_types(spark, sf):
 
 @query("tag_audit", oracle(["places", "hint_lines"], """SELECT 'viewpoint' AS feature, count(*) FILTER (tags['tourism'] = 'viewpoint') AS n FROM places UNION ALL SELECT 'peak', count(*) FILTER (tags['natural'] = 'peak') FROM places
     UNION ALL SELECT 'bridge', count(*) FILTER (tags['bridge'] NOT IN ('', 'no')) FROM hint_lines UNION ALL SELECT 'tunnel', count(*) FILTER (tags['tunnel'] NOT IN ('', 'no')) FROM hint_lines
-    UNION ALL SELECT 'waterway', count(*) FILTER (tags['waterway'] IS NOT NULL) FROM hint_lines"""))
+    UNION ALL SELECT 'waterway', count(*) FILTER (tags['waterway'] IS NOT NULL) FROM hint_lines UNION ALL SELECT 'spring', count(*) FILTER (tags['natural'] = 'spring') FROM places
+    UNION ALL SELECT 'tourism', count(*) FILTER (tags['tourism'] IS NOT NULL) FROM places UNION ALL SELECT 'seasonal', count(*) FILTER (tags['seasonal'] NOT IN ('', 'no') OR tags['winter_road'] IS NOT NULL) FROM hint_lines
+    UNION ALL SELECT 'coastal_hint', count(*) FILTER (tags['bridge'] NOT IN ('', 'no') OR tags['waterway'] IS NOT NULL OR tags['ford'] IS NOT NULL) FROM hint_lines"""))
 def tag_audit(spark, sf):
     return qu.audit_tags(domain(spark, sf, "places"), domain(spark, sf, "hint_lines"))
 
@@ -103,25 +117,65 @@ def target_components(spark, sf):
     return domain(spark, sf, "candidates").select("candidate_id", F.array_join(qu.target_components(text.parse_vibes("vibes_json")), "|").alias("targets"))
 
 
+# Score breakdown of a candidate: metric -> SQL that both engines read; null means that the metric is absent.
+_absent = "CASE WHEN candidate_id % {n} = 0 THEN NULL ELSE {v} END"
+METRICS = {"repeated_corridor_cell_share": _absent.format(n=11, v="curve_elevation_corridor_share"), "leg_separation_score": "strategy_fit_score",
+           "backtracking_penalty": "backtracking_penalty", "corridor_urban_pressure": "corridor_urban_pressure", "urban_penalty": "urban_penalty",
+           "edge_urban_pressure": _absent.format(n=3, v="urban_penalty"), "start_end_penalty": _absent.format(n=5, v="strategy_mismatch_penalty"),
+           "scenic_moments_score": "open_space_corridor_share", "photo_peak_score": _absent.format(n=7, v="quiet_corridor_share"),
+           "water_corridor_share": _absent.format(n=4, v="mean_turn / 2"), "bridge_coastal_score": _absent.format(n=6, v="urban_penalty / 2"),
+           "curve_elevation_corridor_share": "curve_elevation_corridor_share", "quiet_corridor_share": "quiet_corridor_share",
+           "road_stress_score": _absent.format(n=8, v="strategy_mismatch_penalty"), "tree_canopy_score": _absent.format(n=9, v="open_space_corridor_share")}
+AVERAGES = {"water": "strategy_mismatch_penalty / 2", "elevation": _absent.format(n=10, v="backtracking_penalty"), "solitude": "mean_turn / 3"}
+
+
 def contract_rows(spark, sf):
-    c = domain(spark, sf, "candidates")
-    return qu.contract_flags(c.select("candidate_id", "minutes", "target_minutes", "score", "backtracking_penalty", (F.col("km") / 20).alias("closure_km"),
-                                      F.col("open_space_corridor_share").alias("scenic_moments_score"), F.col("quiet_corridor_share").alias("photo_peak"),
-                                      F.col("curve_elevation_corridor_share").alias("repeated_cell_share"), F.col("strategy_fit_score").alias("leg_separation"),
-                                      F.coalesce("corridor_urban_pressure", "urban_penalty").alias("urban_penalty"), F.col("strategy_mismatch_penalty").alias("start_end_penalty")))
+    c = domain(spark, sf, "candidates").withColumn("vibes", text.parse_vibes("vibes_json"))
+
+    def table(rules):
+        entries = F.array(*[F.struct(F.lit(k).alias("key"), F.expr(v).cast("double").alias("value")) for k, v in rules.items()])
+        return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+    return qu.contract_flags(c.select("candidate_id", "minutes", F.expr("CASE WHEN candidate_id % 12 = 0 THEN 0 ELSE target_minutes END").alias("target_minutes"), "score", "vibes",
+                                      (F.col("km") / 20).alias("closure_km"), (F.col("candidate_id") * 47 % 101 / 100).alias("unique_ratio"),
+                                      table(METRICS).alias("metrics"), table(AVERAGES).alias("components")))
+
 
+def _limit(key, op, limit):
+    return f"coalesce({key} {op} {limit}, true)"
 
-_flags = {"time_budget_fit": "minutes <= target_minutes + greatest(5e0, target_minutes * 0.15e0) AND minutes >= greatest(10e0, target_minutes * 0.55e0)", "loop_closure": "km / 20 <= 3",
-          "repeated_corridor_ok": "curve_elevation_corridor_share <= 0.25", "leg_separation_ok": "coalesce(strategy_fit_score >= 0.35, true)", "backtracking_risk_ok": "backtracking_penalty <= 0.35",
-          "corridor_urban_pressure_ok": "coalesce(corridor_urban_pressure, urban_penalty) <= 0.42", "edge_urban_pressure_ok": "strategy_mismatch_penalty <= 0.58",
-          "scenic_peak_ok": "greatest(open_space_corridor_share, quiet_corridor_share) >= 0.42 OR score >= 0.65"}
 
+def _flag_sql() -> dict[str, str]:
+    m, a = {k: f"({v})" for k, v in METRICS.items()}, {k: f"coalesce({v}, 0)" for k, v in AVERAGES.items()}
+    share = {k: f"coalesce({v}, 0)" for k, v in m.items()}
+    urban = _limit(f"coalesce({m['corridor_urban_pressure']}, {m['urban_penalty']})", "<=", 0.42)
+    out = {"time_budget_fit": "candidate_id % 12 = 0 OR (minutes <= target_minutes + greatest(5e0, target_minutes * 0.15e0) AND minutes >= greatest(10e0, target_minutes * 0.55e0))",
+           "loop_closure": "km / 20 <= 3", "low_repeated_road_risk": "candidate_id * 47 % 101 / 100 >= 0.72", "repeated_corridor_ok": _limit(m["repeated_corridor_cell_share"], "<=", 0.25),
+           "leg_separation_ok": _limit(m["leg_separation_score"], ">=", 0.35), "backtracking_risk_ok": _limit(m["backtracking_penalty"], "<=", 0.35),
+           "corridor_urban_pressure_ok": urban, "edge_urban_pressure_ok": _limit(f"coalesce({m['edge_urban_pressure']}, {m['start_end_penalty']})", "<=", 0.58), "urban_pressure_ok": urban,
+           "scenic_peak_ok": f"greatest({share['scenic_moments_score']}, {share['photo_peak_score']}) >= 0.42 OR score >= 0.65"}
+    own = {"water_share_ok": (["coastal", "riverside"], f"greatest({share['water_corridor_share']}, {a['water']}, {share['bridge_coastal_score']}) >= 0.28"),
+           "elevation_curve_share_ok": (["mountain", "winding_roads", "adventure"], f"greatest({share['curve_elevation_corridor_share']}, {a['elevation']}) >= 0.28"),
+           "quiet_share_ok": (["countryside", "open_roads", "relaxing"], f"greatest({share['quiet_corridor_share']}, {a['solitude']}) >= 0.32"),
+           "road_stress_ok": (["countryside", "open_roads", "relaxing"], _limit(m["road_stress_score"], "<=", 0.48)),
+           "tree_canopy_ok": (["nature_escape"], _limit(m["tree_canopy_score"], ">=", 0.26))}
+    return out | {k: f"CASE WHEN list_has_any(v, {vibes}) THEN {rule} END" for k, (vibes, rule) in own.items()}
 
-@query("contract_flags", oracle(["candidates"], "SELECT candidate_id, " + ", ".join(f"{e} AS {k}" for k, e in _flags.items()) + " FROM candidates"))
+
+_flags = _flag_sql()
+_with_vibes = "(SELECT *, CAST(json_extract_string(vibes_json, '$[*]') AS VARCHAR[]) AS v FROM candidates)"
+
+
+@query("contract_flags", oracle(["candidates"], "SELECT candidate_id, " + ", ".join(f"{e} AS {k}" for k, e in _flags.items()) + f" FROM {_with_vibes}"))
 def contract_flags(spark, sf):
     return contract_rows(spark, sf).select("candidate_id", *_flags)
 
 
-@query("contract_warnings", oracle(["candidates"], "SELECT candidate_id, concat_ws(' ', " + ", ".join(f"CASE WHEN NOT ({_flags[k]}) THEN '{m}' END" for k, m in qu.WARNINGS.items()) + ") AS warnings FROM candidates"))
+@query("contract_warnings", oracle(["candidates"], "SELECT candidate_id, concat_ws(' ', " + ", ".join(f"CASE WHEN NOT ({_flags[k]}) THEN '{m}' END" for k, m in qu.WARNINGS.items()) + f") AS warnings FROM {_with_vibes}"))
 def contract_warnings(spark, sf):
     return contract_rows(spark, sf).select("candidate_id", F.array_join(qu.contract_warnings(), " ").alias("warnings"))
+
+
+@query("unique_place_ratios", oracle(["route_points"], "SELECT route_id, CASE WHEN count(*) < 2 THEN 1e0 ELSE count(DISTINCT concat(round(lon, 5), ',', round(lat, 5))) / count(*) END AS unique_ratio FROM route_points GROUP BY 1", "unique_ratio"))
+def unique_place_ratios(spark, sf):
+    return qu.unique_ratio(domain(spark, sf, "route_points"))
