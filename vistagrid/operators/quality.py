@@ -96,6 +96,26 @@ def apply_release(tiles: DataFrame, release: DataFrame, columns: list[str]) -> D
     return tiles.join(r, "cell", "left").withColumns({x: F.coalesce(F.col(f"__{x}"), F.col(x)) for x in columns}).drop(*[f"__{x}" for x in columns])
 
 
+def snapshot(tiles: DataFrame, columns: list[str], path: str) -> None:
+    """Keeps the released columns of every tile before a release, as a table at `path`."""
+    tiles.select("cell", *columns).write.mode("overwrite").parquet(path)
+
+
+def restore(tiles: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """Tiles with the columns of a snapshot, nulls included; tiles that it does not know stay as they are."""
+    old = tiles.sparkSession.read.parquet(path).select("cell", F.struct(*columns).alias("__old"))
+    known = F.col("__old").isNotNull()
+    return tiles.join(old, "cell", "left").withColumns({x: F.when(known, F.col(f"__old.{x}")).otherwise(F.col(x)) for x in columns}).drop("__old")
+
+
+def snapshot_parity(tiles: DataFrame, columns: list[str], path: str) -> DataFrame:
+    """One row: tiles and snapshot rows, keys on one side only, and rows whose values differ."""
+    old = tiles.sparkSession.read.parquet(path).select("cell", F.struct(*columns).alias("old"))
+    both = tiles.select("cell", F.struct(*columns).alias("new")).join(old, "cell", "full")
+    return both.agg(F.count("new").alias("tiles"), F.count("old").alias("snapshot_rows"), F.count_if(F.col("new").isNull() | F.col("old").isNull()).alias("one_sided"),
+                    F.count_if(F.col("new").isNotNull() & F.col("old").isNotNull() & ~F.col("new").eqNullSafe(F.col("old"))).alias("changed"))
+
+
 def gate_darkness(tiles: DataFrame, version: str, allow_neutral: bool = False) -> DataFrame:
     """One row (tiles, verdict): why a release must not ship, or 'warn' when most penalties equal the density, or 'pass'.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vistagrid.functions import catalog, text
 from vistagrid.operators import quality as qu
 from vistagrid.plans import sqlgen as q
 from vistagrid.plans.registry import oracle, query
+from vistagrid.session import checkpoint_dir
 from vistagrid.sources.fixtures import domain
 
 V37 = catalog.VERSIONS["3.7"]
@@ -80,6 +83,16 @@ def applied_release(spark, sf):
     return qu.apply_release(t, r, ["water_score", "green_score", "scoring_version"]).select("cell", "water_score", "scoring_version")
 
 
+@query("restored_release", oracle(["tiles"], "SELECT cell, water_score, scoring_version FROM tiles", "water_score"))
+def restored_release(spark, sf):
+    """A snapshot, a release on top of it, and the tiles after the roll-back."""
+    t, columns = domain(spark, sf, "tiles"), ["water_score", "green_score", "scoring_version"]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    qu.snapshot(t, columns, path)
+    r = t.select("cell", F.lit(0.25).alias("water_score"), F.lit(0.75).alias("green_score"), F.lit(V37).alias("scoring_version"))
+    return qu.restore(qu.apply_release(t, r, columns), columns, path).select("cell", "water_score", "scoring_version")
+
+
 # Variants of the tile table, one per verdict: (name, SQL columns version / darkness / density / penalty, allow neutral darkness).
 GATES = [("mixed", "scoring_version", "darkness_score", "building_density_score", "urban_penalty_score", False),
          ("flat", f"'{V37}'", "0.5e0", "building_density_score", "urban_penalty_score", False),

@@ -21,6 +21,15 @@ def read_topic(spark: SparkSession, schema: StructType | str, path: str | None =
     return raw.withColumn("e", F.from_json("value", schema)).select("value", "e.*")
 
 
+def write_topic(events: DataFrame, checkpoint: str, key: str | None = None, path: str | None = None, kafka: dict[str, str] | None = None) -> StreamingQuery:
+    """Events as JSON text to a folder of text files, or to Kafka when options are given; all rows that are there, then it stops."""
+    rows = events.select(*([F.col(key).cast("string").alias("key")] if key and kafka is not None else []), F.to_json(F.struct("*")).alias("value"))
+    out = rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if kafka is not None:
+        return out.format("kafka").options(**kafka).start()
+    return out.format("text").option("path", path).start()
+
+
 def split_malformed(events: DataFrame, required: list[str], carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Good events, and dead letters (value, reason and the columns `carry`): text that does not parse or lacks a required field."""
     absent = F.lit(None).cast("string")
