@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,7 +19,8 @@ from vistagrid.session import checkpoint_dir
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 # Text bytes that one step inside a task handles together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,13 @@ def sized_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -
         yield batch.slice(int(lo), int(hi - lo))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that hold whole texts go to Python workers in batches of at most `BATCH_ROWS`, so workers stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -69,5 +78,12 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like `reliable`, as a compressed table in the shared checkpoint folder: for rows that hold packed texts."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
