@@ -11,7 +11,7 @@ from vistagrid.session import local_session
 
 HEADLINE = ["flagship_vibe_tiles", "tile_preference_scores", "request_weight_ratios", "ranked_tiles", "road_stress_tiles", "release_3_2", "release_3_7",
             "building_density", "landcover_green_urban", "analytics_summary", "daily_rollup", "weight_calibration", "duration_calibration",
-            "profile_scores", "assigned_profiles", "distance_to_next", "release_validation", "debounced_tiles"]
+            "profile_scores", "assigned_profiles", "distance_to_next", "release_validation", "debounced_tiles", "nearest_nodes", "contract_flags", "numbered_tiles"]
 
 
 def main() -> None:
