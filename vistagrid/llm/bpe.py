@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import appended, sha, sized_slices, table, with_columns
+from vistagrid.llm.common import appended, sha, sized_slices, small_batches, table, with_columns
 from vistagrid.llm.registry import query
 
 # Chunks that one task remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 150_000
 NO_RANK = np.iinfo(np.int32).max
 # Letters and digits of Unicode 17, which the tokenizers library (Unicode 16) does not class as such,
 # and capitals whose lower case Python's older tables lack, as (first, last, first lower case).
@@ -241,6 +241,7 @@ class Encoder:
 def bpe_tokens(docs: DataFrame, path: str, text: str = "text", outputs: list[str] | None = None) -> DataFrame:
     """Input rows with the chosen outputs of `KINDS`: ids, their number and digest, the decoded text and its digest."""
     outputs = outputs or ["n_tokens", "ids", "decoded"]
+    small_batches(docs.sparkSession)
     source, schema = appended(docs, ", ".join(f"{o} {KINDS[o]}" for o in outputs))
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import WORD_TABLE, appended, sha, sized_slices, table, text_bytes, with_columns
+from vistagrid.llm.common import WORD_TABLE, appended, sized_slices, small_batches, table, text_bytes, with_columns
 from vistagrid.llm.registry import query
 
 WINDOW = 10
@@ -256,6 +256,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """Input rows with `n_words`, `n_hit`, merged word `spans` [start, end) and the ids of the `items` found."""
     out, schema = appended(docs, ADDED)
     spark = docs.sparkSession
+    small_batches(spark)
     names = [c.split()[0] for c in ("n_words", "n_hit", "spans", "items")]
     first = True
     for block in item_blocks(benchmark, item_id, item_text):

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import WORD_TABLE, reliable, sized_slices, table, text_bytes
+from vistagrid.llm.common import WORD_TABLE, reliable, sized_slices, small_batches, table, text_bytes
 from vistagrid.llm.membership import member_filter
 from vistagrid.llm.registry import query
 
@@ -52,7 +52,7 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 class Shingler:
     """Sorted distinct shingle hashes of texts; word hashes are remembered up to a limit."""
 
-    def __init__(self, words: int = WORDS, memory: int = 300_000):
+    def __init__(self, words: int = WORDS, memory: int = 150_000):
         self.words, self.memory = words, memory
         self.known: dict[bytes, int] = {}
 
@@ -314,6 +314,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: id, its class (smallest id of all rows joined by links), links, shingles and copies."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
     rows = reliable(source.mapInArrow(_signed, "id bigint, c binary, n bigint, signature binary, mark string"))
     classes = rows.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("signature").alias("signature"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import appended, sized_slices, table, text_bytes, with_columns
+from vistagrid.llm.common import appended, sized_slices, small_batches, table, text_bytes, with_columns
 from vistagrid.llm.registry import query
 
 ORDER = 4
@@ -165,20 +165,31 @@ def log2_probabilities(model: dict[int, tuple[np.ndarray, np.ndarray]] | None, k
     return value
 
 
-def bits_per_char(model: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]], slots: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Mean negative log2 probability per symbol (log2 of the perplexity); NaN for empty texts."""
-    out = np.full(len(texts), np.nan)
-    for slot in np.unique(slots):
-        rows = np.flatnonzero(slots == slot)
-        keys, lengths = _keys([texts[i] for i in rows])
-        distinct = np.flatnonzero(np.bincount(keys, minlength=1 << (BITS * ORDER)))
-        dense = np.zeros(1 << (BITS * ORDER))
-        dense[distinct] = log2_probabilities(model.get(int(slot)), distinct)
-        sums = np.concatenate([[0.0], np.cumsum(dense[keys])])
-        ends = np.cumsum(lengths)
-        with np.errstate(invalid="ignore"):
-            out[rows] = np.where(lengths > 0, -(sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1), np.nan)
-    return out
+class Scorer:
+    """Bits per character of texts; remembers the value of every key met, in one array of 2^20 numbers per language."""
+
+    def __init__(self, model: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]):
+        self.model = model
+        self.known: dict[int, np.ndarray] = {}
+
+    def bits(self, slots: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        """Mean negative log2 probability per symbol (log2 of the perplexity); NaN for empty texts."""
+        out = np.full(len(texts), np.nan)
+        for slot in np.unique(slots):
+            rows = np.flatnonzero(slots == slot)
+            keys, lengths = _keys([texts[i] for i in rows])
+            dense = self.known.setdefault(int(slot), np.full(1 << (BITS * ORDER), np.nan, dtype=np.float32))
+            values = dense[keys]
+            fresh = np.unique(keys[np.isnan(values)])
+            if len(fresh):
+                dense[fresh] = log2_probabilities(self.model.get(int(slot)), fresh.astype(np.int64))
+                values = dense[keys]
+            full = lengths > 0
+            sums = np.zeros(len(rows))
+            if full.any():
+                sums[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full], dtype=np.float64)
+            out[rows[full]] = -sums[full] / lengths[full]
+        return out
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -219,11 +230,12 @@ def perplexity_bands(docs: DataFrame, model, text: str = "text", lang: str = "la
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batches):
+        scorer = Scorer(shared.value)
         for batch in batches:
             for part in sized_slices(batch, "t"):
                 texts = text_bytes(part.column(0))
                 slots = np.array([_slot(x) for x in part.column(1).to_pylist()])
-                bits = bits_per_char(shared.value, slots, texts)
+                bits = scorer.bits(slots, texts)
                 long = np.array([t.count(b" ") + t.count(b"\n") + 1 >= MIN_WORDS for t in texts])
                 yield pa.RecordBatch.from_arrays([pa.array(slots[long].astype(np.int32)), pa.array(bits[long])], names=["slot", "bits"])
 
@@ -242,6 +254,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep_
     `keep_only` returns the kept rows with the input columns alone. Three passes over the texts, none of which shuffles
     a text: n-gram counting, the quartiles, the verdicts.
     """
+    small_batches(docs.sparkSession)
     model = fit_model(docs, text, lang)
     bands = perplexity_bands(docs, model, text, lang)
     shared = docs.sparkSession.sparkContext.broadcast((model, bands))
@@ -250,11 +263,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep_
 
     def judged(batches):
         models, limits = shared.value
+        scorer = Scorer(models)
         for batch in batches:
             for part in sized_slices(batch, text):
                 texts = text_bytes(part.column(text))
                 slots = np.array([_slot(x) for x in part.column(lang).cast(pa.string()).to_pylist()])
-                bits = bits_per_char(models, slots, texts)
+                bits = scorer.bits(slots, texts)
                 counts = [base_counts(t) for t in texts]
                 failed = np.array([base_failed(c[0], c[4]) for c in counts])
                 low = np.array([limits.get(s, (-np.inf, np.inf))[0] for s in slots])
