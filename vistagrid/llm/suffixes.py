@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import reliable, sized_slices, table, text_bytes
+from vistagrid.llm.common import reliable, sized_slices, small_batches, table, text_bytes
 from vistagrid.llm.membership import filter_bits, member_filter, passes
 from vistagrid.llm.registry import query
 
 LENGTH = 400
 GRAM = 48
 SPAN = LENGTH - GRAM + 1
-CHUNK = 2 << 20
-RUN_BYTES = 24 << 20
+CHUNK = 1 << 19
+RUN_BYTES = 8 << 20
 SLICE = 4096
 HOT = 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -268,20 +268,22 @@ def repeated_windows(prefix: np.ndarray, left: list[bytes], least: np.ndarray) -
     the anchor is repeated. Offsets of a suffix go from `least` to the number of its left bytes."""
     n = len(left)
     most = np.array([len(x) for x in left])
-    before = np.zeros((n, SPAN), dtype=np.uint64)
+    before = np.zeros((n, SPAN), dtype=np.uint8)
     for k, x in enumerate(left):
         before[k, :len(x)] = np.frombuffer(x, dtype=np.uint8)
-    before += np.uint64(1)
-    hashed = np.cumsum(before * LEFT_POWERS[:SPAN], axis=1, dtype=np.uint64)
+    before = np.ascontiguousarray(before.T)
+    hashed = np.zeros(n, dtype=np.uint64)
     out = np.zeros((n, SPAN), dtype=bool)
-    for o in range(int(least.min()), int(most.max()) + 1):
+    for o in range(int(most.max()) + 1):
+        if o:
+            hashed += (before[o - 1].astype(np.uint64) + np.uint64(1)) * LEFT_POWERS[o - 1]
         rows = np.flatnonzero((least <= o) & (o <= most))
         if len(rows) < 2:
             continue
         klass = np.cumsum(prefix < LENGTH - o).astype(np.uint64)
         key = klass[rows] * BASE
         if o:
-            key = (key ^ (key >> np.uint64(31))) + hashed[rows, o - 1] * MIX
+            key = (key ^ (key >> np.uint64(31))) + hashed[rows] * MIX
         order = np.argsort(key, kind="stable")
         same = key[order][1:] == key[order][:-1]
         out[rows[order[1:][same]], o] = True
@@ -364,6 +366,7 @@ def _union(spans: list[dict]) -> list[tuple[int, int]]:
 def repeat_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(mark, spans): MD5 of every distinct text with repeated bytes, and their (start, end) byte ranges, not yet merged."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.octet_length("t") >= LENGTH).withColumn("mark", F.unhex(F.md5("t")))
     copied = reliable(body.groupBy("mark").agg(F.count("*").alias("n"), F.first(F.octet_length("t")).cast("bigint").alias("size")).where("n > 1"))
