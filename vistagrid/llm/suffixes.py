@@ -40,19 +40,9 @@ RUN_BYTES = 8 << 20
 SLICE = 4096
 HOT = 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-LEFT = np.uint64(0xD1B54A32D192ED03)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-LEFT_POWERS = _powers(LEFT, SPAN + 1)
-
-
 def rolling_hash(data: np.ndarray, length: int) -> np.ndarray:
     """Hash of every `length`-byte string of the data, by doubling."""
     out, have = None, 0
@@ -265,29 +255,29 @@ RUN_SCHEMA = "bucket bigint, right_shared binary, right_rest binary, right binar
 
 def repeated_windows(prefix: np.ndarray, left: list[bytes], least: np.ndarray) -> np.ndarray:
     """Of sorted suffixes with their common prefixes (hash bytes not counted): whether the window at each offset before
-    the anchor is repeated. Offsets of a suffix go from `least` to the number of its left bytes."""
+    the anchor is repeated. Offsets of a suffix go from `least` to the number of its left bytes.
+
+    The left bytes are sorted as well: two of them have the same first o bytes if no shared prefix between their ranks is
+    below o. So both halves of a window become exact class numbers, without hashing.
+    """
     n = len(left)
     most = np.array([len(x) for x in left])
-    before = np.zeros((n, SPAN), dtype=np.uint8)
-    for k, x in enumerate(left):
-        before[k, :len(x)] = np.frombuffer(x, dtype=np.uint8)
-    before = np.ascontiguousarray(before.T)
-    hashed = np.zeros(n, dtype=np.uint64)
+    order = sorted(range(n), key=left.__getitem__)
+    shared = np.array([-1, *(common_prefix(left[i], left[j], 0) for i, j in zip(order, order[1:]))])
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
     out = np.zeros((n, SPAN), dtype=bool)
     for o in range(int(most.max()) + 1):
-        if o:
-            hashed += (before[o - 1].astype(np.uint64) + np.uint64(1)) * LEFT_POWERS[o - 1]
         rows = np.flatnonzero((least <= o) & (o <= most))
         if len(rows) < 2:
             continue
-        klass = np.cumsum(prefix < LENGTH - o).astype(np.uint64)
-        key = klass[rows] * BASE
-        if o:
-            key = (key ^ (key >> np.uint64(31))) + hashed[rows] * MIX
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        out[rows[order[1:][same]], o] = True
-        out[rows[order[:-1][same]], o] = True
+        right_class = np.cumsum(prefix < LENGTH - o)
+        left_class = np.cumsum(shared < o)
+        key = right_class[rows] * (n + 1) + left_class[rank[rows]]
+        at = np.argsort(key, kind="stable")
+        same = key[at][1:] == key[at][:-1]
+        out[rows[at[1:][same]], o] = True
+        out[rows[at[:-1][same]], o] = True
     return out
 
 
