@@ -37,6 +37,10 @@ GRAM = 48
 SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 19
 RUN_BYTES = 8 << 20
+# Suffix bytes of one hash range, before front coding, and ranges that one task merges one after the other; the number of
+# ranges follows from the counted suffixes.
+RANGE_BYTES = 8 << 20
+RANGES = 8
 SLICE = 4096
 HOT = 50_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -357,7 +361,6 @@ def repeat_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(mark, spans): MD5 of every distinct text with repeated bytes, and their (start, end) byte ranges, not yet merged."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).where(F.octet_length("t") >= LENGTH).withColumn("mark", F.unhex(F.md5("t")))
     copied = reliable(body.groupBy("mark").agg(F.count("*").alias("n"), F.first(F.octet_length("t")).cast("bigint").alias("size")).where("n > 1"))
     tagged = body.withColumn("h", F.xxhash64("mark"))
@@ -366,8 +369,11 @@ def repeat_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     counts = reliable(once.mapInArrow(_anchor_hashes, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
     # Anchors with more than HOT suffixes; each stands for HOT places in the text, so they are few.
     hot = frozenset(r.h & (2**64 - 1) for r in counts.where(F.col("n") > HOT).toLocalIterator())
+    suffixes = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), suffixes * (LENGTH + SPAN) // (RANGE_BYTES * RANGES) + 1)
+    place = F.floor(F.col("bucket") / RANGES).cast("int")
     bits, power = filter_bits(counts.select("h"))
-    runs = once.mapInArrow(_sent(bits, power, hot, buckets), RUN_SCHEMA).repartition("bucket").sortWithinPartitions("bucket")
+    runs = once.mapInArrow(_sent(bits, power, hot, tasks * RANGES), RUN_SCHEMA).repartitionById(tasks, place).sortWithinPartitions("bucket")
     found = runs.mapInArrow(_found, "mark binary, start bigint, end bigint")
     if hot:
         windows = once.mapInArrow(_hot_windows(hot), "one bigint, two bigint, mark binary, start bigint")
