@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vistagrid.llm.common import reliable, sized_slices, small_batches, table, text_bytes
@@ -43,6 +43,7 @@ RANGE_BYTES = 8 << 20
 RANGES = 8
 SLICE = 4096
 HOT = 50_000
+SALTS = 64
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -377,8 +378,11 @@ def repeat_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     found = runs.mapInArrow(_found, "mark binary, start bigint, end bigint")
     if hot:
         windows = once.mapInArrow(_hot_windows(hot), "one bigint, two bigint, mark binary, start bigint")
-        twice = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
-        found = found.unionByName(windows.join(twice, ["one", "two"]).select("mark", "start", (F.col("start") + LENGTH).alias("end")))
+        # A window may occur in any number of texts: its rows are counted, and met again, in SALTS parts.
+        salted = windows.withColumn("salt", F.pmod(F.xxhash64("mark", "start"), F.lit(SALTS)))
+        parts = salted.groupBy("one", "two", "salt").agg(F.count("*").alias("n"))
+        twice = parts.withColumn("n", F.sum("n").over(Window.partitionBy("one", "two"))).where("n > 1").select("one", "two", "salt")
+        found = found.unionByName(salted.join(twice, ["one", "two", "salt"]).select("mark", "start", (F.col("start") + LENGTH).alias("end")))
     whole = copied.select("mark", F.lit(0).cast("bigint").alias("start"), F.col("size").alias("end"))
     spans = reliable(found.unionByName(whole))
     return spans.groupBy("mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
