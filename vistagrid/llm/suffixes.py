@@ -212,6 +212,11 @@ def merged(runs: list[Iterator[tuple[bytes, int, object]]]) -> Iterator[tuple[by
             node //= 2
 
 
+def spread(h: int) -> bytes:
+    """An anchor's hash as sort key. Anchors are minima, so their hashes crowd near zero; the odd factor deals them evenly."""
+    return (h * int(BASE) & (1 << 64) - 1).to_bytes(8, "big")
+
+
 def _sent(shared, power: int, hot: frozenset | None, buckets: int):
     """Front-coded sorted runs of the suffixes at repeated anchors, one row per run and hash range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +247,7 @@ def _sent(shared, power: int, hot: frozenset | None, buckets: int):
                         continue
                     base = int(starts[r])
                     a, lo, hi = int(anchor[k]) - base, int(first[k]) - base, int(last[k]) - base
-                    held.append((own.to_bytes(8, "big") + texts[r][a:hi + LENGTH], texts[r][lo:a][::-1], marks[r], a, a - hi))
+                    held.append((spread(own) + texts[r][a:hi + LENGTH], texts[r][lo:a][::-1], marks[r], a, a - hi))
                     size += hi + LENGTH - lo
                 if size > RUN_BYTES:
                     yield from flush()
