@@ -38,16 +38,19 @@ VIBE_LABELS = {k: v[0] for k, v in VIBE_PROFILES.items()}
 
 # Accepted spellings of each vibe.
 VIBE_ALIASES = {
-    "countryside": "country rural countryside sunday sunday_drive sunday_cruise scenic loop_with_variety variety".split(),
-    "coastal": "coast coastak".split(),
-    "riverside": "river".split(),
-    "nature_escape": "forest woods nature nature_escaped".split(),
-    "open_roads": "open_road openroad openroads".split(),
-    "winding_roads": "winding winding_road twisty twisties fun_drive".split(),
-    "relaxing": "quiet peaceful calm clear_head clear_my_head clear_my_mind smooth smooth_cruise cruise cruisek "
-                "minimaltraffic minimal_traffic low_traffic lowtraffic no_traffic scenic_reset".split(),
-    "adventure": "hide hidden hidden_gem hidden_gems photo photo_run photo_worthy photoworthy photo_op photo_ops "
-                 "photogenic date_night golden golden_hour sunset sunrise sunrise_sunset sunrise_and_sunset".split(),
+    "countryside": ["country", "rural", "countryside", "sunday", "sunday_drive", "sunday_cruise", "scenic",
+                    "loop_with_variety", "variety"],
+    "coastal": ["coast", "coastak"],
+    "riverside": ["river"],
+    "nature_escape": ["forest", "woods", "nature", "nature_escaped"],
+    "open_roads": ["open_road", "openroad", "openroads"],
+    "winding_roads": ["winding", "winding_road", "twisty", "twisties", "fun_drive"],
+    "relaxing": ["quiet", "peaceful", "calm", "clear_head", "clear_my_head", "clear_my_mind", "smooth",
+                 "smooth_cruise", "cruise", "cruisek", "minimaltraffic", "minimal_traffic", "low_traffic",
+                 "lowtraffic", "no_traffic", "scenic_reset"],
+    "adventure": ["hide", "hidden", "hidden_gem", "hidden_gems", "photo", "photo_run", "photo_worthy", "photoworthy",
+                  "photo_op", "photo_ops", "photogenic", "date_night", "golden", "golden_hour", "sunset", "sunrise",
+                  "sunrise_sunset", "sunrise_and_sunset"],
 }
 
 # Preference keys accepted in a request.
