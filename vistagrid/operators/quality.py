@@ -216,3 +216,35 @@ def unique_ratio(points: DataFrame) -> DataFrame:
     per = points.groupBy("route_id", place.alias("place")).agg(F.count("*").alias("n"))
     n = F.sum("n")
     return per.groupBy("route_id").agg(F.when(n < 2, 1.0).otherwise(F.count("*") / n).alias("unique_ratio"))
+
+
+# Codes, texts and suggestions shown for a failed job.
+FAILED_TEXT = "Route generation failed. Try a different starting point, more time, or another vibe."
+FAILED_VIBES = ["countryside", "open_roads"]
+FAILED_ACTIONS = ["Try Country", "Try Open Road", "Increase time budget"]
+NEXT_VIBES = {"countryside": ["open_roads", "relaxing", "nature_escape"], "mountain": ["adventure", "winding_roads", "open_roads"]}
+OTHER_VIBES = ["countryside", "open_roads", "relaxing"]
+
+
+def failure_guidance(status: str = "status", reason: str = "failure_reason", vibes: str = "vibes", minutes: str = "target_minutes") -> dict[str, Column]:
+    """Code, message, suggested vibes and suggested actions of a job; null and empty unless it has failed.
+
+    A vibe that cannot be met nearby leads to related vibes that were not asked for, and to the next larger budget.
+    """
+    def words(items):
+        return F.array(*[F.lit(i) for i in items])
+
+    failed = F.coalesce(F.col(status) == "FAILED", F.lit(False))
+    told = F.when(F.trim(F.coalesce(F.col(reason), F.lit(""))) != "", F.col(reason))
+    unmet = F.coalesce(F.lower(told).contains("no strong ") | F.lower(told).contains("no feasible route found"), F.lit(False))
+    related = words(OTHER_VIBES)
+    for vibe, items in reversed(NEXT_VIBES.items()):
+        related = F.when(F.array_contains(vibes, vibe), words(items)).otherwise(related)
+    budget = F.col(minutes)
+    longer = F.when(budget < 60, 60).when(budget < 90, 90).when(budget < 120, 120).otherwise(budget + 30)
+    actions = F.array(F.lit("Try Country"), F.lit("Try Open Road"), F.format_string("Increase time budget to %d minutes", longer.cast("int")),
+                      F.lit("Move the start point farther from downtown"))
+    none = F.array().cast("array<string>")
+    return {"code": F.when(failed & unmet, "vibe_unavailable").when(failed, "route_generation_failed"), "message": F.when(failed, F.coalesce(told, F.lit(FAILED_TEXT))),
+            "suggested_vibes": F.when(failed & unmet, F.array_except(related, F.col(vibes))).when(failed, words(FAILED_VIBES)).otherwise(none),
+            "suggested_actions": F.when(failed & unmet, actions).when(failed, words(FAILED_ACTIONS)).otherwise(none)}

@@ -192,3 +192,26 @@ def contract_warnings(spark, sf):
 @query("unique_place_ratios", oracle(["route_points"], "SELECT route_id, CASE WHEN count(*) < 2 THEN 1e0 ELSE count(DISTINCT concat(round(lon, 5), ',', round(lat, 5))) / count(*) END AS unique_ratio FROM route_points GROUP BY 1", "unique_ratio"))
 def unique_place_ratios(spark, sf):
     return qu.unique_ratio(domain(spark, sf, "route_points"))
+
+
+# Status and reason of a candidate's job, in SQL that both engines read.
+FAILED_STATUS = "CASE WHEN candidate_id % 5 = 3 THEN 'COMPLETED' ELSE 'FAILED' END"
+FAILED_REASON = """CASE candidate_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'Solver timed out' WHEN 3 THEN 'NO FEASIBLE route found here' ELSE 'No strong match near the start' END"""
+_unmet = "(lower(reason) LIKE '%no strong %' OR lower(reason) LIKE '%no feasible route found%')"
+_next = "CASE WHEN target_minutes < 60 THEN 60 WHEN target_minutes < 90 THEN 90 WHEN target_minutes < 120 THEN 120 ELSE target_minutes + 30 END"
+
+
+@query("failure_guidance", oracle(["candidates"], f"""SELECT candidate_id, CASE WHEN status <> 'FAILED' THEN NULL WHEN {_unmet} THEN 'vibe_unavailable' ELSE 'route_generation_failed' END AS code,
+    CASE WHEN status <> 'FAILED' THEN NULL WHEN trim(coalesce(reason, '')) = '' THEN '{qu.FAILED_TEXT}' ELSE reason END AS message,
+    CASE WHEN status <> 'FAILED' THEN '' WHEN {_unmet} THEN concat_ws('|', CASE WHEN NOT list_contains(v, a) THEN a END, CASE WHEN NOT list_contains(v, b) THEN b END, CASE WHEN NOT list_contains(v, c) THEN c END)
+      ELSE 'countryside|open_roads' END AS suggested_vibes,
+    CASE WHEN status <> 'FAILED' THEN '' WHEN {_unmet} THEN concat('Try Country|Try Open Road|Increase time budget to ', {_next}, ' minutes|Move the start point farther from downtown')
+      ELSE 'Try Country|Try Open Road|Increase time budget' END AS suggested_actions
+    FROM (SELECT *, {FAILED_STATUS} AS status, {FAILED_REASON} AS reason, CASE WHEN list_contains(v, 'mountain') AND NOT list_contains(v, 'countryside') THEN 'adventure' WHEN list_contains(v, 'countryside') THEN 'open_roads' ELSE 'countryside' END AS a,
+      CASE WHEN list_contains(v, 'countryside') THEN 'relaxing' WHEN list_contains(v, 'mountain') THEN 'winding_roads' ELSE 'open_roads' END AS b,
+      CASE WHEN list_contains(v, 'countryside') THEN 'nature_escape' WHEN list_contains(v, 'mountain') THEN 'open_roads' ELSE 'relaxing' END AS c FROM {_with_vibes})"""))
+def failure_guidance(spark, sf):
+    jobs = domain(spark, sf, "candidates").select("candidate_id", "target_minutes", text.parse_vibes("vibes_json").alias("vibes"), F.expr(FAILED_STATUS).alias("status"),
+                                                  F.expr(FAILED_REASON).alias("failure_reason"))
+    g = qu.failure_guidance()
+    return jobs.select("candidate_id", g["code"].alias("code"), g["message"].alias("message"), *[F.array_join(g[k], "|").alias(k) for k in ("suggested_vibes", "suggested_actions")])
