@@ -1,13 +1,14 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model, with bands per language.
 
-The model reads characters folded to 32 symbols, so an n-gram of order four is a 20-bit key and the whole model of a
-language has at most 32 + 32^2 + 32^3 + 32^4 entries at any corpus size: that bound is what allows the broadcast.
-Spark counts the n-grams of all texts, one task fits the model of one language from its (bounded) counts, and the
-result is kept as arrays sorted by n-gram key that scoring searches by bisection.
+The model reads whole code points. An n-gram of order five is kept exactly, as two 64-bit numbers, so its size grows with
+the texts and no part of it is broadcast: texts are cut into chunks of one language, Spark counts the n-grams of all
+chunks, the levels of the model are aggregations and joins over distinct n-grams, and a chunk asks for each of its
+distinct n-grams once. Asks and model meet in hash buckets, the answers meet the texts of the chunk again.
+
+Every text that is scored was counted, so the value of its n-grams is in the model and scoring never backs off.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is a language of its own
-(``''``); languages are told apart by `LANGUAGE_SLOTS` hash slots, which bounds the number of models; repeated rows are
-judged alike; further columns pass through, except those the operator writes itself.
+(``''``); repeated rows are judged alike; further columns pass through, except those the operator writes itself.
 """
 
 from __future__ import annotations
@@ -18,13 +19,23 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import appended, sized_slices, small_batches, table, text_bytes, with_columns
+from vistagrid.llm.common import appended, sized_slices, small_batches, stored, table, text_bytes, with_columns
 from vistagrid.llm.registry import query
 
-ORDER = 4
+ORDER = 5
+POINT_BITS = 21
+POINT = (1 << POINT_BITS) - 1
+PAIR = (1 << (2 * POINT_BITS)) - 1
+# Text bytes of a chunk, of all open chunks of a task, and n-grams asked for in one bucket.
+CHUNK = 8 << 20
+OPEN = 24 << 20
+BUCKET = 1 << 20
+# The plain model over few symbols, `_keys` to `log2_probabilities`, is the same formula in one process.
 BITS = 5
 SYMBOLS = 1 << BITS
 LANGUAGE_SLOTS = 64
@@ -52,10 +63,6 @@ def _symbol_table() -> np.ndarray:
 SYMBOL = _symbol_table()
 
 
-def _slot(lang: str | None) -> int:
-    return crc32((lang or "").encode()) % LANGUAGE_SLOTS
-
-
 def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Order-four keys of all symbols of the texts, and the number of symbols of each text.
 
@@ -78,27 +85,6 @@ def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[real], lengths
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        slots = np.array([_slot(x) for x in batch.column(1).to_pylist()])
-        for slot in np.unique(slots):
-            for part in sized_slices(batch.filter(pa.array(slots == slot)), batch.schema.names[0]):
-                keys, _ = _keys(text_bytes(part.column(0)))
-                seen = np.bincount(keys, minlength=1 << (BITS * ORDER))
-                counts[int(slot)] = counts[int(slot)] + seen if int(slot) in counts else seen
-    for slot, seen in counts.items():
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), slot, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(seen[at])],
-                                         names=["slot", "gram", "n"])
-
-
-def ngram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(slot, gram, n): occurrences of every four-symbol key per language slot, over all texts."""
-    parts = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).mapInArrow(_counted, "slot int, gram int, n bigint")
-    return parts.groupBy("slot", "gram").agg(F.sum("n").alias("n"))
-
-
 def _discounts(n: np.ndarray) -> np.ndarray:
     """Discounts for counts 0, 1, 2 and 3 or more; where counts of counts are empty, the usual constants."""
     c1, c2, c3, c4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
@@ -135,19 +121,6 @@ def _fit(group: pd.DataFrame) -> pd.DataFrame:
     return model
 
 
-def fit_model(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Model per language slot: {order: (sorted keys, log2 values)}; negative orders hold the backoff weights.
-
-    At most `LANGUAGE_SLOTS` models of at most 2.2 million entries reach the driver, whatever the corpus size.
-    """
-    rows = ngram_counts(docs, text, lang).groupBy("slot").applyInPandas(_fit, "slot int, order int, gram int, value float").toPandas()
-    model: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
-    for (slot, order), part in rows.groupby(["slot", "order"]):
-        part = part.sort_values("gram")
-        model.setdefault(int(slot), {})[int(order)] = (part["gram"].to_numpy(np.int32), part["value"].to_numpy(np.float32))
-    return model
-
-
 def log2_probabilities(model: dict[int, tuple[np.ndarray, np.ndarray]] | None, keys: np.ndarray) -> np.ndarray:
     """log2 probability of the last symbol of each key; unseen keys back off, an unknown language is uniform."""
     if not model:
@@ -165,33 +138,253 @@ def log2_probabilities(model: dict[int, tuple[np.ndarray, np.ndarray]] | None, k
     return value
 
 
-class Scorer:
-    """Bits per character of texts; remembers the value of every key met, in one array of 2^20 numbers per language."""
-
-    def __init__(self, model: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]):
-        self.model = model
-        self.known: dict[int, np.ndarray] = {}
-
-    def bits(self, slots: np.ndarray, texts: list[bytes]) -> np.ndarray:
-        """Mean negative log2 probability per symbol (log2 of the perplexity); NaN for empty texts."""
-        out = np.full(len(texts), np.nan)
-        for slot in np.unique(slots):
-            rows = np.flatnonzero(slots == slot)
-            keys, lengths = _keys([texts[i] for i in rows])
-            dense = self.known.setdefault(int(slot), np.full(1 << (BITS * ORDER), np.nan, dtype=np.float32))
-            values = dense[keys]
-            fresh = np.unique(keys[np.isnan(values)])
-            if len(fresh):
-                dense[fresh] = log2_probabilities(self.model.get(int(slot)), fresh.astype(np.int64))
-                values = dense[keys]
-            full = lengths > 0
-            sums = np.zeros(len(rows))
-            if full.any():
-                sums[full] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[full], dtype=np.float64)
-            out[rows[full]] = -sums[full] / lengths[full]
+def packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype=kind)
+
+
+class Grams:
+    """n-grams of order five over the code points of texts; every text follows four boundaries, so none spans two texts.
+
+    A code point counts as its number plus two, a boundary as one, and zero stands for no symbol in n-grams of lower order.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        self.lengths = np.array([len(t) for t in decoded], dtype=np.int64)
+        codes = np.frombuffer(("\x00" * (ORDER - 1)).join(["", *decoded]).encode("utf-32-le"), dtype=np.uint32) + np.uint32(2)
+        starts = np.cumsum(self.lengths + ORDER - 1) - self.lengths
+        self.real = np.ones(len(codes), dtype=bool)
+        for back in range(1, ORDER):
+            codes[starts - back] = 1
+            self.real[starts - back] = False
+        seen = np.zeros(1 << POINT_BITS, dtype=bool)
+        seen[codes] = True
+        self.points = np.flatnonzero(seen)
+        rank = np.zeros(1 << POINT_BITS, dtype=np.int64)
+        rank[self.points] = np.arange(len(self.points))
+        symbols = rank[codes]
+        self.bits = max(1, int(len(self.points) - 1).bit_length())
+        self.direct = ORDER * self.bits <= 63
+        # Keys are numbers of this chunk only; a key that would not fit is numbered anew among those that occur.
+        keys, used = symbols[:len(symbols) - ORDER + 1], self.bits
+        for k in range(1, ORDER):
+            if used + self.bits > 63:
+                known, keys = np.unique(keys, return_inverse=True)
+                used = max(1, int(len(known)).bit_length())
+            keys = (keys << self.bits) | symbols[k:len(symbols) - ORDER + 1 + k]
+            used += self.bits
+        self.keys = keys[self.real[ORDER - 1:]]
+        self.codes = codes
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct keys, how often each occurs, and their five code points as two numbers."""
+        if self.direct:
+            keys, n = np.unique(self.keys, return_counts=True)
+            parts = [self.points[(keys >> (self.bits * back)) & ((1 << self.bits) - 1)] for back in range(ORDER - 1, -1, -1)]
+        else:
+            keys, at, n = np.unique(self.keys, return_index=True, return_counts=True)
+            first = np.flatnonzero(self.real)[at] - ORDER + 1
+            parts = [self.codes[first + k].astype(np.int64) for k in range(ORDER)]
+        return keys, n, (parts[0] << POINT_BITS) | parts[1], (parts[2] << (2 * POINT_BITS)) | (parts[3] << POINT_BITS) | parts[4]
+
+    def bits_per_char(self, values: np.ndarray) -> np.ndarray:
+        """Mean negative log2 probability per code point (log2 of the perplexity) from the values of the distinct keys; NaN for empty texts."""
+        out = np.full(len(self.lengths), np.nan)
+        full = self.lengths > 0
+        if full.any():
+            each = values[np.searchsorted(np.unique(self.keys), self.keys)]
+            sums = np.add.reduceat(each, (np.cumsum(self.lengths) - self.lengths)[full], dtype=np.float64)
+            out[full] = -sums / self.lengths[full]
         return out
 
 
+def _language(lang: str | None) -> str:
+    return str(crc32((lang or "").encode()) % LANGUAGE_SLOTS)
+
+
+CHUNKED = "chunk bigint, lang string, n_grams bigint, rows binary, hi binary, lo binary, n binary"
+
+
+def _rows_packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _rows_of(data: bytes) -> list[pa.RecordBatch]:
+    return list(pa.ipc.open_stream(data))
+
+
+def _chunked(text: str, lang: str):
+    """Chunks of whole rows of one language, with their distinct n-grams and how often each occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, number = TaskContext.get(), 0
+        waiting: dict[str, list[pa.RecordBatch]] = {}
+        sizes: dict[str, int] = {}
+
+        def chunk(language: str) -> pa.RecordBatch:
+            nonlocal number
+            rows = pa.Table.from_batches(waiting.pop(language))
+            sizes.pop(language)
+            _, n, hi, lo = Grams([t for c in rows.column(text).chunks for t in text_bytes(c)]).distinct()
+            number += 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(context.partitionId() << 32) | number], pa.int64()), pa.array([language]), pa.array([len(n)], pa.int64()), pa.array([_rows_packed(rows)], pa.binary()),
+                 pa.array([packed(hi)], pa.binary()), pa.array([packed(lo)], pa.binary()), pa.array([packed(n.astype(np.int64))], pa.binary())],
+                names=["chunk", "lang", "n_grams", "rows", "hi", "lo", "n"])
+
+        for batch in batches:
+            for part in sized_slices(batch, text):
+                languages = np.array([_language(x) for x in part.column(lang).cast(pa.string()).to_pylist()], dtype=object)
+                for language in dict.fromkeys(languages):
+                    own = part.filter(pa.array(languages == language))
+                    waiting.setdefault(language, []).append(own)
+                    sizes[language] = sizes.get(language, 0) + own.nbytes
+                    if sizes[language] >= CHUNK:
+                        yield chunk(language)
+                while sum(sizes.values()) > OPEN:
+                    yield chunk(max(sizes, key=sizes.get))
+        for language in list(waiting):
+            yield chunk(language)
+
+    return run
+
+
+def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for language, hi, lo, n in zip(*[batch.column(c).to_pylist() for c in ("lang", "hi", "lo", "n")]):
+            hi, lo, n = [unpacked(x, np.int64) for x in (hi, lo, n)]
+            languages = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), dtype=np.int32)), pa.array([language])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([languages, pa.array(hi), pa.array(lo), pa.array(n)], names=["lang", "hi", "lo", "n"])
+
+
+def _cuts(level: DataFrame) -> DataFrame:
+    """Discounts of counts 1, 2 and 3 or more, a row per language; where counts of counts are empty, the usual constants."""
+    found = level.groupBy("lang").agg(*[F.sum((F.col("n") == k).cast("bigint")).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)])
+    c1, c2, c3, c4 = (F.col(f"c{k}") for k in (1, 2, 3, 4))
+    one = F.lit(1.0)
+    y = c1 / F.greatest(c1 + 2 * c2, one)
+    raw = [1 - 2 * y * c2 / F.greatest(c1, one), 2 - 3 * y * c3 / F.greatest(c2, one), 3 - 4 * y * c4 / F.greatest(c3, one)]
+    return found.select("lang", *[F.when((c1 > 0) & (c2 > 0) & (c3 > 0), F.least(F.greatest(d, F.lit(0.05)), F.lit(k + 0.95))).otherwise(F.lit(usual)).alias(f"d{k + 1}")
+                                  for k, (d, usual) in enumerate(zip(raw, (0.5, 0.75, 0.9)))])
+
+
+def _suffix(order: int) -> tuple[Column, Column]:
+    """An n-gram of this order without its first symbol."""
+    hi, lo = F.col("hi"), F.col("lo")
+    if order > 3:
+        return hi.bitwiseAND(F.lit(POINT if order == 5 else 0)), lo
+    return hi, lo.bitwiseAND(F.lit({3: PAIR, 2: POINT}[order]))
+
+
+def kneser_ney(counts: DataFrame) -> DataFrame:
+    """(lang, hi, lo, p): interpolated modified Kneser-Ney probability of every n-gram of order five.
+
+    Counts at the highest order, numbers of left extensions below it; order zero is uniform over all code points.
+    """
+    levels = {ORDER: counts}
+    for order in range(ORDER, 1, -1):
+        hi, lo = _suffix(order)
+        levels[order - 1] = stored(levels[order].groupBy("lang", hi.alias("hi"), lo.alias("lo")).agg(F.count("*").alias("n")))
+    model = None
+    for order in range(1, ORDER + 1):
+        hi, lo = F.col("hi"), F.col("lo")
+        context = Window.partitionBy("lang", F.shiftright(hi, POINT_BITS), F.shiftleft(hi.bitwiseAND(F.lit(POINT)), 2 * POINT_BITS).bitwiseOR(F.shiftright(lo, POINT_BITS)))
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = levels[order].join(F.broadcast(_cuts(levels[order])), "lang").withColumn("cut", cut)
+        rows = rows.select("lang", "hi", "lo", ((F.col("n") - F.col("cut")) / F.sum("n").over(context)).alias("own"), (F.sum("cut").over(context) / F.sum("n").over(context)).alias("free"))
+        if model is None:
+            model = rows.withColumn("below", F.lit(1.0 / (1 << POINT_BITS)))
+        else:
+            shi, slo = _suffix(order)
+            below = model.select("lang", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("below"))
+            model = rows.withColumns({"shi": shi, "slo": slo}).join(below, ["lang", "shi", "slo"])
+        model = model.select("lang", "hi", "lo", (F.col("own") + F.col("free") * F.col("below")).alias("p"))
+    return model
+
+
+def _bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = (hi.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (lo.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def _cut_by_bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    own = _bucket(hi, lo, buckets)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+    for a, b in zip(starts, np.r_[starts[1:], len(own)]):
+        yield int(own[a]), order[a:b]
+
+
+ASKED = "bucket int, chunk bigint, lang string, place binary, hi binary, lo binary"
+
+
+def _asked(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, language, hi, lo in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "hi", "lo")]):
+                hi, lo = unpacked(hi, np.int64), unpacked(lo, np.int64)
+                rows = [(bucket, chunk, language, packed(at.astype(np.int32)), packed(hi[at]), packed(lo[at])) for bucket, at in _cut_by_bucket(hi, lo, buckets)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))],
+                                                     names=["bucket", "chunk", "lang", "place", "hi", "lo"])
+
+    return run
+
+
+def _bucketed(buckets: int):
+    """Model rows packed per language and bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            languages = np.array(batch.column("lang").to_pylist(), dtype=object)
+            hi, lo, p = (batch.column(c).to_numpy() for c in ("hi", "lo", "p"))
+            for language in dict.fromkeys(languages):
+                at = np.flatnonzero(languages == language)
+                rows = [(bucket, language, packed(hi[at[k]]), packed(lo[at[k]]), packed(np.log2(p[at[k]]).astype(np.float32))) for bucket, k in _cut_by_bucket(hi[at], lo[at], buckets)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))],
+                                                 names=["bucket", "lang", "hi", "lo", "value"])
+
+    return run
+
+
+def _answered(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for language, own in asks.groupby("lang"):
+        known = model[model["lang"] == language]
+        values = pd.DataFrame({c: np.concatenate([unpacked(x, kind) for x in known[c]]) for c, kind in (("hi", np.int64), ("lo", np.int64), ("value", np.float32))})
+        wanted = pd.DataFrame({c: np.concatenate([unpacked(x, np.int64) for x in own[c]]) for c in ("hi", "lo")})
+        found = wanted.merge(values, "left", ["hi", "lo"], sort=False, validate="many_to_one")["value"].to_numpy(np.float32)
+        at = 0
+        for chunk, place in zip(own["chunk"], own["place"]):
+            n = len(unpacked(place, np.int32))
+            out.append((chunk, place, packed(found[at:at + n])))
+            at += n
+    return pd.DataFrame(out, columns=["chunk", "place", "value"])
+
+
+def _scored(text: str):
+    """Chunks with the bits per character of their rows; rows too short for the quartiles are marked."""
+    def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = chunks.iloc[0]
+        values = np.zeros(int(row["n_grams"]), dtype=np.float32)
+        for place, value in zip(answers["place"], answers["value"]):
+            values[unpacked(place, np.int32)] = unpacked(value, np.float32)
+        texts = [t for b in _rows_of(row["rows"]) for t in text_bytes(b.column(text))]
+        bits = Grams(texts).bits_per_char(values)
+        long = np.array([t.count(b" ") + t.count(b"\n") + 1 >= MIN_WORDS for t in texts])
+        return pd.DataFrame({"lang": [row["lang"]], "rows": [row["rows"]], "bits": [bits.tolist()], "long": [bits[long].tolist()]})
+
+    return run
+
+
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """Words, their characters, symbol characters, repeated lines, words inside repeated three-word windows."""
     words = text.split()
@@ -224,64 +417,61 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > REPEAT_PERCENT * n_words
 
 
-def perplexity_bands(docs: DataFrame, model, text: str = "text", lang: str = "lang") -> dict[int, tuple[float, float]]:
-    """Lower and upper bits per character of each language slot, from the quartiles over all its texts of `MIN_WORDS` words or more."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def perplexity_bands(scored: DataFrame) -> DataFrame:
+    """(lang, low, high): bits per character from the quartiles over all texts of a language of `MIN_WORDS` words or more."""
+    rows = scored.select("lang", F.explode("long").alias("b")).groupBy("lang").agg(F.percentile_approx("b", [0.25, 0.75], 10_000).alias("q"))
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    spread = F.greatest(q3 - q1, F.lit(MIN_BAND / BAND_WIDTH))
+    return rows.select("lang", (q1 - BAND_WIDTH * spread).alias("low"), (q3 + BAND_WIDTH * spread).alias("high"))
 
-    def scored(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            for part in sized_slices(batch, "t"):
-                texts = text_bytes(part.column(0))
-                slots = np.array([_slot(x) for x in part.column(1).to_pylist()])
-                bits = scorer.bits(slots, texts)
-                long = np.array([t.count(b" ") + t.count(b"\n") + 1 >= MIN_WORDS for t in texts])
-                yield pa.RecordBatch.from_arrays([pa.array(slots[long].astype(np.int32)), pa.array(bits[long])], names=["slot", "bits"])
-
-    scores = docs.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).mapInArrow(scored, "slot int, bits double")
-    rows = scores.groupBy("slot").agg(F.percentile_approx("bits", [0.25, 0.75], 10_000).alias("q")).collect()
-    bands = {}
-    for r in rows:
-        spread = max(r.q[1] - r.q[0], MIN_BAND / BAND_WIDTH)
-        bands[r.slot] = (r.q[0] - BAND_WIDTH * spread, r.q[1] + BAND_WIDTH * spread)
-    return bands
+
+def scored_chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """(lang, rows, bits, long): the rows in packed chunks of one language, with the bits per character of each."""
+    chunks = stored(docs.mapInArrow(_chunked(text, lang), CHUNKED))
+    asks = chunks.agg(F.sum("n_grams")).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, asks // BUCKET + 1)
+    counts = chunks.select("lang", "hi", "lo", "n").mapInArrow(_gram_rows, "lang string, hi bigint, lo bigint, n bigint")
+    model = kneser_ney(stored(counts.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))))
+    model = model.mapInArrow(_bucketed(buckets), "bucket int, lang string, hi binary, lo binary, value binary")
+    asked = chunks.select("chunk", "lang", "hi", "lo").mapInArrow(_asked(buckets), ASKED)
+    answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_answered, "chunk bigint, place binary, value binary")
+    parts = chunks.select("chunk", "lang", "n_grams", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return stored(parts.applyInPandas(_scored(text), "lang string, rows binary, bits array<double>, long array<double>"))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep_only: bool = False) -> DataFrame:
     """Input rows with base counts, bits per character, the band of their language and the verdict `kept`.
 
-    `keep_only` returns the kept rows with the input columns alone. Three passes over the texts, none of which shuffles
-    a text: n-gram counting, the quartiles, the verdicts.
+    `keep_only` returns the kept rows with the input columns alone.
     """
     small_batches(docs.sparkSession)
-    model = fit_model(docs, text, lang)
-    bands = perplexity_bands(docs, model, text, lang)
-    shared = docs.sparkSession.sparkContext.broadcast((model, bands))
     source, schema = (docs, docs.schema) if keep_only else appended(docs, STAT_COLUMNS)
+    scored = scored_chunks(source, text, lang)
     stats = [c.split()[0] for c in STAT_COLUMNS.split(", ")]
 
     def judged(batches):
-        models, limits = shared.value
-        scorer = Scorer(models)
         for batch in batches:
-            for part in sized_slices(batch, text):
-                texts = text_bytes(part.column(text))
-                slots = np.array([_slot(x) for x in part.column(lang).cast(pa.string()).to_pylist()])
-                bits = scorer.bits(slots, texts)
-                counts = [base_counts(t) for t in texts]
-                failed = np.array([base_failed(c[0], c[4]) for c in counts])
-                low = np.array([limits.get(s, (-np.inf, np.inf))[0] for s in slots])
-                high = np.array([limits.get(s, (-np.inf, np.inf))[1] for s in slots])
-                kept = ~failed & (bits >= low) & (bits <= high)
-                if keep_only:
-                    yield part.filter(pa.array(kept))
-                    continue
-                values = [pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]
-                values += [pa.array(bits, mask=np.isnan(bits)), pa.array(low), pa.array(high), pa.array(failed), pa.array(kept)]
-                yield with_columns(part, dict(zip(stats, values)), schema)
-
-    return source.mapInArrow(judged, schema)
+            for data, bits, low, high in zip(*[batch.column(c).to_pylist() for c in ("rows", "bits", "low", "high")]):
+                low, high = (-np.inf, np.inf) if low is None else (low, high)
+                at = 0
+                for rows in _rows_of(data):
+                    own = np.array(bits[at:at + rows.num_rows], dtype=np.float64)
+                    at += rows.num_rows
+                    done = 0
+                    for part in sized_slices(rows, text):
+                        b = own[done:done + part.num_rows]
+                        done += part.num_rows
+                        counts = [base_counts(t) for t in text_bytes(part.column(text))]
+                        failed = np.array([base_failed(c[0], c[4]) for c in counts])
+                        kept = ~failed & (b >= low) & (b <= high)
+                        if keep_only:
+                            yield part.filter(pa.array(kept))
+                            continue
+                        values = [pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]
+                        values += [pa.array(b, mask=np.isnan(b)), pa.array(np.full(len(b), low)), pa.array(np.full(len(b), high)), pa.array(failed), pa.array(kept)]
+                        yield with_columns(part, dict(zip(stats, values)), schema)
+
+    return scored.join(F.broadcast(perplexity_bands(scored)), "lang", "left").select("rows", "bits", "low", "high").mapInArrow(judged, schema)
 
 
 @query("op6_quality_rules")
