@@ -53,3 +53,14 @@ def test_quality_model_sums_to_at_most_one(spark):
         total[r.hi, r.lo >> 21] = total.get((r.hi, r.lo >> 21), 0) + r.p
     # What is left to a context's unseen symbols is less than its discounted mass.
     assert all(0.02 < t <= 1 + 1e-9 for t in total.values()) and max(total.values()) == pytest.approx(1, abs=0.2)
+
+
+def test_quality_languages_do_not_share_a_band(spark):
+    # The former slots put these two together; the few texts of one were judged by the quartiles of the other.
+    mono = "ab abba baab bab aab".split()
+    rows = [(k, sentence(k, CYRILLIC, 120), "pt") for k in range(60)] + [(100 + k, sentence(k, mono, 120), "hi") for k in range(6)] + [(200, sentence(1, CYRILLIC, 120), None)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    bands = {lang: {(r.band_low, r.band_high) for r in got if r.lang == lang} for lang in ("pt", "hi", None)}
+    assert all(len(b) == 1 for b in bands.values()) and len(set.union(*bands.values())) == 3
+    low, high = next(iter(bands["hi"]))
+    assert all(low <= r.bits_per_char <= high for r in got if r.lang == "hi")

@@ -14,7 +14,6 @@ Defined cases: null and empty texts have no words and fail the base rules; a nul
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,6 @@ BUCKET = 1 << 20
 # The plain model over few symbols, `_keys` to `log2_probabilities`, is the same formula in one process.
 BITS = 5
 SYMBOLS = 1 << BITS
-LANGUAGE_SLOTS = 64
 BOUNDARY = 0
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -203,7 +201,7 @@ class Grams:
 
 
 def _language(lang: str | None) -> str:
-    return str(crc32((lang or "").encode()) % LANGUAGE_SLOTS)
+    return lang or ""
 
 
 CHUNKED = "chunk bigint, lang string, n_grams bigint, rows binary, hi binary, lo binary, n binary"
