@@ -30,10 +30,10 @@ ORDER = 5
 POINT_BITS = 21
 POINT = (1 << POINT_BITS) - 1
 PAIR = (1 << (2 * POINT_BITS)) - 1
-# Text bytes of a chunk, of all open chunks of a task, and n-grams asked for in one bucket.
+# Text bytes of a chunk, of all open chunks of a task, and behind one bucket of n-grams.
 CHUNK = 8 << 20
 OPEN = 24 << 20
-BUCKET = 1 << 20
+BUCKET = 32 << 20
 # The plain model over few symbols, `_keys` to `log2_probabilities`, is the same formula in one process.
 BITS = 5
 SYMBOLS = 1 << BITS
@@ -137,11 +137,13 @@ def log2_probabilities(model: dict[int, tuple[np.ndarray, np.ndarray]] | None, k
 
 
 def packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 3)
+    """Compressed numbers, the bytes of equal rank together."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 3)
 
 
 def unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype=kind)
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 class Grams:
@@ -189,12 +191,12 @@ class Grams:
             parts = [self.codes[first + k].astype(np.int64) for k in range(ORDER)]
         return keys, n, (parts[0] << POINT_BITS) | parts[1], (parts[2] << (2 * POINT_BITS)) | (parts[3] << POINT_BITS) | parts[4]
 
-    def bits_per_char(self, values: np.ndarray) -> np.ndarray:
+    def bits_per_char(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Mean negative log2 probability per code point (log2 of the perplexity) from the values of the distinct keys; NaN for empty texts."""
         out = np.full(len(self.lengths), np.nan)
         full = self.lengths > 0
         if full.any():
-            each = values[np.searchsorted(np.unique(self.keys), self.keys)]
+            each = values[np.searchsorted(keys, self.keys)]
             sums = np.add.reduceat(each, (np.cumsum(self.lengths) - self.lengths)[full], dtype=np.float64)
             out[full] = -sums / self.lengths[full]
         return out
@@ -204,12 +206,12 @@ def _language(lang: str | None) -> str:
     return lang or ""
 
 
-CHUNKED = "chunk bigint, lang string, n_grams bigint, rows binary, hi binary, lo binary, n binary"
+CHUNKED = "chunk bigint, lang string, size bigint, rows binary"
 
 
 def _rows_packed(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
         out.write_table(rows.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -219,7 +221,7 @@ def _rows_of(data: bytes) -> list[pa.RecordBatch]:
 
 
 def _chunked(text: str, lang: str):
-    """Chunks of whole rows of one language, with their distinct n-grams and how often each occurs."""
+    """Chunks of whole rows of one language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, number = TaskContext.get(), 0
         waiting: dict[str, list[pa.RecordBatch]] = {}
@@ -228,13 +230,9 @@ def _chunked(text: str, lang: str):
         def chunk(language: str) -> pa.RecordBatch:
             nonlocal number
             rows = pa.Table.from_batches(waiting.pop(language))
-            sizes.pop(language)
-            _, n, hi, lo = Grams([t for c in rows.column(text).chunks for t in text_bytes(c)]).distinct()
             number += 1
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(context.partitionId() << 32) | number], pa.int64()), pa.array([language]), pa.array([len(n)], pa.int64()), pa.array([_rows_packed(rows)], pa.binary()),
-                 pa.array([packed(hi)], pa.binary()), pa.array([packed(lo)], pa.binary()), pa.array([packed(n.astype(np.int64))], pa.binary())],
-                names=["chunk", "lang", "n_grams", "rows", "hi", "lo", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([(context.partitionId() << 32) | number], pa.int64()), pa.array([language]), pa.array([sizes.pop(language)], pa.int64()),
+                                               pa.array([_rows_packed(rows)], pa.binary())], names=["chunk", "lang", "size", "rows"])
 
         for batch in batches:
             for part in sized_slices(batch, text):
@@ -253,12 +251,8 @@ def _chunked(text: str, lang: str):
     return run
 
 
-def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for language, hi, lo, n in zip(*[batch.column(c).to_pylist() for c in ("lang", "hi", "lo", "n")]):
-            hi, lo, n = [unpacked(x, np.int64) for x in (hi, lo, n)]
-            languages = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), dtype=np.int32)), pa.array([language])).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([languages, pa.array(hi), pa.array(lo), pa.array(n)], names=["lang", "hi", "lo", "n"])
+def _texts(rows: bytes, text: str) -> list[bytes]:
+    return [t for b in _rows_of(rows) for t in text_bytes(b.column(text))]
 
 
 def _cuts(level: DataFrame) -> DataFrame:
@@ -322,22 +316,34 @@ def _cut_by_bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> Iterator[tup
         yield int(own[a]), order[a:b]
 
 
-ASKED = "bucket int, chunk bigint, lang string, place binary, hi binary, lo binary"
+ASKED = "bucket int, chunk bigint, lang string, hi binary, lo binary, n binary"
 
 
-def _asked(buckets: int):
+def _asked(text: str, buckets: int):
+    """Distinct n-grams of every chunk and how often each occurs, packed by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, language, hi, lo in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "hi", "lo")]):
-                hi, lo = unpacked(hi, np.int64), unpacked(lo, np.int64)
-                rows = [(bucket, chunk, language, packed(at.astype(np.int32)), packed(hi[at]), packed(lo[at])) for bucket, at in _cut_by_bucket(hi, lo, buckets)]
+            for chunk, language, data in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "rows")]):
+                _, n, hi, lo = Grams(_texts(data, text)).distinct()
+                n = n.astype(np.int64)
+                rows = [(bucket, chunk, language, packed(hi[at]), packed(lo[at]), packed(n[at])) for bucket, at in _cut_by_bucket(hi, lo, buckets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))],
-                                                     names=["bucket", "chunk", "lang", "place", "hi", "lo"])
+                                                     names=["bucket", "chunk", "lang", "hi", "lo", "n"])
 
     return run
 
 
+def _summed(asks: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    for language, own in asks.groupby("lang"):
+        rows = pd.DataFrame({c: np.concatenate([unpacked(x, np.int64) for x in own[c]]) for c in ("hi", "lo", "n")})
+        rows = rows.groupby(["hi", "lo"], as_index=False)["n"].sum()
+        rows.insert(0, "lang", language)
+        out.append(rows)
+    return pd.concat(out)
+
+
 def _bucketed(buckets: int):
     """Model rows packed per language and bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,27 +364,39 @@ def _answered(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     for language, own in asks.groupby("lang"):
         known = model[model["lang"] == language]
         values = pd.DataFrame({c: np.concatenate([unpacked(x, kind) for x in known[c]]) for c, kind in (("hi", np.int64), ("lo", np.int64), ("value", np.float32))})
-        wanted = pd.DataFrame({c: np.concatenate([unpacked(x, np.int64) for x in own[c]]) for c in ("hi", "lo")})
+        parts = [(unpacked(a, np.int64), unpacked(b, np.int64)) for a, b in zip(own["hi"], own["lo"])]
+        wanted = pd.DataFrame({"hi": np.concatenate([a for a, _ in parts]), "lo": np.concatenate([b for _, b in parts])})
         found = wanted.merge(values, "left", ["hi", "lo"], sort=False, validate="many_to_one")["value"].to_numpy(np.float32)
-        at = 0
-        for chunk, place in zip(own["chunk"], own["place"]):
-            n = len(unpacked(place, np.int32))
-            out.append((chunk, place, packed(found[at:at + n])))
-            at += n
-    return pd.DataFrame(out, columns=["chunk", "place", "value"])
+        ends = np.cumsum([len(a) for a, _ in parts])
+        out += [(chunk, bucket, packed(v)) for chunk, bucket, v in zip(own["chunk"], own["bucket"], np.split(found, ends[:-1]))]
+    return pd.DataFrame(out, columns=["chunk", "bucket", "value"])
+
 
+COUNTED = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_())]
 
-def _scored(text: str):
-    """Chunks with the bits per character of their rows; rows too short for the quartiles are marked."""
+
+def _scored(text: str, carry: list[str], keep_only: bool, buckets: int):
+    """Chunks with the carried columns and base counts of their rows, and the bits per character; `long` has those that count for the quartiles.
+
+    With `keep_only`, rows that fail the base rules leave here.
+    """
     def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         row = chunks.iloc[0]
-        values = np.zeros(int(row["n_grams"]), dtype=np.float32)
-        for place, value in zip(answers["place"], answers["value"]):
-            values[unpacked(place, np.int32)] = unpacked(value, np.float32)
-        texts = [t for b in _rows_of(row["rows"]) for t in text_bytes(b.column(text))]
-        bits = Grams(texts).bits_per_char(values)
+        rows = pa.Table.from_batches(_rows_of(row["rows"]))
+        texts = _texts(row["rows"], text)
+        grams = Grams(texts)
+        keys, _, hi, lo = grams.distinct()
+        values, found = np.zeros(len(keys), dtype=np.float32), dict(zip(answers["bucket"], answers["value"]))
+        for bucket, at in _cut_by_bucket(hi, lo, buckets):
+            values[at] = unpacked(found[bucket], np.float32)
+        bits = grams.bits_per_char(keys, values)
         long = np.array([t.count(b" ") + t.count(b"\n") + 1 >= MIN_WORDS for t in texts])
-        return pd.DataFrame({"lang": [row["lang"]], "rows": [row["rows"]], "bits": [bits.tolist()], "long": [bits[long].tolist()]})
+        counts = [base_counts(t) for t in texts]
+        counts = [(*c, base_failed(c[0], c[4])) for c in counts]
+        own, kept = rows.select(carry), np.array([not (keep_only and c[5]) for c in counts])
+        for k, (name, kind) in enumerate([] if keep_only else COUNTED):
+            own = own.append_column(name, pa.array([c[k] for c in counts], kind))
+        return pd.DataFrame({"lang": [row["lang"]], "rows": [_rows_packed(own.filter(pa.array(kept)))], "bits": [bits[kept].tolist()], "long": [bits[long].tolist()]})
 
     return run
 
@@ -423,29 +441,33 @@ def perplexity_bands(scored: DataFrame) -> DataFrame:
     return rows.select("lang", (q1 - BAND_WIDTH * spread).alias("low"), (q3 + BAND_WIDTH * spread).alias("high"))
 
 
-def scored_chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def scored_chunks(docs: DataFrame, text: str, lang: str, carry: list[str], keep_only: bool) -> DataFrame:
     """(lang, rows, bits, long): the rows in packed chunks of one language, with the bits per character of each."""
     chunks = stored(docs.mapInArrow(_chunked(text, lang), CHUNKED))
-    asks = chunks.agg(F.sum("n_grams")).first()[0] or 0
-    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, asks // BUCKET + 1)
-    counts = chunks.select("lang", "hi", "lo", "n").mapInArrow(_gram_rows, "lang string, hi bigint, lo bigint, n bigint")
-    model = kneser_ney(stored(counts.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"))))
-    model = model.mapInArrow(_bucketed(buckets), "bucket int, lang string, hi binary, lo binary, value binary")
-    asked = chunks.select("chunk", "lang", "hi", "lo").mapInArrow(_asked(buckets), ASKED)
-    answers = asked.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_answered, "chunk bigint, place binary, value binary")
-    parts = chunks.select("chunk", "lang", "n_grams", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return stored(parts.applyInPandas(_scored(text), "lang string, rows binary, bits array<double>, long array<double>"))
-
-
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep_only: bool = False) -> DataFrame:
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET + 1)
+    asked = chunks.select("chunk", "lang", "rows").mapInArrow(_asked(text, buckets), ASKED)
+    counts = asked.drop("chunk").groupBy("bucket").applyInPandas(_summed, "lang string, hi bigint, lo bigint, n bigint")
+    model = kneser_ney(stored(counts)).mapInArrow(_bucketed(buckets), "bucket int, lang string, hi binary, lo binary, value binary")
+    answers = asked.drop("n").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_answered, "chunk bigint, bucket int, value binary")
+    parts = chunks.select("chunk", "lang", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return stored(parts.applyInPandas(_scored(text, carry, keep_only, buckets), "lang string, rows binary, bits array<double>, long array<double>"))
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep_only: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Input rows with base counts, bits per character, the band of their language and the verdict `kept`.
 
-    `keep_only` returns the kept rows with the input columns alone.
+    `keep_only` returns the kept rows with the input columns alone; `carry` names the input columns that are returned, all if missing.
     """
     small_batches(docs.sparkSession)
-    source, schema = (docs, docs.schema) if keep_only else appended(docs, STAT_COLUMNS)
-    scored = scored_chunks(source, text, lang)
-    stats = [c.split()[0] for c in STAT_COLUMNS.split(", ")]
+    carry = carry or docs.columns
+    if keep_only:
+        source, schema = docs, docs.select(*carry).schema
+    else:
+        source, _ = appended(docs, STAT_COLUMNS)
+        carry = [c for c in carry if c in source.columns]
+        _, schema = appended(source.select(*[F.col(f"`{c}`") for c in carry]), STAT_COLUMNS)
+    scored = scored_chunks(source, text, lang, carry, keep_only)
 
     def judged(batches):
         for batch in batches:
@@ -455,25 +477,21 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep_
                 for rows in _rows_of(data):
                     own = np.array(bits[at:at + rows.num_rows], dtype=np.float64)
                     at += rows.num_rows
-                    done = 0
-                    for part in sized_slices(rows, text):
-                        b = own[done:done + part.num_rows]
-                        done += part.num_rows
-                        counts = [base_counts(t) for t in text_bytes(part.column(text))]
-                        failed = np.array([base_failed(c[0], c[4]) for c in counts])
-                        kept = ~failed & (b >= low) & (b <= high)
-                        if keep_only:
-                            yield part.filter(pa.array(kept))
-                            continue
-                        values = [pa.array([c[k] for c in counts], pa.int64()) for k in range(5)]
-                        values += [pa.array(b, mask=np.isnan(b)), pa.array(np.full(len(b), low)), pa.array(np.full(len(b), high)), pa.array(failed), pa.array(kept)]
-                        yield with_columns(part, dict(zip(stats, values)), schema)
+                    kept = (own >= low) & (own <= high)
+                    if keep_only:
+                        yield from sized_slices(rows.filter(pa.array(kept)), text) if text in carry else [rows.filter(pa.array(kept))]
+                        continue
+                    kept &= ~rows.column("base_failed").to_numpy(zero_copy_only=False)
+                    values = {"bits_per_char": pa.array(own, mask=np.isnan(own)), "band_low": pa.array(np.full(len(own), low)), "band_high": pa.array(np.full(len(own), high)),
+                              "kept": pa.array(kept)}
+                    done = with_columns(rows, values, schema)
+                    yield from sized_slices(done, text) if text in carry else [done]
 
     return scored.join(F.broadcast(perplexity_bands(scored)), "lang", "left").select("rows", "bits", "low", "high").mapInArrow(judged, schema)
 
 
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits_per_char",
                          "band_low", "band_high")
