@@ -12,9 +12,9 @@ The best path of the composed machine gives the events of the clause; a clause w
 The score of a text is sigmoid(prior + log-sum of its clauses' weights), so words without a clause around them, and texts
 without events, add nothing.
 
-Learning uses a bounded sample: at most about `SAMPLE` labelled rows per class, chosen by the hash of their id, each
-distinct text once. Candidate stems are word beginnings and whole words that stand in enough toxic sample texts; clean
-sample texts count against them; a greedy cover keeps the stems that explain toxic texts which no better stem explains, so
+Learning uses a bounded sample: at most about `SAMPLE` labelled rows per class, chosen by the hash of their id, near
+copies once. Candidate stems are word beginnings and whole words that stand in enough toxic sample texts, once or
+at least twice in each; clean sample texts count against them; a greedy cover keeps the stems that explain toxic texts which no better stem explains, so
 words that merely accompany an insult in copied texts drop out. Stem weights are log likelihood ratios; event weights come
 from the purity of each kind of event, drawn towards hand-written priors. Everything else reads all rows: each text is
 scored whole. Only the text is an input of a score.
@@ -36,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ from vistagrid.llm.registry import query
 
 SAMPLE = 1 << 14
 # A stem needs this many toxic sample texts, and this share of them; a clean text counts `PENALTY` times its share against it.
-MIN_TEXTS, MIN_SHARE, PENALTY = 3, 0.001, 20.0
+# Its texts must be no chance finding: by the binomial bound, at `CHANCE` for all candidates together.
+MIN_TEXTS, MIN_SHARE, PENALTY, CHANCE = 3, 0.001, 12.0, 0.01
 STEM_LENGTHS = range(3, 13)
 PRIOR_TEXTS = 4.0
 WORD = re.compile(r"\w+")
@@ -163,22 +165,23 @@ def _logit(p: float) -> float:
 
 @dataclass
 class Model:
-    """Stems (a trailing `$` marks a whole word) with weights, event weights, and the logits of texts with and without events."""
+    """Stems (a trailing `$` marks a whole word) with their weights where they stand once and where they stand twice or more
+    in a text, event weights, and the logits of texts with and without events."""
 
-    stems: dict[str, float]
+    stems: dict[str, tuple[float, float]]
     events: dict[str, float]
     prior: float
     none: float
 
     def __post_init__(self):
-        self.fixed = {w: (c, 0.0) for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
-        self.fixed |= {w: (THREAT, SEED_WEIGHT) for w in THREATS} | {w: (INSULT, SEED_WEIGHT) for w in INSULTS}
+        self.fixed = {w: (c, "") for c, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+        self.fixed |= {w: (THREAT, "") for w in THREATS} | {w: (INSULT, "") for w in INSULTS}
         self.machine, self.known, self.paths = None, {}, {}
 
-    def word(self, w: str) -> tuple[str, float]:
-        """Class and weight of a word: the heaviest stem it begins with, or its place in the grammar."""
-        found = [self.stems[p] for p in (*(w[:k] for k in STEM_LENGTHS if k <= len(w)), w + "$") if p in self.stems]
-        return (INSULT, max(found)) if found else self.fixed.get(w, (OTHER, 0.0))
+    def word(self, w: str) -> tuple[str, str]:
+        """Class of a word and the heaviest stem it begins with, or its place in the grammar."""
+        found = [p for p in (*(w[:k] for k in STEM_LENGTHS if k <= len(w)), w + "$") if p in self.stems]
+        return (INSULT, max(found, key=lambda p: max(self.stems[p]))) if found else self.fixed.get(w, (OTHER, ""))
 
     def _path(self, symbols: str) -> tuple[str, ...]:
         if symbols not in self.paths:
@@ -201,13 +204,15 @@ class Model:
             eventful |= known[w][0] in (INSULT, THREAT)
         if not eventful:
             return []
-        out = []
+        met, times = [], Counter()
         for clause in CLAUSE.split(text):
             classes = [known.get(w) or self.word(w) for w in WORD.findall(clause)]
             if any(c in (INSULT, THREAT) for c, _ in classes):
                 path = self._path("".join(c for c, _ in classes))
-                out += [(e, weight + self.events[e]) for e, (c, weight) in zip(path, classes) if c in (INSULT, THREAT)]
-        return out
+                met += [(e, stem) for e, (c, stem) in zip(path, classes) if c in (INSULT, THREAT)]
+        times.update(stem for _, stem in met)
+        weights = [self.stems[stem][times[stem] > 1] if stem else SEED_WEIGHT for _, stem in met]
+        return [(e, w + self.events[e]) for (e, _), w in zip(met, weights) if w > 0]
 
     def score(self, found: list[tuple[str, float]]) -> float:
         if not found:
@@ -222,11 +227,15 @@ class Model:
 
 
 def _stems_of(text: bytes) -> set[str]:
-    out = set()
-    for w in set(WORD.findall(text.decode("utf-8", "replace").lower())):
-        out.update(w[:k] for k in STEM_LENGTHS if k <= len(w))
-        out.add(w + "$")
-    return out
+    """Word beginnings and whole words of a text; a star marks those that stand in it at least twice."""
+    out: Counter = Counter()
+    for w, n in Counter(WORD.findall(text.decode("utf-8", "replace").lower())).items():
+        for k in STEM_LENGTHS:
+            if k > len(w):
+                break
+            out[w[:k]] += n
+        out[w + "$"] += n
+    return {*out, *(s + "*" for s, n in out.items() if n > 1)}
 
 
 def _counted(wanted) -> Callable:
@@ -261,8 +270,16 @@ def _held(wanted) -> Callable:
     return run
 
 
+def surprising(hits: int, misses: int, rate: float, candidates: int) -> bool:
+    """Whether so many hits among hits + misses are beyond chance at the given rate, for that many candidates."""
+    n = hits + misses
+    share = hits / n
+    gap = share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if misses else 0.0)
+    return share > rate and n * gap >= math.log(max(1, candidates) / CHANCE)
+
+
 def cover(held: list[tuple[list[int], int]], cost: np.ndarray, order: list[int], least: float) -> list[int]:
-    """Greedy cover: the stem with the most newly explained texts less its cost, until less than `least` are gained."""
+    """Greedy cover: the stem with the most newly explained texts less its cost, while it explains `least` new ones."""
     owner = np.repeat(np.arange(len(held)), [len(h) for h, _ in held])
     stem = np.array([s for h, _ in held for s in h], dtype=np.int64)
     weight = np.array([n for _, n in held], dtype=np.float64)
@@ -282,6 +299,20 @@ def cover(held: list[tuple[list[int], int]], cost: np.ndarray, order: list[int],
     return chosen
 
 
+def _least_shingle(seed: int) -> Callable:
+    """Texts with the smallest hash of their five-word shingles: near copies mostly share it, other texts do not."""
+
+    def run(batches):
+        for batch in batches:
+            least = []
+            for t in text_bytes(batch.column("t")):
+                words = t.lower().split()
+                least.append(min((xxhash.xxh3_64_intdigest(b" ".join(p), seed) for p in zip(*(words[k:] for k in range(5)))), default=xxhash.xxh3_64_intdigest(t, seed)) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("y"), pa.array(least, pa.int64())], names=["t", "y", "shingle"])
+
+    return run
+
+
 def sampled(docs: DataFrame, labels: DataFrame, trains: Column, text: str) -> tuple[DataFrame, float, float]:
     """Distinct texts (t, y) of the bounded sample, and the numbers of toxic and clean training labels."""
     own = labels.where(trains & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
@@ -291,11 +322,15 @@ def sampled(docs: DataFrame, labels: DataFrame, trains: Column, text: str) -> tu
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     # About `SAMPLE` ids of each class at most: broadcast, so that only sampled texts move.
     met = docs.select("doc_id", F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).join(F.broadcast(chosen), "doc_id")
-    return stored(met.groupBy("t").agg((F.avg("y") >= 0.5).cast("int").alias("y"))), float(toxic), float(clean)
+    texts = met.groupBy("t").agg(F.avg("y").alias("y"))
+    # Copies are no independent witnesses: two rounds keep one of each group of near copies, with the group's mean label.
+    for seed in (1, 2):
+        texts = texts.mapInArrow(_least_shingle(seed), "t string, y double, shingle bigint").groupBy("shingle").agg(F.min("t").alias("t"), F.avg("y").alias("y"))
+    return stored(texts.select("t", (F.col("y") >= 0.5).cast("int").alias("y"))), float(toxic), float(clean)
 
 
-def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Stems with their log likelihood ratios."""
+def learn_stems(sample: DataFrame) -> dict[str, tuple[float, float]]:
+    """Stems with their log likelihood ratios where they stand once, and at least twice; 0 where they prove nothing."""
     spark = sample.sparkSession
     size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -305,13 +340,15 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     shared = spark.sparkContext.broadcast(frozenset(often))
     against = {r.stem: r.n for r in good.mapInArrow(_counted(shared), "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n")).toLocalIterator()}
     price = PENALTY * toxic / max(1, clean)
-    useful = sorted(s for s, n in often.items() if n > price * against.get(s, 0))
+    rate = min(0.5, max(1, toxic) / max(2, toxic + clean))
+    useful = sorted(s for s, n in often.items() if n > price * against.get(s, 0) and surprising(n, against.get(s, 0), rate, len(often)))
     numbers = spark.sparkContext.broadcast({s: k for k, s in enumerate(useful)})
     held = [(r.held, r.n) for r in bad.mapInArrow(_held(numbers), "held array<int>").where(F.size("held") > 0).groupBy("held").agg(F.count("*").alias("n")).toLocalIterator()]
     cost = np.array([price * against.get(s, 0) for s in useful])
-    order = sorted(range(len(useful)), key=lambda k: (useful[k].endswith("$"), -len(useful[k]), useful[k]))
+    order = sorted(range(len(useful)), key=lambda k: ("*" in useful[k], "$" in useful[k], -len(useful[k]), useful[k]))
     ratio = lambda s: math.log((often[s] + 0.5) / (toxic + 1)) - math.log((against.get(s, 0) + 0.5) / (clean + 1))
-    return {useful[k]: ratio(useful[k]) for k in cover(sorted(held), cost, order, least)}
+    found = {useful[k]: ratio(useful[k]) for k in cover(sorted(held), cost, order, least)}
+    return {s: (found.get(s, 0.0), max(found.get(s, 0.0), found.get(s + "*", 0.0))) for s in {k.rstrip("*") for k in found}}
 
 
 def _strongest(shared) -> Callable:
