@@ -347,7 +347,7 @@ def learn_stems(sample: DataFrame) -> dict[str, tuple[float, float]]:
     cost = np.array([price * against.get(s, 0) for s in useful])
     order = sorted(range(len(useful)), key=lambda k: ("*" in useful[k], "$" in useful[k], -len(useful[k]), useful[k]))
     ratio = lambda s: math.log((often[s] + 0.5) / (toxic + 1)) - math.log((against.get(s, 0) + 0.5) / (clean + 1))
-    found = {useful[k]: ratio(useful[k]) for k in cover(sorted(held), cost, order, least)}
+    found = {useful[k]: ratio(useful[k]) for k in cover(sorted(held), cost, order, 1)}
     return {s: (found.get(s, 0.0), max(found.get(s, 0.0), found.get(s + "*", 0.0))) for s in {k.rstrip("*") for k in found}}
 
 
