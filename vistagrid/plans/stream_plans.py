@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vistagrid.operators import analytics as an
+from vistagrid.operators import lifecycle as lc
 from vistagrid.plans.registry import oracle, query
 from vistagrid.plans.analytics_plans import ROLLUP_ORACLE
 from vistagrid.plans.option_plans import LATEST
@@ -68,3 +69,26 @@ def malformed_events(spark, sf):
     r = domain(spark, sf, "requests").where("preferences_json IS NOT NULL").select("request_id", F.col("preferences_json").alias("value"))
     parsed = r.withColumn("e", F.from_json("value", "Water double")).select("request_id", "value", "e.*")
     return st.split_malformed(parsed, ["Water"], carry=["request_id"])[1].select("request_id", "reason")
+
+
+_ACT = """CASE WHEN kind = 'claim' AND status = 'QUEUED' THEN 'start' WHEN kind = 'claim' AND status = 'PRIMARY_READY' AND NOT leased THEN 'lease'
+    WHEN NOT leased OR status NOT IN ('PROCESSING', 'PRIMARY_READY') THEN 'none' WHEN kind = 'primary' AND status = 'PROCESSING' THEN 'ready'
+    WHEN kind = 'release' AND status = 'PRIMARY_READY' THEN 'free' WHEN kind = 'complete' AND has_primary THEN 'done'
+    WHEN kind = 'permanent_failure' OR (kind IN ('transient_failure', 'expire') AND retries >= most) THEN CASE WHEN has_primary THEN 'done' ELSE 'fail' END
+    WHEN kind IN ('transient_failure', 'expire') THEN CASE WHEN has_primary THEN 'again' ELSE 'requeue' END ELSE 'none' END"""
+_FOLD = f"""ordered AS (SELECT e.job_id, lower(trim(kind)) AS kind, row_number() OVER (PARTITION BY e.job_id ORDER BY at_us, event_id) AS pos
+    FROM job_events e JOIN job_limits USING (job_id) WHERE lower(trim(kind)) IN ({', '.join(repr(k) for k in lc.KINDS)})),
+  fold AS (SELECT job_id, 0::BIGINT AS pos, 'QUEUED' AS status, false AS leased, false AS has_primary, 0::BIGINT AS retries, 0::BIGINT AS state_rev, 0::BIGINT AS applied,
+      greatest(0, least(3, coalesce(max_retries, 0))) AS most FROM job_limits
+    UNION ALL SELECT job_id, pos, CASE act WHEN 'start' THEN 'PROCESSING' WHEN 'ready' THEN 'PRIMARY_READY' WHEN 'done' THEN 'COMPLETED' WHEN 'fail' THEN 'FAILED' WHEN 'requeue' THEN 'QUEUED' ELSE status END,
+      CASE WHEN act IN ('start', 'lease') THEN true WHEN act IN ('free', 'done', 'fail', 'again', 'requeue') THEN false ELSE leased END, has_primary OR act = 'ready',
+      retries + CASE WHEN act IN ('again', 'requeue') THEN 1 ELSE 0 END, state_rev + CASE WHEN act IN ('none', 'lease', 'free') THEN 0 ELSE 1 END, applied + CASE WHEN act = 'none' THEN 0 ELSE 1 END, most
+    FROM (SELECT f.job_id, o.pos, f.status, f.leased, f.has_primary, f.retries, f.state_rev, f.applied, f.most, {_ACT} AS act
+      FROM fold f JOIN ordered o ON o.job_id = f.job_id AND o.pos = f.pos + 1) s)"""
+
+
+@query("folded_lifecycle", oracle(["job_events", "job_limits"], """SELECT job_id, arg_max(status, pos) AS status, arg_max(leased, pos) AS leased, arg_max(has_primary, pos) AS has_primary,
+    arg_max(retries, pos) AS retries, max(state_rev) AS state_rev, max(applied) AS applied, max(pos) AS events FROM fold GROUP BY 1""", extra=_FOLD, recursive=True))
+def folded_lifecycle(spark, sf):
+    events = domain(spark, sf, "job_events")
+    return lc.fold_lifecycle(events.unionByName(events.where("event_id % 5 = 0").withColumn("at_us", F.col("at_us") + 9)), domain(spark, sf, "job_limits"))

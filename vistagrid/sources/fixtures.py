@@ -374,6 +374,20 @@ def _lifecycle(d: Dialect) -> str:
       seq FROM {d.src('ranked_events')} x"""
 
 
+JOB_EVENT_KINDS = ["claim", "primary", "release", "claim", "bogus", " Claim ", "expire", "claim", "primary", "release", "claim", "transient_failure", "claim", "primary", "release",
+                   "claim", "primary", "claim", "release", "claim", "complete", "claim", "release", "primary", "claim", "release", "claim", "primary", "claim", "release", "transient_failure",
+                   "claim", "primary", "release", "claim", "permanent_failure", "claim", "release", "primary", None, "claim"]
+
+
+def _job_events(d: Dialect) -> str:
+    return f"""SELECT user_id AS job_id, event_id, ts_us AS at_us, {pick('(event_id * 7 + seq) % 41', JOB_EVENT_KINDS)} AS kind FROM {d.src('ranked_events')} x"""
+
+
+def _job_limits(d: Dialect) -> str:
+    return f"""SELECT user_id AS job_id, CASE WHEN user_id % 11 = 0 THEN NULL ELSE CAST(user_id % 7 - 1 AS INT) END AS max_retries
+      FROM (SELECT DISTINCT user_id FROM {d.src('events')} WHERE user_id % 19 <> 0) x"""
+
+
 def _jobs(d: Dialect) -> str:
     k = "o_orderkey"
     return f"""SELECT {k} AS job_id, {d.micros('o_orderdate')} AS submitted_us,
@@ -397,9 +411,9 @@ RULES: dict[str, Callable[[Dialect], str]] = {
     "ranked_events": _ranked_events, "route_points": _route_points, "trips": _trips,
     "analytics_events": _analytics_events, "raw_events": _raw_events, "ratings": _ratings, "weight_calibrations": _weight_calibrations,
     "duration_observations": _duration_observations, "lifecycle": _lifecycle,
-    "jobs": _jobs,
+    "jobs": _jobs, "job_events": _job_events, "job_limits": _job_limits,
 }
-NEEDS = {"weight_calibrations": ["ratings"], "route_points": ["ranked_events"], "lifecycle": ["ranked_events"]}
+NEEDS = {"weight_calibrations": ["ratings"], "route_points": ["ranked_events"], "lifecycle": ["ranked_events"], "job_events": ["ranked_events"]}
 
 
 def render(name: str, d: Dialect) -> str:
