@@ -221,7 +221,7 @@ def calibration_deltas(ratings: DataFrame, tags: str = "tags") -> DataFrame:
     return ratings.withColumns(out)
 
 
-def _compose(items: Column, field: str) -> Column:
+def compose_shifts(items: Column, field: str) -> Column:
     """Composition of clamped shifts x -> min(hi, max(lo, x + a)), in array order.
 
     The maps are closed under composition, so any run of ratings shrinks to three numbers.
@@ -252,7 +252,7 @@ def weight_calibration(ratings: DataFrame, levels: int = 2) -> DataFrame:
         grouped = runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("items"))
         pos = F.lit(0).cast("bigint") if level == levels else F.col("run")
         total = F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
-        runs = grouped.select("vibe", pos.alias("pos"), total.alias("n"), *[_compose(F.col("items"), k).alias(k) for k in catalog.COMPONENTS])
+        runs = grouped.select("vibe", pos.alias("pos"), total.alias("n"), *[compose_shifts(F.col("items"), k).alias(k) for k in catalog.COMPONENTS])
 
     def applied(k):
         f = F.col(k)

@@ -196,13 +196,16 @@ _signals = q.values([(t, *s) for t, s in catalog.FEEDBACK_SIGNALS.items()], "tag
 _fold = ", ".join(f"list_reduce(list_prepend(1e0, list(d_{k} ORDER BY rated_us, rating_id)), lambda x, y: greatest(0.7e0, least(1.3e0, x + y))) AS m_{k}" for k in catalog.COMPONENTS)
 
 
-@query("weight_calibration", oracle(["ratings"], f"""SELECT vibe, {_fold}, count(*) AS samples FROM (SELECT r.*, {', '.join(
+CALIBRATION_ORACLE = oracle(["ratings"], f"""SELECT vibe, {_fold}, count(*) AS samples FROM (SELECT r.*, {', '.join(
       f"0.04e0 * ((rating - 3) / 2e0 * greatest(0e0, least(1e0, {k})) + greatest(-1e0, least(1e0, coalesce(s_{k}, 0e0)))) AS d_{k}" for k in catalog.COMPONENTS)}
     FROM ratings r LEFT JOIN (SELECT rating_id, {', '.join(f'sum(t_{k}) AS s_{k}' for k in catalog.COMPONENTS)} FROM (
       SELECT rating_id, tag FROM (SELECT rating_id, tag, row_number() OVER (PARTITION BY rating_id ORDER BY min(p)) AS n FROM (
         SELECT rating_id, replace(replace(lower(trim(x)), '-', '_'), ' ', '_') AS tag, p FROM (SELECT rating_id, unnest(string_split(tags_text, '|')) AS x,
           generate_subscripts(string_split(tags_text, '|'), 1) AS p FROM ratings)) WHERE tag IN ({', '.join(repr(t) for t in catalog.FEEDBACK_TAGS)}) GROUP BY 1, 2) WHERE n <= 4)
-      JOIN {_signals} USING (tag) GROUP BY 1) s USING (rating_id)) GROUP BY 1""", " ".join(f"m_{k}" for k in catalog.COMPONENTS)))
+      JOIN {_signals} USING (tag) GROUP BY 1) s USING (rating_id)) GROUP BY 1""", " ".join(f"m_{k}" for k in catalog.COMPONENTS))
+
+
+@query("weight_calibration", CALIBRATION_ORACLE)
 def weight_calibration(spark, sf):
     return an.weight_calibration(rated(spark, sf))
 

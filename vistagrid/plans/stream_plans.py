@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from vistagrid.operators import analytics as an
 from vistagrid.operators import lifecycle as lc
 from vistagrid.plans.registry import oracle, query
-from vistagrid.plans.analytics_plans import ROLLUP_ORACLE
+from vistagrid.plans.analytics_plans import CALIBRATION_ORACLE, ROLLUP_ORACLE, rated
 from vistagrid.plans.option_plans import LATEST
 from vistagrid.sources.fixtures import domain
+from vistagrid.streaming import keyed
 from vistagrid.streaming import streams as st
 
 NOW = "(SELECT max(submitted_us) FROM jobs)"
@@ -92,3 +93,8 @@ _FOLD = f"""ordered AS (SELECT e.job_id, lower(trim(kind)) AS kind, row_number()
 def folded_lifecycle(spark, sf):
     events = domain(spark, sf, "job_events")
     return lc.fold_lifecycle(events.unionByName(events.where("event_id % 5 = 0").withColumn("at_us", F.col("at_us") + 9)), domain(spark, sf, "job_limits"))
+
+
+@query("bucketed_calibration", CALIBRATION_ORACLE)
+def bucketed_calibration(spark, sf):
+    return keyed.calibration_from_buckets(keyed.calibration_buckets(rated(spark, sf).withColumn("at", F.timestamp_micros("rated_us"))))
