@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vistagrid.functions import catalog, geo, scoring
 from vistagrid.functions.cells import HexGrid
 from vistagrid.functions.scalars import c, clamp01, finite01
+from vistagrid.functions.text import time_bucket
+from vistagrid.operators import rings
 from vistagrid.operators import spatial as sp
 from vistagrid.operators.profiles import blend_profiles, effective_weights, weight_columns
 
@@ -126,58 +128,79 @@ def vibe_availability(ranked: DataFrame, prepared: DataFrame) -> DataFrame:
 
 
 def best_per_sector(ranked: DataFrame, sectors: int = 8) -> DataFrame:
-    """Best tile per compass sector inside the radius window; fewer than four sectors are filled from all tiles."""
+    """Best tile per compass sector inside the radius window.
+
+    Requests with fewer than four such sectors look at all their tiles in rank order until every sector has one; a tile met
+    on the way also takes the place of a worse one from the window.
+    """
     b = ranked.withColumn("sector", geo.sector(geo.bearing("lat", "lon", "anchor_lat", "anchor_lon"), sectors))
     lo = F.col("radius_km") * F.when(F.col("outward") & (F.size("antis") > 0), 0.50).otherwise(0.45)
     hi = F.col("radius_km") * F.when(F.col("outward") & (F.size("antis") > 0), 1.90).otherwise(2.0)
-    order = F.struct("position")
-    pick = F.min_by(F.struct("cell", "anchor_lat", "anchor_lon", "position"), order)
-    inside = b.where((F.col("distance_km") >= lo) & (F.col("distance_km") <= hi)).groupBy("request_id", "sector").agg(pick.alias("t"))
-    n = inside.groupBy("request_id").agg(F.count("*").alias("n"))
-    scarce = b.select("request_id").distinct().join(n, "request_id", "left").where(F.coalesce("n", F.lit(0)) < 4).select("request_id")
-    every = b.join(scarce, "request_id", "left_semi").groupBy("request_id", "sector").agg(pick.alias("t"))
-    rich = inside.join(scarce, "request_id", "left_anti")
-    return rich.unionByName(every).select("request_id", "sector", "t.*")
+    tile = F.struct("position", "cell", "anchor_lat", "anchor_lon")
+    inside = (F.col("distance_km") >= lo) & (F.col("distance_km") <= hi)
+    best = b.groupBy("request_id", "sector").agg(F.min(F.when(inside, tile)).alias("own"), F.min(tile).alias("any"))
+    # At most eight sectors per request; the walk ends at the first tile with which no sector is empty.
+    grouped = best.groupBy("request_id").agg(F.count("own").alias("n"), F.count("*").alias("all"), F.max(F.when(F.col("own").isNull(), F.col("any.position"))).alias("last"),
+                                             F.collect_list(F.struct("sector", "own", "any")).alias("s"))
+    far = F.when(F.col("all") < sectors, F.lit(2**31 - 1)).otherwise(F.col("last"))
+    rows = grouped.select("request_id", (F.col("n") < 4).alias("scarce"), far.alias("last"), F.explode("s").alias("s"))
+    met = F.col("scarce") & (F.col("s.any.position") <= F.col("last"))
+    picked = rows.select("request_id", F.col("s.sector").alias("sector"), F.when(met, F.col("s.any")).otherwise(F.col("s.own")).alias("t")).where("t IS NOT NULL")
+    return picked.select("request_id", "sector", "t.cell", "t.anchor_lat", "t.anchor_lon", "t.position")
 
 
-def spaced_anchors(ranked: DataFrame, n: int = 14, km: float = 2.0) -> DataFrame:
-    """Greedy choice in rank order of anchors at least `km` apart. At most 120 ranked tiles reach one fold."""
-    spot = F.struct(F.col("position"), F.col("cell"), F.col("anchor_lat").alias("lat"), F.col("anchor_lon").alias("lon"))
-    lists = ranked.where("position <= 120").groupBy("request_id").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
-    none = F.filter(F.col("spots"), lambda s: F.lit(False))
+def anchor_window() -> tuple[Column, Column]:
+    """Nearest and farthest distance of a target anchor in km."""
+    low = F.greatest(F.lit(3.0), F.col("radius_km") * 0.55)
+    return low, F.greatest(low + 1.0, F.least(F.col("budget") / 2.2, F.col("radius_km") * 1.85))
 
-    def step(acc, s):
-        far = ~F.exists(acc, lambda a: geo.haversine(a["lat"], a["lon"], s["lat"], s["lon"], geo.EARTH_KM) < km)
-        return F.when((F.size(acc) < n) & far, F.concat(acc, F.array(s))).otherwise(acc)
 
-    picked = lists.select("request_id", F.posexplode(F.aggregate("spots", none, step)).alias("k", "s"))
+def spaced_anchors(ranked: DataFrame, n: int = 14, km: float = 2.0) -> DataFrame:
+    """Greedy choice in rank order of anchors inside the anchor window and at least `km` apart; `rank_tiles` keeps at most 120
+    tiles of a request, so the fold is short."""
+    low, high = anchor_window()
+    spot = F.struct(F.col("position"), F.col("cell"), F.col("anchor_lat").alias("lat"), F.col("anchor_lon").alias("lon"))
+    lists = ranked.where((F.col("distance_km") >= low) & (F.col("distance_km") <= high)).groupBy("request_id").agg(F.sort_array(F.collect_list(spot)).alias("spots"))
+    picked = lists.select("request_id", F.posexplode(rings.greedy_spaced(F.col("spots"), n, km)).alias("k", "s"))
     return picked.select("request_id", "k", "s.*")
 
 
-def sector_rings(best: DataFrame, counts=(8, 6, 4)) -> DataFrame:
-    """Waypoint rings over the sector tiles: for each count, every rotation of evenly spaced sectors (at most eight tiles)."""
-    b = best.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("sector", F.col("anchor_lat").alias("lat"), F.col("anchor_lon").alias("lon")))).alias("t"))
-    b = b.withColumn("wp", F.explode(F.array(*[F.lit(x) for x in counts]))).where(F.size("t") >= F.col("wp"))
-    b = b.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.col("wp") - 1)))
+def sector_rings(best: DataFrame, ranked: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """Waypoint rings over the sector tiles: for each count, rotations of evenly spaced sectors (at most eight tiles).
+
+    Counts are 8, 6 and 4, or those around the learned count of `learned` (request_id, learned). A request without any ring
+    gets one through its first four tiles of `ranked`, if it has two.
+    """
+    point = F.struct(F.col("anchor_lat").alias("lat"), F.col("anchor_lon").alias("lon"))
+    b = best.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("sector", point.alias("p")))).alias("t"))
+    b = b.join(learned, "request_id", "left") if learned is not None else b.withColumn("learned", F.lit(None).cast("double"))
+    b = b.select("request_id", "t", F.posexplode(waypoint_counts("learned")).alias("at", "wp")).where(F.size("t") >= F.col("wp"))
+    b = b.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.least(F.size("t"), F.col("wp")) - 1)))
     size = F.size("t")
     ring = F.transform(F.sequence(F.lit(0), F.col("wp") - 1), lambda i: F.element_at(
         F.col("t"), ((F.col("rotation") + F.floor(i * size / F.col("wp")).cast("int")) % size + 1).cast("int")))
-    return b.select("request_id", F.lit("sector").alias("kind"), "wp", "rotation", F.transform(ring, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("points"))
+    out = b.select("request_id", F.lit("sector").alias("kind"), F.array(F.lit(0), F.col("at"), F.col("rotation")).alias("seq"), F.transform(ring, lambda p: p["p"]).alias("points"))
+    if ranked is None:
+        return out
+    first = ranked.where("position <= 4").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", point.alias("p")))).alias("t")).where(F.size("t") >= 2)
+    bare = first.join(out.select("request_id").distinct(), "request_id", "left_anti")
+    return out.unionByName(bare.select("request_id", F.lit("sector").alias("kind"), F.array(F.lit(0), F.lit(99), F.lit(0)).alias("seq"), F.transform("t", lambda p: p["p"]).alias("points")))
 
 
 def anchor_rings(anchors: DataFrame, starts: DataFrame, sectors: int = 8, pairs: int = 24, km: float = 2.0) -> DataFrame:
     """Single anchors, up to 24 spaced pairs with a sector gap of two, and a triangle; at most 14 anchors per request."""
     a = anchors.join(starts.select("request_id", F.col("lat").alias("slat"), F.col("lon").alias("slon")), "request_id")
     a = a.withColumn("sector", geo.sector(geo.bearing("slat", "slon", "lat", "lon"), sectors)).drop("slat", "slon")
-    one = a.select("request_id", F.lit("single").alias("kind"), F.array(F.struct("lat", "lon")).alias("points"))
+    place = lambda kind, i: F.array(F.lit(kind), i, F.lit(0)).alias("seq")
+    one = a.select("request_id", F.lit("single").alias("kind"), place(1, F.col("k")), F.array(F.struct("lat", "lon")).alias("points"))
     b = a.select("request_id", F.col("k").alias("k2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("sector").alias("sector2"))
     gap = F.abs(F.col("sector") - F.col("sector2"))
     p = a.join(b, "request_id").where((F.col("k") < F.col("k2")) & (F.least(gap, sectors - gap) >= 2) & (geo.haversine("lat", "lon", "lat2", "lon2", geo.EARTH_KM) >= km))
     w = Window.partitionBy("request_id").orderBy("k", "k2")
     p = p.withColumn("n", F.row_number().over(w)).where(F.col("n") <= pairs)
-    two = p.select("request_id", F.lit("pair").alias("kind"), F.array(F.struct("lat", "lon"), F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))).alias("points"))
+    two = p.select("request_id", F.lit("pair").alias("kind"), place(2, F.col("n")), F.array(F.struct("lat", "lon"), F.struct(F.col("lat2").alias("lat"), F.col("lon2").alias("lon"))).alias("points"))
     lists = a.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("sector", "k", "lat", "lon"))).alias("s")).where(F.size("s") >= 3)
-    tri = lists.select("request_id", F.lit("triangle").alias("kind"), F.transform(F.slice("s", 1, 3), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points"))
+    tri = lists.select("request_id", F.lit("triangle").alias("kind"), place(3, F.lit(0)), F.transform(F.slice("s", 1, 3), lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon"))).alias("points"))
     return one.unionByName(two).unionByName(tri)
 
 
@@ -209,21 +232,20 @@ def geometric_rings(requests: DataFrame) -> DataFrame:
     return even.unionByName(tri).unionByName(fan)
 
 
-def ring_key(points="points") -> Column:
-    return F.array_join(F.transform(c(points), lambda p: geo.coord_key(p["lat"], p["lon"], 5)), "|")
-
-
-def dedup_rings(rings: DataFrame) -> DataFrame:
-    """One ring per request and 5-digit signature."""
-    return rings.withColumn("signature", ring_key()).groupBy("request_id", "signature").agg(F.min(F.struct("kind", "points")).alias("r")).select("request_id", "signature", "r.*")
+def dedup_rings(found: DataFrame) -> DataFrame:
+    """First ring, by `seq`, of each request and 5-digit signature."""
+    first = F.min_by(F.struct("kind", "points"), F.struct("seq", "kind"))
+    return found.withColumn("signature", rings.ring_signature()).groupBy("request_id", "signature").agg(first.alias("r"), F.min("seq").alias("seq")).select("request_id", "signature", "seq", "r.*")
 
 
-def requested_shape(rings: DataFrame, starts: DataFrame) -> DataFrame:
-    """Mean radius and number of waypoints of each ring."""
-    j = rings.join(starts.select("request_id", F.col("lat").alias("slat"), F.col("lon").alias("slon")), "request_id")
+def requested_shape(found: DataFrame, starts: DataFrame) -> DataFrame:
+    """Mean radius and number of waypoints of each ring; with a column `minutes` also the duration against the budget of
+    `starts` and the budget's calibration bucket."""
+    j = found.join(starts.select("request_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"), "budget"), "request_id")
     d = F.transform("points", lambda p: geo.haversine(F.col("slat"), F.col("slon"), p["lat"], p["lon"], geo.EARTH_KM))
     mean = F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x) / F.greatest(F.lit(1), F.size(d))
-    return j.select("request_id", "signature", mean.alias("mean_radius_km"), F.size("points").alias("waypoints"))
+    fit = [F.when(F.col("budget") <= 0, 1.0).otherwise(F.col("minutes") / F.col("budget")).alias("duration_fit_ratio"), time_bucket(F.greatest(F.lit(1), F.col("budget"))).alias("bucket_minutes")]
+    return j.select("request_id", "signature", "kind", mean.alias("mean_radius_km"), F.size("points").alias("waypoints"), *(fit if "minutes" in found.columns else []))
 
 
 def scenic_regions(points: DataFrame, tiles: DataFrame, metres: float, limit: int, grid: HexGrid, version: str, vibe: str | None = None) -> DataFrame:

@@ -77,26 +77,6 @@ def waypoint_counts(spark, sf):
     return domain(spark, sf, TR).select("request_id", F.array_join(F.transform(rq.waypoint_counts(learned), lambda x: x.cast("string")), ",").alias("counts"))
 
 
-@query("sector_tiles")
-def sector_tiles(spark, sf):
-    r = shared(ranked(spark, sf).select("request_id", "position", "cell", "lat", "lon", "anchor_lat", "anchor_lon", "distance_km", "radius_km", "outward", "antis"))
-    return rq.best_per_sector(r)
-
-
-@query("waypoint_rings")
-def waypoint_rings(spark, sf):
-    """Sector rings and anchor rings, deduplicated, with their mean radius."""
-    t = trips(spark, sf)
-    r = shared(ranked(spark, sf).select("request_id", "position", "cell", "lat", "lon", "anchor_lat", "anchor_lon", "distance_km", "radius_km", "outward", "antis"))
-    rings = rq.sector_rings(rq.best_per_sector(r)).select("request_id", "kind", "points").unionByName(rq.anchor_rings(rq.spaced_anchors(r), t))
-    return rq.requested_shape(rq.dedup_rings(rings), t)
-
-
-@query("spaced_anchors")
-def spaced_anchors(spark, sf):
-    return rq.spaced_anchors(ranked(spark, sf).select("request_id", "position", "cell", "anchor_lat", "anchor_lon"))
-
-
 @query("geometric_ring_counts", oracle([TR], "SELECT request_id, k AS kind, n FROM trip_requests, (VALUES ('synthetic', 61), ('budget', 120), ('diversity', 8)) v(k, n)"))
 def geometric_ring_counts(spark, sf):
     return rq.geometric_rings(domain(spark, sf, TR)).groupBy("request_id", "kind").agg(F.count("*").alias("n"))
