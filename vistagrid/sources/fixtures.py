@@ -404,6 +404,33 @@ def _jobs(d: Dialect) -> str:
       FROM {d.src('orders')}"""
 
 
+def _eval_scenarios(d: Dialect, run: int) -> str:
+    k = "c_custkey"
+    return f"""SELECT {k} AS scenario_id, CASE WHEN ({k} + {run}) % 9 = 0 THEN 'FAILED' WHEN ({k} + {run}) % 31 = 0 THEN NULL ELSE 'COMPLETED' END AS status,
+      {pick(f'{k} % 4', ['No strong water nearby', 'No scenic data found here', None, 'timed out'])} AS failure_reason, CAST(20 + {k} % 140 AS INT) AS budget,
+      CASE WHEN {k} % 6 = 0 THEN NULL ELSE ({k} * 29 % 101) / 50e0 END AS min_separation_km, {_vibes_json(k)} AS vibes_json FROM {d.src('customer')} WHERE {k} % 17 <> {run + 3}"""
+
+
+def _eval_options(d: Dialect, run: int) -> str:
+    k = "c_custkey"
+    out = []
+    for i, profile in enumerate(catalog.PROFILES):
+        x = f"({k} * 3 + {i} + {run * 5})"
+        points = [d.pt(f"round({_lon(k)} + {0.01 * (j + i)}e0 + ({x} % 7) * 0.0011e0, 6)", f"round({_lat(k)} + {0.004 * j * j}e0 - ({x} % 5) * 0.0017e0, 6)") for j in range(5)]
+        score = f"({x} * 61 % 101) / 100e0"
+        lead = pick(f"CAST(floor({k} / 2e0) AS BIGINT) % 3", ["water", "curves", None]) if i == 0 else f"CASE WHEN {k} % 5 = 0 THEN 'water' WHEN {k} % 5 = 1 THEN 'curves' ELSE {pick(f'{x} % 3', ['water', 'poi', 'curves'])} END"
+        out.append(f"""SELECT {k} AS scenario_id, {i} AS option_no, {x} AS route_id, '{profile}' AS profile, CASE WHEN {x} % 11 = 0 THEN NULL ELSE CAST(8 + ({k} * 13 + {i * 9} * ({k} % 2)) % 190 AS INT) END AS duration_minutes,
+          CASE WHEN {x} % 13 = 0 THEN NULL WHEN {k} % 4 = 0 THEN 40e0 + {i} * ({k} % 3) WHEN {k} % 4 = 1 THEN 0.5e0 + {i} * 0.01e0 ELSE {score} END AS scenic_score, CASE WHEN {x} % 19 = 0 THEN NULL ELSE {score} END AS final_score,
+          {pick(f'{x} % 23', ['old_planner', '', None, 'other'] + ['planner_v2'] * 19)} AS algorithm, CASE WHEN {x} % 7 = 0 THEN NULL ELSE ({x} * 17 % 97) / 96e0 END AS strategy_fit, ({x} * 37 % 89) / 88e0 AS strategy_mismatch,
+          CASE WHEN {x} % 29 = 0 THEN NULL ELSE {x} % 31 <> 0 END AS has_explanation, {pick(f'{x} % 5', ['loop_closure', 'quiet_share_ok|loop_closure', '', None, 'water_share_ok'])} AS failed_text, {lead} AS lead_part,
+          CASE WHEN {x} % 14 = 0 THEN NULL ELSE ({x} * 7 % 53) / 90e0 END AS avg_a, ({x} * 11 % 59) / 80e0 AS avg_b, ({x} * 5 % 41) / 400e0 - 0.05e0 AS lift_a, CASE WHEN {x} % 3 = 0 THEN NULL ELSE ({x} * 3 % 43) / 300e0 END AS share_a,
+          2e0 + ({x} * 19 % 311) / 10e0 AS distance_km, ({x} * 23 % 71) / 70e0 AS scenic_poi, CASE WHEN {x} % 10 = 0 THEN NULL ELSE ({x} * 31 % 67) / 66e0 END AS water_share, ({x} * 41 % 61) / 60e0 AS photo_peak,
+          ({x} * 43 % 47) / 46e0 AS backtracking, CASE WHEN {x} % 8 = 0 THEN NULL ELSE ({x} * 47 % 37) / 36e0 END AS viewpoint, ({x} * 53 % 31) / 30e0 AS bridge_coastal,
+          concat('leads with ', coalesce({lead}, 'nothing')) AS summary, CASE WHEN {x} % 21 = 0 THEN NULL ELSE {d.arr(*points)} END AS points
+          FROM {d.src('customer')} WHERE {k} % 17 <> {run + 3} AND {k} % 16 <> {i} AND {k} % 20 <> 0""")
+    return " UNION ALL ".join(out)
+
+
 RULES: dict[str, Callable[[Dialect], str]] = {
     "tiles": _tiles, "roads": _roads, "places": _places, "buildings": _buildings, "areas": _areas, "water": _water,
     "hint_lines": _lines, "raster_tiles": _raster, "traffic": _traffic, "traffic_raw": _traffic_raw,
@@ -412,6 +439,7 @@ RULES: dict[str, Callable[[Dialect], str]] = {
     "analytics_events": _analytics_events, "raw_events": _raw_events, "ratings": _ratings, "weight_calibrations": _weight_calibrations,
     "duration_observations": _duration_observations, "lifecycle": _lifecycle,
     "jobs": _jobs, "job_events": _job_events, "job_limits": _job_limits,
+    "eval_scenarios": lambda d: _eval_scenarios(d, 0), "eval_options": lambda d: _eval_options(d, 0), "later_scenarios": lambda d: _eval_scenarios(d, 1), "later_options": lambda d: _eval_options(d, 1),
 }
 NEEDS = {"weight_calibrations": ["ratings"], "route_points": ["ranked_events"], "lifecycle": ["ranked_events"], "job_events": ["ranked_events"]}
 
