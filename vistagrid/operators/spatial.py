@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from vistagrid.functions import cells, geo
 from vistagrid.functions.cells import HexGrid
-from vistagrid.session import cut_lineage
 from vistagrid.functions.scalars import c
 
 SALTS = 4
@@ -303,51 +302,57 @@ def overlap_area(subject, convex) -> Column:
     return F.coalesce(F.abs(geo.ring_area2(F.concat(part, F.slice(part, 1, 1)))) / 2.0, F.lit(0.0))
 
 
-def nearest_node(points: DataFrame, nodes: DataFrame, grid: HexGrid, key: str, levels: tuple[int, ...] = (7, 5, 3, 1)) -> DataFrame:
-    """Nearest node by squared degrees: (key, node_id, distance2).
+# Resolutions of the pyramid that `nearest_node` descends; the lattice has under a thousand cells at the first.
+NEAREST_LEVELS = (1, 3, 5, 7)
+
+
+def _gap2(a_low, a_high, b_low, b_high) -> Column:
+    """Squared smallest distance of two intervals."""
+    d = F.greatest(c(a_low) - c(b_high), c(b_low) - c(a_high), F.lit(0.0))
+    return d * d
 
-    Each level looks in a one-cell ring and accepts a hit only when it is closer than that ring reaches for sure; the
-    few points left over go to a seven-squared times larger cell. Points far from every node are compared with the
-    bounding boxes of the nodes of each occupied cell of the coarsest level: the lattice bounds the number of boxes, and
-    only boxes that can hold the nearest node are joined.
-    """
-    todo = points.select(key, F.col("lat").alias("__plat"), F.col("lon").alias("__plon"))
-    out = None
-    for i, res in enumerate(levels):
-        left = todo.withColumn("__cell", F.explode(cells.k_ring(grid.cell_of("__plat", "__plon", res), F.lit(1))))
-        right = nodes.select("node_id", "lat", "lon").withColumn("__cell", grid.cell_of("lat", "lon", res))
-        d2 = (F.col("lat") - F.col("__plat")) * (F.col("lat") - F.col("__plat")) + (F.col("lon") - F.col("__plon")) * (F.col("lon") - F.col("__plon"))
-        best = left.join(right, "__cell").withColumn("d2", d2).groupBy(key).agg(F.min(F.struct("d2", "node_id")).alias("b"))
-        sure = (0.85 * grid.edge(res) / max(1.0, grid.aspect)) ** 2
-        # Each level's answers are written once: the next levels would otherwise repeat all earlier ones.
-        state = cut_lineage(todo.join(best, key, "left"))
-        settled = F.coalesce(F.col("b.d2") <= sure, F.lit(False))
-        found = state.where(settled).select(key, F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("distance2"))
-        out = found if out is None else out.unionByName(found)
-        todo = state.where(~settled).drop("b")
-    return out.unionByName(_nearest_far(todo, nodes, grid, key, levels[-1]))
-
-
-def _nearest_far(points: DataFrame, nodes: DataFrame, grid: HexGrid, key: str, res: int) -> DataFrame:
-    """Nearest node of points that may lie anywhere, by lower and upper bounds to the boxes of occupied cells."""
-    placed = nodes.select("node_id", "lat", "lon").withColumn("__cell", grid.cell_of("lat", "lon", res))
-    boxes = placed.groupBy("__cell").agg(F.min("lat").alias("a"), F.max("lat").alias("b"), F.min("lon").alias("c"), F.max("lon").alias("d"))
-    boxes = boxes.agg(F.collect_list(F.struct("__cell", "a", "b", "c", "d")).alias("__boxes"))
-    y, x = F.col("__plat"), F.col("__plon")
 
-    def square(v):
-        return v * v
+def _span2(a_low, a_high, b_low, b_high) -> Column:
+    """Squared largest distance of two intervals."""
+    d = F.greatest(c(a_high) - c(b_low), c(b_high) - c(a_low))
+    return d * d
 
-    def least(b):
-        return square(F.greatest(b["a"] - y, y - b["b"], F.lit(0.0))) + square(F.greatest(b["c"] - x, x - b["d"], F.lit(0.0)))
 
-    def most(b):
-        return square(F.greatest(F.abs(y - b["a"]), F.abs(y - b["b"]))) + square(F.greatest(F.abs(x - b["c"]), F.abs(x - b["d"])))
+def _box(south="s", north="n", west="w", east="e") -> list[Column]:
+    return [F.min(south).alias("s"), F.max(north).alias("n"), F.min(west).alias("w"), F.max(east).alias("e")]
 
-    bounded = points.join(F.broadcast(boxes)).withColumn("__near", F.transform("__boxes", lambda b: F.struct(b["__cell"].alias("cell"), least(b).alias("low"), most(b).alias("high"))))
-    bounded = bounded.withColumn("__reach", F.array_min(F.transform("__near", lambda b: b["high"])))
-    wanted = bounded.select(key, "__plat", "__plon", F.explode(F.filter("__near", lambda b: b["low"] <= F.col("__reach") + 1e-12)).alias("n")).select(
-        key, "__plat", "__plon", F.col("n.cell").alias("__cell"))
-    d2 = square(F.col("lat") - y) + square(F.col("lon") - x)
-    best = wanted.join(placed, "__cell").withColumn("d2", d2).groupBy(key).agg(F.min(F.struct("d2", "node_id")).alias("b"))
+
+def nearest_node(points: DataFrame, nodes: DataFrame, grid: HexGrid, key: str, levels: tuple[int, ...] = NEAREST_LEVELS) -> DataFrame:
+    """Nearest node by squared degrees: (key, node_id, distance2), ties to the smaller node id.
+
+    Nodes form a pyramid of cells, each with the tight box of its nodes. Points of one finest cell descend together: a level
+    per round, the cells below the surviving ones are met, a cell whose box cannot be as near as the worst case of some other
+    cell is dropped, and the rest is opened. So a group carries a handful of cells however many nodes there are and wherever it
+    lies. At the end each point keeps the finest cells that can hold its own nearest node and meets their nodes.
+    """
+    names = [f"__l{r}" for r in levels]
+    placed = nodes.select("node_id", "lat", "lon", *[grid.cell_of("lat", "lon", r).alias(n) for r, n in zip(levels, names)])
+    path = lambda n: F.concat_ws("/", *names[:n]) if n else F.lit("")
+    finest = placed.groupBy(*names).agg(*_box("lat", "lat", "lon", "lon"))
+    asked = points.select(key, F.col("lat").alias("__plat"), F.col("lon").alias("__plon"), grid.cell_of("lat", "lon", levels[-1]).alias("__group"))
+    front = asked.groupBy("__group").agg(F.min("__plat").alias("gs"), F.max("__plat").alias("gn"), F.min("__plon").alias("gw"), F.max("__plon").alias("ge")).withColumn("__up", F.lit(""))
+    for i in range(len(levels)):
+        boxes = (finest.groupBy(*names[:i + 1]).agg(*_box()) if i + 1 < len(levels) else finest).select(path(i).alias("__up"), path(i + 1).alias("__path"), "s", "n", "w", "e")
+        # The first level is bounded by the lattice; below it, cells are met by their parent.
+        met = front.join(F.broadcast(boxes) if i == 0 else boxes, "__up")
+        met = met.withColumns({"low": _gap2("gs", "gn", "s", "n") + _gap2("gw", "ge", "w", "e"), "high": _span2("gs", "gn", "s", "n") + _span2("gw", "ge", "w", "e")})
+        met = met.withColumn("reach", F.min("high").over(Window.partitionBy("__group"))).where(F.col("low") <= F.col("reach") * (1 + TOUCH) + TOUCH * TOUCH)
+        front = met.select("__group", "gs", "gn", "gw", "ge", F.col("__path").alias("__up"), "s", "n", "w", "e")
+        if i + 1 < len(levels):
+            front = front.drop("s", "n", "w", "e")
+    # A handful of cells per group; each point looks at their boxes again from its own place.
+    lists = front.groupBy("__group").agg(F.collect_list(F.struct("__up", "s", "n", "w", "e")).alias("cells"))
+    y, x = F.col("__plat"), F.col("__plon")
+    near = salted_join(asked, lists, "__group", by=[key])
+    bounded = F.transform("cells", lambda b: F.struct(b["__up"].alias("path"), (_gap2(y, y, b["s"], b["n"]) + _gap2(x, x, b["w"], b["e"])).alias("low"), (_span2(y, y, b["s"], b["n"]) + _span2(x, x, b["w"], b["e"])).alias("high")))
+    near = near.select(key, "__plat", "__plon", bounded.alias("b")).withColumn("reach", F.array_min(F.transform("b", lambda b: b["high"])))
+    wanted = near.select(key, "__plat", "__plon", F.explode(F.filter("b", lambda b: b["low"] <= F.col("reach") * (1 + TOUCH) + TOUCH * TOUCH)).alias("b")).select(key, "__plat", "__plon", F.col("b.path").alias("__path"))
+    leaves = placed.select(path(len(levels)).alias("__path"), "node_id", "lat", "lon")
+    d2 = (F.col("lat") - y) * (F.col("lat") - y) + (F.col("lon") - x) * (F.col("lon") - x)
+    best = salted_join(wanted, leaves, "__path", by=[key]).withColumn("d2", d2).groupBy(key).agg(F.min(F.struct("d2", "node_id")).alias("b"))
     return best.select(key, F.col("b.node_id").alias("node_id"), F.col("b.d2").alias("distance2"))
