@@ -39,17 +39,49 @@ def test_quality(docs, no_docs):
     assert quality.quality_rules(no_docs).count() == 0
 
 
-def test_quality_model_is_a_distribution():
-    texts = [prose(k, 200).encode() for k in range(5)]
-    keys, _ = quality._keys(texts)
-    import pandas as pd
-
-    grams, n = np.unique(keys, return_counts=True)
-    rows = quality._fit(pd.DataFrame({"slot": 1, "gram": grams, "n": n}))
-    model = {int(o): (p["gram"].to_numpy(), p["value"].to_numpy()) for o, p in rows.sort_values("gram").groupby("order")}
-    for context in np.unique(keys >> quality.BITS)[:50]:
-        total = (2 ** quality.log2_probabilities(model, (context << quality.BITS) + np.arange(quality.SYMBOLS))).sum()
-        assert abs(total - 1) < 1e-3
+def plain_kneser_ney(texts: list[str]) -> list[float]:
+    """Bits per character of each text under a modified Kneser-Ney model of order five over all texts, by dictionaries."""
+    from collections import Counter, defaultdict
+
+    level = Counter(tuple(("\0" * 4 + t)[i:i + 5]) for t in texts for i in range(len(t)))
+    levels = {5: level}
+    for order in range(4, 0, -1):
+        level = Counter(g[1:] for g in levels[order + 1])
+        levels[order] = level
+    cuts, sums, free = {}, {}, {}
+    for order, level in levels.items():
+        c = [sum(n == k for n in level.values()) for k in (1, 2, 3, 4)]
+        y = c[0] / max(c[0] + 2 * c[1], 1)
+        raw = [1 - 2 * y * c[1] / max(c[0], 1), 2 - 3 * y * c[2] / max(c[1], 1), 3 - 4 * y * c[3] / max(c[2], 1)]
+        cuts[order] = [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)] if all(c[:3]) else [0.5, 0.75, 0.9]
+        sums[order], free[order] = defaultdict(float), defaultdict(float)
+        for g, n in level.items():
+            sums[order][g[:-1]] += n
+            free[order][g[:-1]] += cuts[order][min(n, 3) - 1]
+
+    def p(g):
+        if not g:
+            return 1 / (1 << 21)
+        order, n = len(g), levels[len(g)][g]
+        return (n - cuts[order][min(n, 3) - 1]) / sums[order][g[:-1]] + free[order][g[:-1]] / sums[order][g[:-1]] * p(g[1:])
+
+    return [-sum(np.log2(p(tuple(("\0" * 4 + t)[i:i + 5]))) for i in range(len(t))) / len(t) for t in texts]
+
+
+def test_quality_bits_match_a_plain_model(spark):
+    texts = [prose(k, 60) for k in range(8)] + ["日本語 のテキスト です " * 9, "aaaa", prose(3, 60)]
+    rows = spark.createDataFrame([(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.bits_per_char for r in quality.quality_rules(rows.repartition(3)).collect()}
+    for part in (0, 1):
+        own = [k for k in range(len(texts)) if k % 2 == part]
+        for k, want in zip(own, plain_kneser_ney([texts[k] for k in own])):
+            assert abs(got[k] - want) < 1e-4
+
+
+def test_quality_hashes_agree_with_spark(spark):
+    rows = [(0, 0), (1, -1), (2**62, 77), (-(2**63), 2**63 - 1), (123456789, 987654321)]
+    want = [r[0] for r in spark.createDataFrame(rows, "a long, b long").selectExpr("xxhash64(a, b)").collect()]
+    assert quality.hash_longs(*(np.array(c) for c in zip(*rows))).tolist() == want
 
 
 def test_quality_bands_reject_the_odd_text(spark):

@@ -3,7 +3,8 @@
 The model reads whole code points. An n-gram of order five is kept exactly, as two 64-bit numbers, so its size grows with
 the texts and no part of it is broadcast: texts are cut into chunks of one language, Spark counts the n-grams of all
 chunks, the levels of the model are aggregations and joins over distinct n-grams, and a chunk asks for each of its
-distinct n-grams once. Asks and model meet in hash buckets, the answers meet the texts of the chunk again.
+distinct n-grams once. Asks and model meet in hash buckets of whole contexts, where the model is an array sorted by hash and asks are
+found by bisection; the answers meet the texts of the chunk again.
 
 Every text that is scored was counted, so the value of its n-grams is in the model and scoring never backs off.
 
@@ -34,10 +35,6 @@ PAIR = (1 << (2 * POINT_BITS)) - 1
 CHUNK = 8 << 20
 OPEN = 24 << 20
 BUCKET = 32 << 20
-# The plain model over few symbols, `_keys` to `log2_probabilities`, is the same formula in one process.
-BITS = 5
-SYMBOLS = 1 << BITS
-BOUNDARY = 0
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 # A text leaves its language's band when its bits per character lie further than this many quartile distances outside.
@@ -47,95 +44,6 @@ STAT_COLUMNS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_line
                 "bits_per_char double, band_low double, band_high double, base_failed boolean, kept boolean")
 
 
-def _symbol_table() -> np.ndarray:
-    out = np.full(256, 28, dtype=np.uint32)  # other ASCII characters
-    out[[9, 10, 11, 12, 13, 32]] = 27
-    out[48:58] = 29
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = np.arange(1, 27)
-    out[128:192] = 30  # a character beyond ASCII gives its first byte and its last bits apart
-    out[192:] = 31
-    return out
-
-
-SYMBOL = _symbol_table()
-
-
-def _keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Order-four keys of all symbols of the texts, and the number of symbols of each text.
-
-    Every text follows three boundary symbols, so no key spans two texts.
-    """
-    pad = b"\x00" * (ORDER - 1)
-    joined = np.frombuffer(pad.join([b"", *texts]), dtype=np.uint8)
-    symbols = SYMBOL[joined]
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    ends = np.cumsum(lengths + ORDER - 1)
-    starts = ends - lengths
-    for back in range(1, ORDER):
-        symbols[starts - back] = BOUNDARY
-    keys = symbols.copy()
-    for back in range(1, ORDER):
-        keys[back:] |= symbols[:-back] << np.uint32(BITS * back)
-    real = np.ones(len(symbols), dtype=bool)
-    for back in range(1, ORDER):
-        real[starts - back] = False
-    return keys[real], lengths
-
-
-def _discounts(n: np.ndarray) -> np.ndarray:
-    """Discounts for counts 0, 1, 2 and 3 or more; where counts of counts are empty, the usual constants."""
-    c1, c2, c3, c4 = (int((n == k).sum()) for k in (1, 2, 3, 4))
-    if not (c1 and c2 and c3):
-        return np.array([0.0, 0.5, 0.75, 0.9])
-    y = c1 / (c1 + 2 * c2)
-    raw = [1 - 2 * y * c2 / c1, 2 - 3 * y * c3 / c2, 3 - 4 * y * c4 / c3]
-    return np.array([0.0, *[min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]])
-
-
-def _fit(group: pd.DataFrame) -> pd.DataFrame:
-    """Interpolated modified Kneser-Ney model of one language: counts at the highest order, left extensions below it."""
-    group = group.sort_values("gram")
-    levels = {ORDER: (group["gram"].to_numpy(np.int64), group["n"].to_numpy(np.int64))}
-    for order in range(ORDER - 1, 0, -1):
-        upper = levels[order + 1][0]
-        levels[order] = np.unique(upper & ((1 << (BITS * order)) - 1), return_counts=True)
-    out, lower = [], None
-    for order in range(1, ORDER + 1):
-        grams, n = levels[order]
-        context = grams >> BITS
-        contexts, where = np.unique(context, return_inverse=True)
-        cut = _discounts(n)[np.minimum(n, 3)]
-        total = np.bincount(where, weights=n)
-        free = np.bincount(where, weights=cut) / total
-        below = np.full(len(grams), 1.0 / SYMBOLS) if lower is None else lower[1][np.searchsorted(lower[0], grams & ((1 << (BITS * (order - 1))) - 1))]
-        p = (n - cut) / total[where] + free[where] * below
-        lower = (grams, p)
-        out.append(pd.DataFrame({"order": order, "gram": grams, "value": np.log2(p)}))
-        # The backoff weight of a context is kept under order -k, at the key of the context.
-        out.append(pd.DataFrame({"order": -order, "gram": contexts, "value": np.log2(np.maximum(free, 1e-12))}))
-    model = pd.concat(out)
-    model.insert(0, "slot", int(group["slot"].iloc[0]))
-    return model
-
-
-def log2_probabilities(model: dict[int, tuple[np.ndarray, np.ndarray]] | None, keys: np.ndarray) -> np.ndarray:
-    """log2 probability of the last symbol of each key; unseen keys back off, an unknown language is uniform."""
-    if not model:
-        return np.full(len(keys), -float(BITS))
-    value = np.full(len(keys), -float(BITS))
-    for order in range(1, ORDER + 1):
-        mask = (1 << (BITS * order)) - 1
-        grams, logs = model[order]
-        contexts, weights = model[-order]
-        own, context = keys & mask, (keys & mask) >> BITS
-        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
-        value = value + np.where(contexts[at] == context, weights[at], 0.0)
-        at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-        value = np.where(grams[at] == own, logs[at], value)
-    return value
-
-
 def packed(values: np.ndarray) -> bytes:
     """Compressed numbers, the bytes of equal rank together."""
     return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 3)
@@ -277,7 +185,8 @@ def _suffix(order: int) -> tuple[Column, Column]:
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, hi, lo, p): interpolated modified Kneser-Ney probability of every n-gram of order five.
 
-    Counts at the highest order, numbers of left extensions below it; order zero is uniform over all code points.
+    Counts at the highest order, numbers of left extensions below it; order zero is uniform over all code points. `counts` as
+    from `_summed`, which knows the sums of whole contexts; the smaller lower orders get theirs from window functions.
     """
     levels = {ORDER: counts}
     for order in range(ORDER, 1, -1):
@@ -286,25 +195,54 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     model = None
     for order in range(1, ORDER + 1):
         hi, lo = F.col("hi"), F.col("lo")
-        context = Window.partitionBy("lang", F.shiftright(hi, POINT_BITS), F.shiftleft(hi.bitwiseAND(F.lit(POINT)), 2 * POINT_BITS).bitwiseOR(F.shiftright(lo, POINT_BITS)))
-        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = levels[order].join(F.broadcast(_cuts(levels[order])), "lang").withColumn("cut", cut)
-        rows = rows.select("lang", "hi", "lo", ((F.col("n") - F.col("cut")) / F.sum("n").over(context)).alias("own"), (F.sum("cut").over(context) / F.sum("n").over(context)).alias("free"))
+        d1, d2, d3 = (F.col(f"d{k}") for k in (1, 2, 3))
+        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        rows = levels[order].join(F.broadcast(_cuts(levels[order])), "lang")
+        if order == ORDER:
+            total, cuts = F.col("total"), d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")
+        else:
+            context = Window.partitionBy("lang", F.shiftright(hi, POINT_BITS), F.shiftleft(hi.bitwiseAND(F.lit(POINT)), 2 * POINT_BITS).bitwiseOR(F.shiftright(lo, POINT_BITS)))
+            total, cuts = F.sum("n").over(context), F.sum(cut).over(context)
+        rows = rows.select("lang", "hi", "lo", ((F.col("n") - cut) / total).cast("float").alias("own"), (cuts / total).cast("float").alias("free"))
         if model is None:
             model = rows.withColumn("below", F.lit(1.0 / (1 << POINT_BITS)))
         else:
             shi, slo = _suffix(order)
-            below = model.select("lang", F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("below"))
-            model = rows.withColumns({"shi": shi, "slo": slo}).join(below, ["lang", "shi", "slo"])
+            below = model.select(F.col("lang").alias("slang"), F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("below"))
+            model = rows.join(below, (F.col("lang") == F.col("slang")) & (shi == F.col("shi")) & (slo == F.col("slo")))
         model = model.select("lang", "hi", "lo", (F.col("own") + F.col("free") * F.col("below")).alias("p"))
     return model
 
 
+# Constants of the 64-bit hash that Spark's xxhash64 computes for longs.
+SEED, PRIMES = 42, [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def hash_longs(*columns: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64 gives for bigint columns."""
+    turned = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = np.full(len(columns[0]), SEED, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for column in columns:
+            h = h + PRIMES[4] + np.uint64(8)
+            h ^= turned(column.astype(np.int64).view(np.uint64) * PRIMES[1], 31) * PRIMES[0]
+            h = turned(h, 27) * PRIMES[0] + PRIMES[3]
+            h ^= h >> np.uint64(33)
+            h *= PRIMES[1]
+            h ^= h >> np.uint64(29)
+            h *= PRIMES[2]
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _context(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first four symbols of an n-gram of order five."""
+    return hi >> POINT_BITS, ((hi & POINT) << (2 * POINT_BITS)) | (lo >> POINT_BITS)
+
+
 def _bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = (hi.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (lo.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    """Bucket of an n-gram by its context, so that a bucket holds whole contexts."""
+    return (hash_longs(*_context(hi, lo)) % buckets).astype(np.int32)
 
 
 def _cut_by_bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -334,39 +272,43 @@ def _asked(text: str, buckets: int):
     return run
 
 
+COUNTS = "lang string, hi bigint, lo bigint, n bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"
+
+
 def _summed(asks: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the n-grams of a bucket, and of their contexts: all occurrences, and n-grams seen once, twice, more often."""
     out = []
     for language, own in asks.groupby("lang"):
         rows = pd.DataFrame({c: np.concatenate([unpacked(x, np.int64) for x in own[c]]) for c in ("hi", "lo", "n")})
         rows = rows.groupby(["hi", "lo"], as_index=False)["n"].sum()
+        hi, lo, n = (rows[c].to_numpy() for c in ("hi", "lo", "n"))
+        high, low = _context(hi, lo)
+        starts = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+        sizes = np.diff(np.r_[starts, len(n)])
+        for name, value in (("total", n), ("n1", n == 1), ("n2", n == 2), ("n3", n > 2)):
+            rows[name] = np.repeat(np.add.reduceat(value.astype(np.int64), starts), sizes)
         rows.insert(0, "lang", language)
         out.append(rows)
     return pd.concat(out)
 
 
-def _bucketed(buckets: int):
-    """Model rows packed per language and bucket."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            languages = np.array(batch.column("lang").to_pylist(), dtype=object)
-            hi, lo, p = (batch.column(c).to_numpy() for c in ("hi", "lo", "p"))
-            for language in dict.fromkeys(languages):
-                at = np.flatnonzero(languages == language)
-                rows = [(bucket, language, packed(hi[at[k]]), packed(lo[at[k]]), packed(np.log2(p[at[k]]).astype(np.float32))) for bucket, k in _cut_by_bucket(hi[at], lo[at], buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))],
-                                                 names=["bucket", "lang", "hi", "lo", "value"])
-
-    return run
+def _found(hi: np.ndarray, lo: np.ndarray, values: np.ndarray, want_hi: np.ndarray, want_lo: np.ndarray) -> np.ndarray:
+    """Values of the wanted n-grams: bisection in the array of sorted hashes, on to the next equal hash where two collide."""
+    hashes = hash_longs(hi, lo)
+    order = np.argsort(hashes, kind="stable")
+    hashes, hi, lo, values = hashes[order], hi[order], lo[order], values[order]
+    at = np.searchsorted(hashes, hash_longs(want_hi, want_lo))
+    while (wrong := (hi[at] != want_hi) | (lo[at] != want_lo)).any():
+        at = at + wrong
+    return values[at]
 
 
 def _answered(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     out = []
     for language, own in asks.groupby("lang"):
         known = model[model["lang"] == language]
-        values = pd.DataFrame({c: np.concatenate([unpacked(x, kind) for x in known[c]]) for c, kind in (("hi", np.int64), ("lo", np.int64), ("value", np.float32))})
         parts = [(unpacked(a, np.int64), unpacked(b, np.int64)) for a, b in zip(own["hi"], own["lo"])]
-        wanted = pd.DataFrame({"hi": np.concatenate([a for a, _ in parts]), "lo": np.concatenate([b for _, b in parts])})
-        found = wanted.merge(values, "left", ["hi", "lo"], sort=False, validate="many_to_one")["value"].to_numpy(np.float32)
+        found = _found(*(known[c].to_numpy() for c in ("hi", "lo", "value")), np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])).astype(np.float32)
         ends = np.cumsum([len(a) for a, _ in parts])
         out += [(chunk, bucket, packed(v)) for chunk, bucket, v in zip(own["chunk"], own["bucket"], np.split(found, ends[:-1]))]
     return pd.DataFrame(out, columns=["chunk", "bucket", "value"])
@@ -447,8 +389,10 @@ def scored_chunks(docs: DataFrame, text: str, lang: str, carry: list[str], keep_
     size = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, size // BUCKET + 1)
     asked = chunks.select("chunk", "lang", "rows").mapInArrow(_asked(text, buckets), ASKED)
-    counts = asked.drop("chunk").groupBy("bucket").applyInPandas(_summed, "lang string, hi bigint, lo bigint, n bigint")
-    model = kneser_ney(stored(counts)).mapInArrow(_bucketed(buckets), "bucket int, lang string, hi binary, lo binary, value binary")
+    counts = asked.drop("chunk").groupBy("bucket").applyInPandas(_summed, COUNTS)
+    hi, lo = F.col("hi"), F.col("lo")
+    context = F.xxhash64(F.shiftright(hi, POINT_BITS), F.shiftleft(hi.bitwiseAND(F.lit(POINT)), 2 * POINT_BITS).bitwiseOR(F.shiftright(lo, POINT_BITS)))
+    model = kneser_ney(stored(counts)).select(F.pmod(context, F.lit(buckets)).cast("int").alias("bucket"), "lang", "hi", "lo", F.log2("p").cast("float").alias("value"))
     answers = asked.drop("n").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_answered, "chunk bigint, bucket int, value binary")
     parts = chunks.select("chunk", "lang", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return stored(parts.applyInPandas(_scored(text, carry, keep_only, buckets), "lang string, rows binary, bits array<double>, long array<double>"))
