@@ -367,3 +367,19 @@ def test_pipeline(spark, tmp_path):
     assert not any(hit for _, hit, _ in plain_hits([r["text"] for r in seen[3].collect()], [(1, " ".join(prose(103, 90).split(" ")[20:35]))]))
     assert not any(base_spans(r["text"]) for r in seen[4].collect())
     assert sorted(r["ids_sha256"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r["ids_sha256"] for r in seen[5].collect())
+
+
+def test_pii_gate_lets_every_kind_pass(spark):
+    texts = ["10.0.0.1", "at 8.8.8.8 now", "a@b.io", "+41 44 123", "GB29 NWBK ABCD EFGH", "DE89AAAABBBBCCCC", "(212) 555-0199", "123-45-6789", "Mrs. Anna", "4111 1111 1111 1111", "x@-a.com"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = rows.where(F.rlike("text", F.lit(pii.ALL)))
+    assert found.count() >= len(texts) - 1 and found.where(~F.rlike("text", F.lit(pii.GATE))).count() == 0
+    alone, beside = (pii.surrogates(spark.createDataFrame([(1, t)], "doc_id long, text string"), key="k").first() for t in ("10.0.0.1", "10.0.0.1 and a@b.io"))
+    assert alone.entities[0]["new"] == beside.entities[0]["new"]
+
+
+def test_pii_survives_endless_repeats(spark):
+    n = 100_000
+    texts = ["a@b" + ".cc" * n, "+1" + " 22" * n, "AB12" + " ABCD" * n, "1.2.3." * n, "1" + "-2" * n, "Mr. A" + "b" * n, "a." * n + "@b.io", "(" * n]
+    rows = pii.surrogates(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), key="k").select("doc_id", "n_entities").collect()
+    assert len(rows) == len(texts)

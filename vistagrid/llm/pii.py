@@ -27,9 +27,10 @@ MALE = {"latin": ["Mr", "Herr", "Señor", "Monsieur", "Sig", "Signor"], "cyrilli
 FEMALE = {"latin": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Signora"], "cyrillic": ["Госпожа", "Г-жа"]}
 TITLES = [t for by in (MALE, FEMALE) for words in by.values() for t in words]
 NAME = r"\p{Lu}[\p{L}'’-]+"
-# kind: regex; the order is the order of the alternation.
+# kind: regex; the order is the order of the alternation. Groups repeat a bounded number of times (a host name has at most 127
+# labels), because the JVM matches an unbounded repeated group by recursion and long texts would exhaust its stack.
 KINDS = {
-    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]*[\p{L}0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]*[\p{L}0-9_%+-]@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
@@ -37,7 +38,10 @@ KINDS = {
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])",
     "name": rf"(?<![\p{{L}}0-9])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? {NAME}(?: {NAME})?",
 }
-GATE = rf"[\p{{L}}0-9_%+-]@[A-Za-z0-9]|[0-9](?:[ ().-]{{0,2}}[0-9]){{6}}|(?:{'|'.join(TITLES)})\.? \p{{Lu}}"
+# Least form of every kind, any of which lets a text pass to the search.
+LEAST = {"email": r"@[A-Za-z0-9-]", "iban": r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "ip": r"[0-9]\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]", "number": r"[0-9](?:[ ().-]{0,2}[0-9]){6}",
+         "phone": r"\+[0-9](?:[ ().-]{0,2}[0-9]){4}", "name": rf"(?:{'|'.join(TITLES)})\.? \p{{Lu}}"}
+GATE = "|".join(LEAST.values())
 ALL = "|".join(f"(?:{rx})" for rx in KINDS.values())
 # Syllables of made-up names: start, middle, and endings by gender ('' for surnames).
 SYLLABLES = {
