@@ -78,10 +78,10 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like `reliable`, as a compressed table in the shared checkpoint folder: for rows that hold packed texts."""
+def stored(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """Like `reliable`, as a compressed table in the shared checkpoint folder: for rows that hold packed texts. `options` go to the writer."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

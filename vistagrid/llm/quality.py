@@ -254,6 +254,15 @@ def _cut_by_bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> Iterator[tup
         yield int(own[a]), order[a:b]
 
 
+def _steps(values: np.ndarray) -> bytes:
+    """Packed differences of sorted numbers, which are small; they wrap, and so do their sums."""
+    return packed(np.diff(values, prepend=np.int64(0)))
+
+
+def _sums(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, np.int64))
+
+
 ASKED = "bucket int, chunk bigint, lang string, hi binary, lo binary, n binary"
 
 
@@ -263,8 +272,7 @@ def _asked(text: str, buckets: int):
         for batch in batches:
             for chunk, language, data in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "rows")]):
                 _, n, hi, lo = Grams(_texts(data, text)).distinct()
-                n = n.astype(np.int64)
-                rows = [(bucket, chunk, language, packed(hi[at]), packed(lo[at]), packed(n[at])) for bucket, at in _cut_by_bucket(hi, lo, buckets)]
+                rows = [(bucket, chunk, language, _steps(hi[at]), _steps(lo[at]), packed(n[at].astype(np.int32))) for bucket, at in _cut_by_bucket(hi, lo, buckets)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))],
                                                      names=["bucket", "chunk", "lang", "hi", "lo", "n"])
@@ -272,6 +280,8 @@ def _asked(text: str, buckets: int):
     return run
 
 
+# Sorted numbers are written as differences.
+SORTED = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 COUNTS = "lang string, hi bigint, lo bigint, n bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"
 
 
@@ -279,7 +289,7 @@ def _summed(asks: pd.DataFrame) -> pd.DataFrame:
     """Counts of the n-grams of a bucket, and of their contexts: all occurrences, and n-grams seen once, twice, more often."""
     out = []
     for language, own in asks.groupby("lang"):
-        rows = pd.DataFrame({c: np.concatenate([unpacked(x, np.int64) for x in own[c]]) for c in ("hi", "lo", "n")})
+        rows = pd.DataFrame({c: np.concatenate([read(x) for x in own[c]]) for c, read in (("hi", _sums), ("lo", _sums), ("n", lambda x: unpacked(x, np.int32).astype(np.int64)))})
         rows = rows.groupby(["hi", "lo"], as_index=False)["n"].sum()
         hi, lo, n = (rows[c].to_numpy() for c in ("hi", "lo", "n"))
         high, low = _context(hi, lo)
@@ -307,7 +317,7 @@ def _answered(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     out = []
     for language, own in asks.groupby("lang"):
         known = model[model["lang"] == language]
-        parts = [(unpacked(a, np.int64), unpacked(b, np.int64)) for a, b in zip(own["hi"], own["lo"])]
+        parts = [(_sums(a), _sums(b)) for a, b in zip(own["hi"], own["lo"])]
         found = _found(*(known[c].to_numpy() for c in ("hi", "lo", "value")), np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])).astype(np.float32)
         ends = np.cumsum([len(a) for a, _ in parts])
         out += [(chunk, bucket, packed(v)) for chunk, bucket, v in zip(own["chunk"], own["bucket"], np.split(found, ends[:-1]))]
@@ -392,7 +402,7 @@ def scored_chunks(docs: DataFrame, text: str, lang: str, carry: list[str], keep_
     counts = asked.drop("chunk").groupBy("bucket").applyInPandas(_summed, COUNTS)
     hi, lo = F.col("hi"), F.col("lo")
     context = F.xxhash64(F.shiftright(hi, POINT_BITS), F.shiftleft(hi.bitwiseAND(F.lit(POINT)), 2 * POINT_BITS).bitwiseOR(F.shiftright(lo, POINT_BITS)))
-    model = kneser_ney(stored(counts)).select(F.pmod(context, F.lit(buckets)).cast("int").alias("bucket"), "lang", "hi", "lo", F.log2("p").cast("float").alias("value"))
+    model = kneser_ney(stored(counts, SORTED)).select(F.pmod(context, F.lit(buckets)).cast("int").alias("bucket"), "lang", "hi", "lo", F.log2("p").cast("float").alias("value"))
     answers = asked.drop("n").groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_answered, "chunk bigint, bucket int, value binary")
     parts = chunks.select("chunk", "lang", "rows").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return stored(parts.applyInPandas(_scored(text, carry, keep_only, buckets), "lang string, rows binary, bits array<double>, long array<double>"))
