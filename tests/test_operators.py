@@ -77,6 +77,17 @@ def test_sample_path_matches_plain_walk(spark):
     if want[-1] != 39:
         want.append(39)
     assert sorted(r.seq for r in pa.sample_path(df, 500.0).collect()) == want
+    assert sorted((r.idx, r.seq, r.n_samples) for r in pa.sample_path(df, 500.0, span=4).collect()) == [(k, s, len(want)) for k, s in enumerate(want)]
+
+
+def test_sample_path_does_not_depend_on_spans(spark):
+    rng = random.Random(8)
+    # Routes of one point, of standing still, of short steps and of steps longer than the distance.
+    rows = [(r, i, n, 43.0 + (0 if r == 2 else step * i), -79 + rng.random() * step) for r, n, step in ((1, 1, 0.1), (2, 9, 0.0), (3, 57, 0.0003), (4, 23, 0.02), (5, 30, 0.004)) for i in range(n)]
+    df = spark.createDataFrame(rows, "route_id bigint, seq bigint, n_points bigint, lat double, lon double")
+    whole = sorted((r.route_id, r.idx, r.seq, r.n_samples) for r in pa.sample_path(df, 450.0).collect())
+    assert sorted((r.route_id, r.idx, r.seq, r.n_samples) for r in pa.sample_path(df, 450.0, span=3).collect()) == whole
+    assert [w for w in whole if w[0] == 1] == [(1, 0, 0, 1)] and [w[2] for w in whole if w[0] == 2] == [0, 8]
 
 
 def test_overlap_area_of_square_and_hexagon(spark):

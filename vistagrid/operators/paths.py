@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vistagrid.functions import catalog, cells, geo, scoring
 from vistagrid.functions.cells import HexGrid
 from vistagrid.functions.scalars import clamp01, graded, mean_of, unit, weighted_sum
-from vistagrid.operators.skew import drop_halo, numbered, running_total, span_window, with_halo
+from vistagrid.operators.skew import SPAN, drop_halo, numbered, running_total, span_window, with_halo
 from vistagrid.session import shared
 
 ROUTE = ["route_id"]
@@ -89,28 +89,78 @@ def with_cumulative(points: DataFrame) -> DataFrame:
     return running_total(d, ROUTE, "seq", "step_m", "upto").withColumn("cum_m", F.col("upto") - F.col("step_m")).drop("upto", "step_m", "to_next")
 
 
-def sample_path(points: DataFrame, metres: float) -> DataFrame:
-    """First point, each point at which at least `metres` have gathered since the last kept one, and the last point.
+# A kept point may lie this much before its mark: running sums and restarted sums differ in the last digits.
+SLACK_M = 1e-7
+EXITS = "route_id bigint, span bigint, keys array<double>, exits array<double>, counts array<bigint>, at_end array<boolean>"
+ENTRIES = "route_id bigint, span bigint, mark double, base bigint, n_samples bigint, closing boolean"
+
+
+def _exit_map(metres: float):
+    """What a walk does to a span, whatever came before it: for each point that can be the span's first kept one, the
+    travelled metres at its last kept one, the number of kept ones, and whether the last kept one ends the span.
 
-    Adds `idx` and `n_samples`. Only (seq, travelled metres) reach Python; the walk over kept points is a binary search
-    per kept point.
+    A walk enters a span at most `metres` behind its first point, so only the points up to there can be first.
     """
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        cum = pdf.sort_values("seq")["cum_m"].to_numpy()
+        after = np.searchsorted(cum, cum + metres - SLACK_M)
+        after = np.maximum(after, np.arange(len(cum)) + 1)
+        last, count = np.arange(len(cum)), np.ones(len(cum), dtype=np.int64)
+        for i in range(len(cum) - 1, -1, -1):
+            if after[i] < len(cum):
+                last[i], count[i] = last[after[i]], count[after[i]] + 1
+        n = min(len(cum), int(np.searchsorted(cum, cum[0] + metres, "right")) + 1)
+        return pd.DataFrame({"route_id": pdf["route_id"].iloc[:1], "span": pdf["span"].iloc[:1], "keys": [cum[:n]], "exits": [cum[last[:n]]], "counts": [count[:n]], "at_end": [last[:n] == len(cum) - 1]})
+
+    return run
+
+
+def _walk(metres: float):
+    """Entry mark of every span of a route, from its exit maps in order."""
+    def run(spans: pd.DataFrame) -> pd.DataFrame:
+        spans = spans.sort_values("span")
+        mark, n, closed, entries = -np.inf, 0, False, []
+        for keys, exits, counts, at_end in zip(spans["keys"], spans["exits"], spans["counts"], spans["at_end"]):
+            entries.append((mark, n))
+            i = int(np.searchsorted(keys, mark - SLACK_M))
+            closed = False
+            if i < len(keys):
+                mark, n, closed = exits[i] + metres, n + int(counts[i]), bool(at_end[i])
+        total = n if closed else n + 1
+        marks, bases = zip(*entries)
+        return pd.DataFrame({"route_id": spans["route_id"], "span": spans["span"], "mark": marks, "base": bases, "n_samples": total, "closing": [*[False] * (len(entries) - 1), not closed]})
+
+    return run
+
+
+def _kept(metres: float):
+    """Kept points of one span from its entry mark; the closing span also keeps the route's last point."""
+    def run(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        cum, seq = pdf["cum_m"].to_numpy(), pdf["seq"].to_numpy()
-        kept, i = [0], 0
-        while True:
-            # The tolerance is far below a millimetre: running sums and restarted sums differ in the last digits.
-            i = int(np.searchsorted(cum, cum[i] + metres - 1e-7))
-            if i >= len(cum):
-                break
+        cum, seq, kept = pdf["cum_m"].to_numpy(), pdf["seq"].to_numpy(), []
+        e = entry.iloc[0]
+        i = int(np.searchsorted(cum, e["mark"] - SLACK_M))
+        while i < len(cum):
             kept.append(i)
-        if kept[-1] != len(cum) - 1:
+            i = max(i + 1, int(np.searchsorted(cum, cum[i] + metres - SLACK_M)))
+        if e["closing"]:
             kept.append(len(cum) - 1)
-        return pd.DataFrame({"route_id": pdf["route_id"].iloc[0], "seq": seq[kept], "idx": np.arange(len(kept)), "n_samples": len(kept)})
+        return pd.DataFrame({"route_id": e["route_id"], "seq": seq[kept], "idx": int(e["base"]) + np.arange(len(kept)), "n_samples": e["n_samples"]})
+
+    return run
+
 
-    chosen = with_cumulative(points).select("route_id", "seq", "cum_m").groupBy("route_id").applyInPandas(
-        keep, "route_id bigint, seq bigint, idx bigint, n_samples bigint")
+def sample_path(points: DataFrame, metres: float, span: int = SPAN) -> DataFrame:
+    """First point, each point at which at least `metres` have gathered since the last kept one, and the last point.
+
+    Adds `idx` and `n_samples`. Three steps, none of which needs a whole route in one task: every span of 4,096 points gives
+    its exit map, a few numbers; a walk over the maps of a route gives each span its entry mark; every span then keeps its
+    points from there.
+    """
+    cum = with_cumulative(points).select("route_id", F.floor(F.col("seq") / span).alias("span"), "seq", "cum_m")
+    maps = cum.groupBy("route_id", "span").applyInPandas(_exit_map(metres), EXITS)
+    entries = maps.groupBy("route_id").applyInPandas(_walk(metres), ENTRIES)
+    chosen = cum.groupBy("route_id", "span").cogroup(entries.groupBy("route_id", "span")).applyInPandas(_kept(metres), "route_id bigint, seq bigint, idx bigint, n_samples bigint")
     return chosen.join(points, ["route_id", "seq"])
 
 
@@ -130,14 +180,6 @@ def leg_split(samples: DataFrame) -> DataFrame:
     return samples.withColumn("leg", leg)
 
 
-def nearest_between(left: DataFrame, right: DataFrame, on: list[str], point_key: str) -> DataFrame:
-    """Distance of each left point to its nearest right point with the same keys, both sides down-sampled to a fixed
-    number of points per set beforehand."""
-    pairs = left.join(right.select(*on, F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")), on)
-    return pairs.groupBy(*on, point_key).agg(F.min(geo.haversine("lat", "lon", "to_lat", "to_lon", KM)).alias("near_km"))
-
-
-CRAFT_SAMPLES = 400
 NEAR_KM, LEG_KM, WINDOW_STEPS = 0.12, 0.85, 4
 
 
