@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 MODULES = ["scalar_plans", "tile_plans", "source_plans", "analytics_plans", "enrich_plans", "path_plans", "request_plans", "option_plans",
-           "quality_plans", "stream_plans", "explain_plans", "ring_plans", "evaluation_plans"]
+           "quality_plans", "stream_plans", "explain_plans", "ring_plans", "evaluation_plans", "wording_plans"]
 
 
 def load_all() -> ModuleType:
