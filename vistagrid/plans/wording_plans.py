@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vistagrid.functions import catalog, text
+from vistagrid.operators import status as st
 from vistagrid.operators import wording as wd
 from vistagrid.plans import sqlgen as q
 from vistagrid.plans.quality_plans import AVERAGES, METRICS
@@ -99,3 +100,38 @@ def route_highlights(spark, sf):
     points = domain(spark, sf, "route_points")
     vibe = F.element_at(F.array(*map(F.lit, catalog.VIBES)), (F.col("route_id") % 9 + 1).cast("int"))
     return wd.highlights(points.where("seq = 0").select("route_id", vibe.alias("vibe"), (F.col("route_id") % 101 / 101.0).alias("score")), points)
+
+
+_JOB = "CASE WHEN job_id % 3 = 0 THEN job_id * 10 END"
+_reason = "CASE WHEN job_id % 2 = 0 THEN 'No strong hills nearby' WHEN job_id % 7 = 1 THEN '' ELSE 'timed out' END"
+
+
+@query("job_status", oracle(["jobs", "routes"], f"""SELECT j.job_id, j.status, CASE WHEN pub THEN coalesce({_JOB.replace('job_id', 'j.job_id')}, o.first_route) END AS route_id,
+      '/routes/route/' || CASE WHEN pub THEN coalesce({_JOB.replace('job_id', 'j.job_id')}, o.first_route) END AS route_url, CASE WHEN pub THEN coalesce(array_to_string(CASE WHEN j.option_count > 0 THEN o.items[1:j.option_count] ELSE o.items END, '|'), '') ELSE '' END AS options,
+      CASE WHEN j.status IN ('QUEUED', 'PROCESSING', 'PRIMARY_READY') THEN 3 END AS remaining_minutes, CASE WHEN j.status = 'FAILED' THEN CASE WHEN job_id % 2 = 0 THEN 'vibe_unavailable' ELSE 'route_generation_failed' END END AS code
+    FROM (SELECT *, status IN ('PRIMARY_READY', 'COMPLETED') AS pub FROM jobs) j LEFT JOIN (SELECT job_id AS jid, list(profile || ':' || route_id ORDER BY place) AS items, arg_min(route_id, place) AS first_route FROM (
+      SELECT *, CASE profile WHEN 'most_scenic' THEN 1 WHEN 'balanced' THEN 2 ELSE 3 END AS place FROM assigned) GROUP BY 1) o ON o.jid = j.job_id""",
+    extra="""named AS (SELECT job_id, profile, route_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id, profile ORDER BY created_us, route_id) AS n FROM (
+      SELECT *, lower(trim(route_profile)) AS profile FROM routes) WHERE profile IN ('most_scenic', 'balanced', 'shorter')) WHERE n = 1),
+    assigned AS (SELECT job_id, profile, route_id FROM named UNION ALL SELECT m.job_id, m.profile, s.route_id FROM (
+      SELECT j.job_id, p.profile, row_number() OVER (PARTITION BY j.job_id ORDER BY p.o) AS k FROM (SELECT DISTINCT job_id FROM routes) j, (VALUES ('most_scenic', 1), ('balanced', 2), ('shorter', 3)) p(profile, o)
+      WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.job_id = j.job_id AND n.profile = p.profile)) m
+    JOIN (SELECT job_id, route_id, row_number() OVER (PARTITION BY job_id ORDER BY created_us, route_id) AS k FROM routes WHERE route_id NOT IN (SELECT route_id FROM named)) s ON s.job_id = m.job_id AND s.k = m.k)"""))
+def job_status(spark, sf):
+    jobs = domain(spark, sf, "jobs").select("job_id", "status", F.expr(_JOB).alias("route_id"), "option_count", F.expr(_reason).alias("failure_reason"), F.array(F.lit("coastal")).alias("vibes"), F.lit(45).alias("target_minutes"))
+    done = st.job_status(jobs, domain(spark, sf, "routes"))
+    return done.select("job_id", "status", "route_id", "route_url", F.array_join(F.transform("options", lambda o: F.concat_ws(":", o["profile"], o["route_id"].cast("string"))), "|").alias("options"), "remaining_minutes", "code")
+
+
+_algorithm = "CASE job_id % 4 WHEN 0 THEN 'beam_v1' WHEN 1 THEN ' ' WHEN 2 THEN 'planner_v2' END"
+
+
+@query("route_details", oracle(["trips", "route_points", "jobs"], f"""SELECT t.route_id, t.request_id AS job_id, '/routes/route/' || t.route_id AS route_url, t.route_id % 101 / 101e0 * 100 AS score,
+      CASE WHEN coalesce(p.n_points, 0) < 2 OR t.route_id % 101 / 101e0 < 0.45 THEN 'DEGRADED' WHEN t.route_id % 101 / 101e0 >= 0.78 AND p.n_points >= 3 THEN 'PREMIUM' ELSE 'STANDARD' END AS quality_tier, t.km, t.minutes,
+      coalesce(p.lat, 0e0) AS start_lat, coalesce(p.lon, 0e0) AS start_lon, j.route_mode, coalesce(j.option_count, 0) AS option_count, CASE WHEN trim(coalesce(a, '')) = '' THEN 'unknown' ELSE a END AS algorithm,
+      coalesce(b, CASE WHEN a LIKE 'beam%' THEN 10 END) AS beam_candidates, CAST(floor((completed_us - started_us) / 1000) AS BIGINT) AS computation_ms
+    FROM trips t LEFT JOIN (SELECT * FROM route_points WHERE seq = 0) p ON p.route_id = t.route_id LEFT JOIN (SELECT *, {_algorithm} AS a, CASE WHEN job_id % 8 = 0 THEN 25 END AS b FROM jobs) j ON j.job_id = t.request_id""", "score km start_lat start_lon"))
+def route_details(spark, sf):
+    jobs = domain(spark, sf, "jobs").select("job_id", "route_mode", "started_us", "completed_us", F.expr(_algorithm).alias("algorithm"), F.when(F.col("job_id") % 8 == 0, 25).alias("beam_candidates"), "option_count")
+    routes = domain(spark, sf, "trips").select("route_id", F.col("request_id").alias("job_id"), (F.col("route_id") % 101 / 101.0).alias("score"), "km", "minutes")
+    return st.route_details(routes, domain(spark, sf, "route_points").where("seq = 0").select("route_id", "lat", "lon", "n_points"), jobs)
