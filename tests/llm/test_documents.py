@@ -69,7 +69,7 @@ def plain_kneser_ney(texts: list[str]) -> list[float]:
 
 
 def test_quality_bits_match_a_plain_model(spark):
-    texts = [prose(k, 60) for k in range(8)] + ["日本語 のテキスト です " * 9, "aaaa", prose(3, 60)]
+    texts = [prose(k, 60) for k in range(8)] + ["日本語 のテキスト です " * 9, "aaaa", prose(3, 60), "".join(chr(0x4E00 + k % 5000) for k in range(5200))]
     rows = spark.createDataFrame([(k, t, "en" if k % 2 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.bits_per_char for r in quality.quality_rules(rows.repartition(3)).collect()}
     for part in (0, 1):

@@ -54,6 +54,15 @@ def unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _two_numbers(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return (parts[0] << POINT_BITS) | parts[1], (parts[2] << (2 * POINT_BITS)) | (parts[3] << POINT_BITS) | parts[4]
+
+
+def code_points(keys: np.ndarray, points: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The five code points behind chunk keys whose digits are places in `points`, as two numbers."""
+    return _two_numbers([points[(keys >> (bits * back)) & ((1 << bits) - 1)] for back in range(ORDER - 1, -1, -1)])
+
+
 class Grams:
     """n-grams of order five over the code points of texts; every text follows four boundaries, so none spans two texts.
 
@@ -92,12 +101,10 @@ class Grams:
         """Sorted distinct keys, how often each occurs, and their five code points as two numbers."""
         if self.direct:
             keys, n = np.unique(self.keys, return_counts=True)
-            parts = [self.points[(keys >> (self.bits * back)) & ((1 << self.bits) - 1)] for back in range(ORDER - 1, -1, -1)]
-        else:
-            keys, at, n = np.unique(self.keys, return_index=True, return_counts=True)
-            first = np.flatnonzero(self.real)[at] - ORDER + 1
-            parts = [self.codes[first + k].astype(np.int64) for k in range(ORDER)]
-        return keys, n, (parts[0] << POINT_BITS) | parts[1], (parts[2] << (2 * POINT_BITS)) | (parts[3] << POINT_BITS) | parts[4]
+            return keys, n, *code_points(keys, self.points, self.bits)
+        keys, at, n = np.unique(self.keys, return_index=True, return_counts=True)
+        first = np.flatnonzero(self.real)[at] - ORDER + 1
+        return keys, n, *_two_numbers([self.codes[first + k].astype(np.int64) for k in range(ORDER)])
 
     def bits_per_char(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Mean negative log2 probability per code point (log2 of the perplexity) from the values of the distinct keys; NaN for empty texts."""
@@ -254,16 +261,20 @@ def _cut_by_bucket(hi: np.ndarray, lo: np.ndarray, buckets: int) -> Iterator[tup
         yield int(own[a]), order[a:b]
 
 
-def _steps(values: np.ndarray) -> bytes:
-    """Packed differences of sorted numbers, which are small; they wrap, and so do their sums."""
-    return packed(np.diff(values, prepend=np.int64(0)))
+def _listed(keys: np.ndarray, hi: np.ndarray, lo: np.ndarray, grams: Grams, at: np.ndarray) -> tuple[int, bytes, bytes]:
+    """n-grams of one bucket: differences of their sorted chunk keys and the chunk's code points, or where keys are no plain
+    digits of code points, the n-grams themselves (bits 0)."""
+    if grams.direct:
+        return grams.bits, packed(np.diff(keys[at], prepend=0)), packed(grams.points)
+    return 0, packed(hi[at]), packed(lo[at])
 
 
-def _sums(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data, np.int64))
+def _unlisted(bits: int, first: bytes, second: bytes) -> tuple[np.ndarray, np.ndarray]:
+    first, second = unpacked(first, np.int64), unpacked(second, np.int64)
+    return code_points(np.cumsum(first), second, bits) if bits else (first, second)
 
 
-ASKED = "bucket int, chunk bigint, lang string, hi binary, lo binary, n binary"
+ASKED = "bucket int, chunk bigint, lang string, bits int, hi binary, lo binary, n binary"
 
 
 def _asked(text: str, buckets: int):
@@ -271,11 +282,12 @@ def _asked(text: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, language, data in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "rows")]):
-                _, n, hi, lo = Grams(_texts(data, text)).distinct()
-                rows = [(bucket, chunk, language, _steps(hi[at]), _steps(lo[at]), packed(n[at].astype(np.int32))) for bucket, at in _cut_by_bucket(hi, lo, buckets)]
+                grams = Grams(_texts(data, text))
+                keys, n, hi, lo = grams.distinct()
+                rows = [(bucket, chunk, language, *_listed(keys, hi, lo, grams, at), packed(n[at].astype(np.int32))) for bucket, at in _cut_by_bucket(hi, lo, buckets)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary()))],
-                                                     names=["bucket", "chunk", "lang", "hi", "lo", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                                                     names=["bucket", "chunk", "lang", "bits", "hi", "lo", "n"])
 
     return run
 
@@ -287,7 +299,8 @@ def _summed(asks: pd.DataFrame) -> pd.DataFrame:
     """Counts of the n-grams of a bucket, and of their contexts: all occurrences, and n-grams seen once, twice, more often."""
     out = []
     for language, own in asks.groupby("lang"):
-        rows = pd.DataFrame({c: np.concatenate([read(x) for x in own[c]]) for c, read in (("hi", _sums), ("lo", _sums), ("n", lambda x: unpacked(x, np.int32).astype(np.int64)))})
+        parts = [_unlisted(*x) for x in zip(own["bits"], own["hi"], own["lo"])]
+        rows = pd.DataFrame({"hi": np.concatenate([a for a, _ in parts]), "lo": np.concatenate([b for _, b in parts]), "n": np.concatenate([unpacked(x, np.int32).astype(np.int64) for x in own["n"]])})
         rows = rows.groupby(["hi", "lo"], as_index=False)["n"].sum()
         hi, lo, n = (rows[c].to_numpy() for c in ("hi", "lo", "n"))
         high, low = _context(hi, lo)
@@ -315,7 +328,7 @@ def _answered(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     out = []
     for language, own in asks.groupby("lang"):
         known = model[model["lang"] == language]
-        parts = [(_sums(a), _sums(b)) for a, b in zip(own["hi"], own["lo"])]
+        parts = [_unlisted(*x) for x in zip(own["bits"], own["hi"], own["lo"])]
         found = _found(*(known[c].to_numpy() for c in ("hi", "lo", "value")), np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])).astype(np.float32)
         ends = np.cumsum([len(a) for a, _ in parts])
         out += [(chunk, bucket, packed(v)) for chunk, bucket, v in zip(own["chunk"], own["bucket"], np.split(found, ends[:-1]))]
