@@ -126,7 +126,7 @@ CHUNKED = "chunk bigint, lang string, size bigint, rows binary"
 
 def _rows_packed(rows: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 12))) as out:
         out.write_table(rows.combine_chunks())
     return sink.getvalue().to_pybytes()
 
