@@ -255,3 +255,17 @@ def test_topic_round_trip(spark, tmp_path):
     back = st.read_topic(spark, "event_id long, cell string", str(tmp_path / "out"))
     back.writeStream.format("memory").queryName("topic_back").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.event_id, r.cell) for r in spark.table("topic_back").collect()) == [(1, "x"), (2, None)]
+
+
+def test_polygons_spread_over_cells_are_never_broadcast(spark):
+    # Few polygons become many rows; a broadcast of them ended the driver.
+    tiles, areas, places = (domain(spark, SF, n) for n in ("tiles", "areas", "places"))
+    for df in (sp.tile_polygon_distances(tiles, areas, GRID, 5000.0), sp.touching_tiles(tiles, areas, GRID, "area_id"), sp.point_in_polygon(places, areas, GRID)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exact = [k for k in plan.split("\n") if "BroadcastHashJoin" in k and ("__cell" in k or "__env" in k)]
+        assert not exact and "SortMergeJoin" in plan
+
+
+def test_compact_tables_are_dealt_to_all_tasks(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(domain(spark, SF, name).rdd.getNumPartitions() == n for name in ("tiles", "areas", "places", "raster_tiles", "trip_requests"))
