@@ -35,6 +35,9 @@ PAIR = (1 << (2 * POINT_BITS)) - 1
 CHUNK = 8 << 20
 OPEN = 24 << 20
 BUCKET = 32 << 20
+# Texts that are decoded together, and code points whose n-grams are put together at a time.
+RUN = 256
+PIECE = 1 << 20
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 # A text leaves its language's band when its bits per character lie further than this many quartile distances outside.
@@ -70,9 +73,14 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes]):
-        decoded = [t.decode("utf-8", "replace") for t in texts]
-        self.lengths = np.array([len(t) for t in decoded], dtype=np.int64)
-        codes = np.frombuffer(("\x00" * (ORDER - 1)).join(["", *decoded]).encode("utf-32-le"), dtype=np.uint32) + np.uint32(2)
+        self.lengths, runs = np.zeros(len(texts), dtype=np.int64), []
+        for at in range(0, len(texts), RUN):
+            decoded = [t.decode("utf-8", "replace") for t in texts[at:at + RUN]]
+            self.lengths[at:at + RUN] = [len(t) for t in decoded]
+            runs.append(np.frombuffer(("\x00" * (ORDER - 1)).join(["", *decoded]).encode("utf-32-le"), dtype=np.uint32))
+        codes = np.concatenate(runs or [np.empty(0, np.uint32)])
+        del runs
+        codes += np.uint32(2)
         starts = np.cumsum(self.lengths + ORDER - 1) - self.lengths
         self.real = np.ones(len(codes), dtype=bool)
         for back in range(1, ORDER):
@@ -81,37 +89,62 @@ class Grams:
         seen = np.zeros(1 << POINT_BITS, dtype=bool)
         seen[codes] = True
         self.points = np.flatnonzero(seen)
-        rank = np.zeros(1 << POINT_BITS, dtype=np.int64)
+        rank = np.zeros(1 << POINT_BITS, dtype=np.uint32)
         rank[self.points] = np.arange(len(self.points))
-        symbols = rank[codes]
+        for at in range(0, len(codes), PIECE):
+            codes[at:at + PIECE] = rank[codes[at:at + PIECE]]
+        self.symbols = codes
         self.bits = max(1, int(len(self.points) - 1).bit_length())
         self.direct = ORDER * self.bits <= 63
-        # Keys are numbers of this chunk only; a key that would not fit is numbered anew among those that occur.
-        keys, used = symbols[:len(symbols) - ORDER + 1], self.bits
+        self.keys = None if self.direct else self._numbered()
+
+    def _numbered(self) -> np.ndarray:
+        """Keys where the digits of five symbols do not fit: a key is numbered anew among those that occur."""
+        symbols = self.symbols
+        keys, used = symbols[:len(symbols) - ORDER + 1].astype(np.int64), self.bits
         for k in range(1, ORDER):
             if used + self.bits > 63:
                 known, keys = np.unique(keys, return_inverse=True)
                 used = max(1, int(len(known)).bit_length())
             keys = (keys << self.bits) | symbols[k:len(symbols) - ORDER + 1 + k]
             used += self.bits
-        self.keys = keys[self.real[ORDER - 1:]]
-        self.codes = codes
+        return keys[self.real[ORDER - 1:]]
+
+    def _pieces(self) -> Iterator[np.ndarray]:
+        """Keys of all n-grams in text order, numbers of this chunk only. Digits of symbols are put together piece by piece, so
+        that a task never holds them for a whole chunk."""
+        if not self.direct:
+            yield self.keys
+            return
+        n = max(0, len(self.symbols) - ORDER + 1)
+        for a in range(0, n, PIECE):
+            b = min(n, a + PIECE)
+            keys = self.symbols[a:b].astype(np.int64)
+            for k in range(1, ORDER):
+                keys <<= self.bits
+                keys |= self.symbols[a + k:b + k]
+            yield keys[self.real[a + ORDER - 1:b + ORDER - 1]]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys, how often each occurs, and their five code points as two numbers."""
         if self.direct:
-            keys, n = np.unique(self.keys, return_counts=True)
+            parts = [np.unique(keys, return_counts=True) for keys in self._pieces()]
+            keys, n = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in (0, 1))
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+            keys, n = keys[starts], np.add.reduceat(n, starts) if len(n) else n
             return keys, n, *code_points(keys, self.points, self.bits)
         keys, at, n = np.unique(self.keys, return_index=True, return_counts=True)
         first = np.flatnonzero(self.real)[at] - ORDER + 1
-        return keys, n, *_two_numbers([self.codes[first + k].astype(np.int64) for k in range(ORDER)])
+        return keys, n, *_two_numbers([self.points[self.symbols[first + k]] for k in range(ORDER)])
 
     def bits_per_char(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Mean negative log2 probability per code point (log2 of the perplexity) from the values of the distinct keys; NaN for empty texts."""
         out = np.full(len(self.lengths), np.nan)
         full = self.lengths > 0
         if full.any():
-            each = values[np.searchsorted(keys, self.keys)]
+            each = np.concatenate([values[np.searchsorted(keys, piece)] for piece in self._pieces()])
             sums = np.add.reduceat(each, (np.cumsum(self.lengths) - self.lengths)[full], dtype=np.float64)
             out[full] = -sums / self.lengths[full]
         return out
@@ -193,7 +226,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """(lang, hi, lo, p): interpolated modified Kneser-Ney probability of every n-gram of order five.
 
     Counts at the highest order, numbers of left extensions below it; order zero is uniform over all code points. `counts` as
-    from `_summed`, which knows the sums of whole contexts; the smaller lower orders get theirs from window functions.
+    from `_summed`, which knows the sums of whole contexts; the smaller lower orders, and plain counts, get theirs from window functions.
     """
     levels = {ORDER: counts}
     for order in range(ORDER, 1, -1):
@@ -205,7 +238,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         d1, d2, d3 = (F.col(f"d{k}") for k in (1, 2, 3))
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         rows = levels[order].join(F.broadcast(_cuts(levels[order])), "lang")
-        if order == ORDER:
+        if order == ORDER and "total" in counts.columns:
             total, cuts = F.col("total"), d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")
         else:
             context = Window.partitionBy("lang", F.shiftright(hi, POINT_BITS), F.shiftleft(hi.bitwiseAND(F.lit(POINT)), 2 * POINT_BITS).bitwiseOR(F.shiftright(lo, POINT_BITS)))
@@ -295,19 +328,37 @@ def _asked(text: str, buckets: int):
 COUNTS = "lang string, hi bigint, lo bigint, n bigint, total bigint, n1 bigint, n2 bigint, n3 bigint"
 
 
+def _counted(bits, first, second, counts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of the lists of many chunks, and their counts. The lists are unpacked one after the other into
+    place, and columns are sorted one at a time."""
+    n = [unpacked(x, np.int32) for x in counts]
+    ends = np.cumsum([len(x) for x in n])
+    hi, lo = np.empty(ends[-1], dtype=np.int64), np.empty(ends[-1], dtype=np.int64)
+    for end, own, *packs in zip(ends.tolist(), n, bits, first, second):
+        hi[end - len(own):end], lo[end - len(own):end] = _unlisted(*packs)
+    n = np.concatenate(n)
+    order = np.lexsort((lo, hi))
+    hi = hi[order]
+    lo = lo[order]
+    n = n[order]
+    del order
+    starts = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+    return hi[starts], lo[starts], np.add.reduceat(n, starts, dtype=np.int64)
+
+
 def _summed(asks: pd.DataFrame) -> pd.DataFrame:
     """Counts of the n-grams of a bucket, and of their contexts: all occurrences, and n-grams seen once, twice, more often."""
     out = []
     for language, own in asks.groupby("lang"):
-        parts = [_unlisted(*x) for x in zip(own["bits"], own["hi"], own["lo"])]
-        rows = pd.DataFrame({"hi": np.concatenate([a for a, _ in parts]), "lo": np.concatenate([b for _, b in parts]), "n": np.concatenate([unpacked(x, np.int32).astype(np.int64) for x in own["n"]])})
-        rows = rows.groupby(["hi", "lo"], as_index=False)["n"].sum()
-        hi, lo, n = (rows[c].to_numpy() for c in ("hi", "lo", "n"))
+        hi, lo, n = _counted(*[own[c] for c in ("bits", "hi", "lo", "n")])
+        rows = pd.DataFrame({"hi": hi, "lo": lo, "n": n})
         high, low = _context(hi, lo)
         starts = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
         sizes = np.diff(np.r_[starts, len(n)])
-        for name, value in (("total", n), ("n1", n == 1), ("n2", n == 2), ("n3", n > 2)):
-            rows[name] = np.repeat(np.add.reduceat(value.astype(np.int64), starts), sizes)
+        del high, low
+        # A context has fewer n-grams than there are code points; its occurrences have no such bound.
+        for name, value, kind in (("total", n, np.int64), ("n1", n == 1, np.int32), ("n2", n == 2, np.int32), ("n3", n > 2, np.int32)):
+            rows[name] = np.repeat(np.add.reduceat(value, starts, dtype=kind), sizes)
         rows.insert(0, "lang", language)
         out.append(rows)
     return pd.concat(out)
