@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import WORD_TABLE, reliable, sized_slices, small_batches, table, text_bytes
+from vistagrid.llm.common import WORD_TABLE, reliable, sized_slices, small_batches, table, text_bytes, tidied
 from vistagrid.llm.membership import member_filter
 from vistagrid.llm.registry import query
 
@@ -115,6 +115,7 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
+@tidied
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:
@@ -129,6 +130,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["id", "c", "n", "signature", "mark"])
 
 
+@tidied
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(band key, class) of every class; the key holds the band in its lowest bits."""
     for batch in batches:
@@ -197,6 +199,7 @@ def _pairs_of(sides: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterat
 LEAST = least_matches()
 
 
+@tidied
 def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per surviving member of a block pair: its partners are numbers of members of the same `job`."""
     for frame in _groups(batches, ["bucket", "job"]):
@@ -236,6 +239,7 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([partners.get(int(m)) for m in members], pa.binary())], names=["bucket", "job", "c", "place", "partners"])
 
 
+@tidied
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, links, root): exact similarity of the packed pairs; links count copies, roots join what is linked here."""
     for frame in _groups(batches, ["bucket", "job"]):
@@ -285,6 +289,7 @@ def _may_reach(a: int, b: int) -> bool:
     return reaches(min(a, b), a, b)
 
 
+@tidied
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingler = Shingler()
     for batch in batches:

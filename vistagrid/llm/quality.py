@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vistagrid.llm.common import appended, sized_slices, small_batches, stored, table, text_bytes, with_columns
+from vistagrid.llm.common import appended, sized_slices, small_batches, stored, table, text_bytes, tidied, with_columns
 from vistagrid.llm.registry import query
 
 ORDER = 5
@@ -62,8 +62,12 @@ def _two_numbers(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def code_points(keys: np.ndarray, points: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The five code points behind chunk keys whose digits are places in `points`, as two numbers."""
-    return _two_numbers([points[(keys >> (bits * back)) & ((1 << bits) - 1)] for back in range(ORDER - 1, -1, -1)])
+    """The five code points behind chunk keys whose digits are places in `points`, as two numbers, put together piece by piece."""
+    hi, lo = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
+    for a in range(0, len(keys), PIECE):
+        own = keys[a:a + PIECE]
+        hi[a:a + PIECE], lo[a:a + PIECE] = _two_numbers([points[(own >> (bits * back)) & ((1 << bits) - 1)] for back in range(ORDER - 1, -1, -1)])
+    return hi, lo
 
 
 class Grams:
@@ -73,13 +77,16 @@ class Grams:
     """
 
     def __init__(self, texts: list[bytes]):
-        self.lengths, runs = np.zeros(len(texts), dtype=np.int64), []
+        self.lengths, filled = np.zeros(len(texts), dtype=np.int64), 0
+        # A text has no more code points than bytes, so the runs are decoded into place.
+        codes = np.empty(sum(map(len, texts)) + (ORDER - 1) * len(texts), dtype=np.uint32)
         for at in range(0, len(texts), RUN):
             decoded = [t.decode("utf-8", "replace") for t in texts[at:at + RUN]]
             self.lengths[at:at + RUN] = [len(t) for t in decoded]
-            runs.append(np.frombuffer(("\x00" * (ORDER - 1)).join(["", *decoded]).encode("utf-32-le"), dtype=np.uint32))
-        codes = np.concatenate(runs or [np.empty(0, np.uint32)])
-        del runs
+            run = np.frombuffer(("\x00" * (ORDER - 1)).join(["", *decoded]).encode("utf-32-le"), dtype=np.uint32)
+            codes[filled:filled + len(run)] = run
+            filled += len(run)
+        codes = codes[:filled]
         codes += np.uint32(2)
         starts = np.cumsum(self.lengths + ORDER - 1) - self.lengths
         self.real = np.ones(len(codes), dtype=bool)
@@ -128,12 +135,20 @@ class Grams:
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct keys, how often each occurs, and their five code points as two numbers."""
         if self.direct:
-            parts = [np.unique(keys, return_counts=True) for keys in self._pieces()]
-            keys, n = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in (0, 1))
+            found, counts = [], []
+            for piece in self._pieces():
+                own, n = np.unique(piece, return_counts=True)
+                found.append(own)
+                counts.append(n.astype(np.int32))
+            keys = np.concatenate(found or [np.empty(0, np.int64)])
+            n = np.concatenate(counts or [np.empty(0, np.int32)])
+            del found, counts
             order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], n[order]
+            keys = keys[order]
+            n = n[order]
+            del order
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-            keys, n = keys[starts], np.add.reduceat(n, starts) if len(n) else n
+            keys, n = keys[starts], np.add.reduceat(n, starts, dtype=np.int64) if len(n) else n.astype(np.int64)
             return keys, n, *code_points(keys, self.points, self.bits)
         keys, at, n = np.unique(self.keys, return_index=True, return_counts=True)
         first = np.flatnonzero(self.real)[at] - ORDER + 1
@@ -144,7 +159,10 @@ class Grams:
         out = np.full(len(self.lengths), np.nan)
         full = self.lengths > 0
         if full.any():
-            each = np.concatenate([values[np.searchsorted(keys, piece)] for piece in self._pieces()])
+            each, filled = np.empty(int(self.lengths.sum()), dtype=values.dtype), 0
+            for piece in self._pieces():
+                each[filled:filled + len(piece)] = values[np.searchsorted(keys, piece)]
+                filled += len(piece)
             sums = np.add.reduceat(each, (np.cumsum(self.lengths) - self.lengths)[full], dtype=np.float64)
             out[full] = -sums / self.lengths[full]
         return out
@@ -170,6 +188,7 @@ def _rows_of(data: bytes) -> list[pa.RecordBatch]:
 
 def _chunked(text: str, lang: str):
     """Chunks of whole rows of one language."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, number = TaskContext.get(), 0
         waiting: dict[str, list[pa.RecordBatch]] = {}
@@ -312,6 +331,7 @@ ASKED = "bucket int, chunk bigint, lang string, bits int, hi binary, lo binary,
 
 def _asked(text: str, buckets: int):
     """Distinct n-grams of every chunk and how often each occurs, packed by bucket."""
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, language, data in zip(*[batch.column(c).to_pylist() for c in ("chunk", "lang", "rows")]):
@@ -346,6 +366,7 @@ def _counted(bits, first, second, counts) -> tuple[np.ndarray, np.ndarray, np.nd
     return hi[starts], lo[starts], np.add.reduceat(n, starts, dtype=np.int64)
 
 
+@tidied
 def _summed(asks: pd.DataFrame) -> pd.DataFrame:
     """Counts of the n-grams of a bucket, and of their contexts: all occurrences, and n-grams seen once, twice, more often."""
     out = []
@@ -364,25 +385,29 @@ def _summed(asks: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def _found(hi: np.ndarray, lo: np.ndarray, values: np.ndarray, want_hi: np.ndarray, want_lo: np.ndarray) -> np.ndarray:
-    """Values of the wanted n-grams: bisection in the array of sorted hashes, on to the next equal hash where two collide."""
+def _finder(hi: np.ndarray, lo: np.ndarray, values: np.ndarray):
+    """Looks up values of wanted n-grams: bisection in the array of sorted hashes, on to the next equal hash where two collide."""
     hashes = hash_longs(hi, lo)
     order = np.argsort(hashes, kind="stable")
     hashes, hi, lo, values = hashes[order], hi[order], lo[order], values[order]
-    at = np.searchsorted(hashes, hash_longs(want_hi, want_lo))
-    while (wrong := (hi[at] != want_hi) | (lo[at] != want_lo)).any():
-        at = at + wrong
-    return values[at]
 
+    def found(want_hi: np.ndarray, want_lo: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(hashes, hash_longs(want_hi, want_lo))
+        while (wrong := (hi[at] != want_hi) | (lo[at] != want_lo)).any():
+            at = at + wrong
+        return values[at]
 
+    return found
+
+
+@tidied
 def _answered(asks: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
     out = []
     for language, own in asks.groupby("lang"):
         known = model[model["lang"] == language]
-        parts = [_unlisted(*x) for x in zip(own["bits"], own["hi"], own["lo"])]
-        found = _found(*(known[c].to_numpy() for c in ("hi", "lo", "value")), np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])).astype(np.float32)
-        ends = np.cumsum([len(a) for a, _ in parts])
-        out += [(chunk, bucket, packed(v)) for chunk, bucket, v in zip(own["chunk"], own["bucket"], np.split(found, ends[:-1]))]
+        found = _finder(*(known[c].to_numpy() for c in ("hi", "lo", "value")))
+        # The lists of the chunks are many times the model of the bucket, so they are unpacked and answered one after the other.
+        out += [(chunk, bucket, packed(found(*_unlisted(*lists)).astype(np.float32))) for chunk, bucket, *lists in zip(*(own[c] for c in ("chunk", "bucket", "bits", "hi", "lo")))]
     return pd.DataFrame(out, columns=["chunk", "bucket", "value"])
 
 
@@ -394,16 +419,21 @@ def _scored(text: str, carry: list[str], keep_only: bool, buckets: int):
 
     With `keep_only`, rows that fail the base rules leave here.
     """
-    def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        row = chunks.iloc[0]
-        rows = pa.Table.from_batches(_rows_of(row["rows"]))
-        texts = _texts(row["rows"], text)
+    def bits_of(texts: list[bytes], answers: pd.DataFrame) -> np.ndarray:
         grams = Grams(texts)
         keys, _, hi, lo = grams.distinct()
         values, found = np.zeros(len(keys), dtype=np.float32), dict(zip(answers["bucket"], answers["value"]))
         for bucket, at in _cut_by_bucket(hi, lo, buckets):
             values[at] = unpacked(found[bucket], np.float32)
-        bits = grams.bits_per_char(keys, values)
+        del hi, lo
+        return grams.bits_per_char(keys, values)
+
+    @tidied
+    def run(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        row = chunks.iloc[0]
+        rows = pa.Table.from_batches(_rows_of(row["rows"]))
+        texts = [t for b in rows.to_batches() for t in text_bytes(b.column(text))]
+        bits = bits_of(texts, answers)
         long = np.array([t.count(b" ") + t.count(b"\n") + 1 >= MIN_WORDS for t in texts])
         counts = [base_counts(t) for t in texts]
         counts = [(*c, base_failed(c[0], c[4])) for c in counts]
@@ -485,6 +515,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep_
         _, schema = appended(source.select(*[F.col(f"`{c}`") for c in carry]), STAT_COLUMNS)
     scored = scored_chunks(source, text, lang, carry, keep_only)
 
+    @tidied
     def judged(batches):
         for batch in batches:
             for data, bits, low, high in zip(*[batch.column(c).to_pylist() for c in ("rows", "bits", "low", "high")]):
