@@ -5,7 +5,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vistagrid.functions import catalog, geo, scoring
@@ -14,7 +17,6 @@ from vistagrid.functions.scalars import clamp, clamp01, round_half_up
 from vistagrid.functions.text import normalize_profile
 from vistagrid.operators.paths import downsample_step
 from vistagrid.operators.profiles import blend_profiles
-from vistagrid.operators.spatial import salted_join
 
 # Fixed values of the explanation rules.
 BASELINE_M, BASELINE_TILES, SAMPLES = 50_000.0, 1000, 160
@@ -36,63 +38,70 @@ def explained_components(tiles: DataFrame) -> DataFrame:
 # --- baseline -------------------------------------------------------------------------------------------------------
 
 
-def _nodes(tiles: DataFrame, path: list[str]) -> DataFrame:
-    """Tile sums per node of the cell pyramid, with the middle of the node's tiles and their greatest distance from it."""
-    a, b, x, y = F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")
-    rows = tiles.groupBy(*path).agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in AVERAGED], a.alias("a"), b.alias("b"), x.alias("x"), y.alias("y"))
-    rows = rows.withColumns({"mlat": (F.col("a") + F.col("b")) / 2, "mlon": (F.col("x") + F.col("y")) / 2})
-    reach = functools.reduce(F.greatest, [geo.haversine("mlat", "mlon", p, q) for p in ("a", "b", "mlat") for q in ("x", "y")])
-    return rows.withColumn("reach", reach + 1.0).drop("a", "b", "x", "y")
-
-
-def baseline_averages(starts: DataFrame, tiles: DataFrame, grid: HexGrid, key: str = "request_id", metres: float = BASELINE_M, most: int = BASELINE_TILES, levels: tuple[int, ...] = (5, 6)) -> DataFrame:
+# Starts of a home that one task takes, and starts that are measured at a time.
+PART, AT_A_TIME = 4096, 64
+
+
+def _nearest_sums(metres: float, most: int):
+    """Component sums over the `most` nearest tiles of each start, for the starts and the tiles in reach of one part of a home."""
+    def run(starts: pa.Table, tiles: pa.Table) -> pa.Table:
+        # In the order of their cells, so that the first of equal distances is the smaller cell.
+        tiles = tiles.take(pc.sort_indices(tiles, [("cell", "ascending")]))
+        tlat, tlon = (tiles[k].to_numpy() for k in ("tlat", "tlon"))
+        values = np.nan_to_num(np.column_stack([tiles[k].to_numpy() for k in AVERAGED]))
+        # Sums of multiples of 2^-30 are exact in any order, so a mean on the border of two roundings doesn't depend on noise.
+        coarse = np.rint(values * 2.0**30) / 2.0**30
+        fine = values - coarse
+        slat, slon = (starts[k].to_numpy() for k in ("slat", "slon"))
+        order = np.lexsort((slon, np.floor(slat * 10)))
+        slat, slon = slat[order], slon[order]
+        high, n, sums = metres / 111_000.0, np.zeros(len(slat), dtype=np.int64), np.zeros((len(slat), len(AVERAGED)))
+        for i in range(0, len(slat), AT_A_TIME):
+            y, x = slat[i:i + AT_A_TIME], slon[i:i + AT_A_TIME]
+            wide = high / np.cos(np.radians(min(89.0, np.abs(y).max() + high)))
+            near = np.flatnonzero((tlat >= y.min() - high) & (tlat <= y.max() + high) & (tlon >= x.min() - wide) & (tlon <= x.max() + wide))
+            if not len(near):
+                continue
+            half_lat = np.sin(np.radians(tlat[near] - y[:, None]) / 2)
+            half_lon = np.sin(np.radians(tlon[near] - x[:, None]) / 2)
+            a = half_lat * half_lat + np.cos(np.radians(y))[:, None] * np.cos(np.radians(tlat[near])) * half_lon * half_lon
+            d = np.arctan2(np.sqrt(a), np.sqrt(1 - a)) * (2 * geo.EARTH_M)
+            d[d > metres] = np.inf
+            if len(near) > most:
+                last = np.partition(d, most - 1, axis=1)[:, most - 1:most]
+                ties = (d == last) & (last < np.inf)
+                taken = (d < last) | (ties & (np.cumsum(ties, axis=1) <= most - (d < last).sum(axis=1, keepdims=True)))
+            else:
+                taken = d < np.inf
+            weights = taken.astype(float)
+            n[i:i + AT_A_TIME], sums[i:i + AT_A_TIME] = taken.sum(axis=1), weights @ coarse[near] + weights @ fine[near]
+        some = n > 0
+        return pa.table({"slat": slat[some], "slon": slon[some], "baseline_tiles": n[some], **{k: sums[some, j] for j, k in enumerate(AVERAGED)}})
+
+    return run
+
+
+def baseline_averages(starts: DataFrame, tiles: DataFrame, grid: HexGrid, key: str = "request_id", metres: float = BASELINE_M, most: int = BASELINE_TILES) -> DataFrame:
     """Component means over the `most` nearest tiles within `metres` of each start: key, the seven means, baseline_tiles.
 
-    `tiles` as from `explained_components`. Nobody gets a list of tiles: a start meets the sums of whole cells of the
-    coarsest level. Distances to a cell have a lower and an upper bound, and counts of cells under these bounds tell which
-    cells are wholly among the nearest and which wholly outside; only the border between is opened, level by level, down to
-    single tiles. Starts at the same place ask once. Ties go to the smaller cell.
+    `tiles` as from `explained_components`, one per cell. Starts live in a home, a cell whose one-cell ring reaches `metres`; a
+    tile is copied to the few homes it can matter to, and no pair of start and tile ever leaves its task: distances of many
+    starts are computed and added up over whole arrays. A home of many starts is dealt in parts, as many as its starts ask
+    for; the table of homes is bounded by the lattice. Starts at the same place ask once. Ties go to the smaller cell.
     """
-    names = [f"__c{r}" for r in levels]
-    placed = tiles.withColumns({n: grid.cell_of("lat", "lon", r) for n, r in zip(names, levels)})
-    asked = starts.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("lat").alias("slat"), F.col("lon").alias("slon")).distinct()
-    ring = k_ring(grid.cell_of("slat", "slon", levels[0]), grid.ring_for_metres(metres, "slat", levels[0]))
-    place = Window.partitionBy("slat", "slon")
-    front = asked.withColumns({"left": F.lit(most).cast("bigint"), "closed": F.lit(False), "path": F.explode(ring)})
-    carried = ["n", *AVERAGED]
-    for i in range(len(levels)):
-        path = names[:i + 1]
-        nodes = _nodes(placed, path).withColumn("path", F.concat_ws("/", *path)).drop(*path)
-        nodes = nodes.select("path", *[F.col(c).alias(f"__{c}") for c in carried], "mlat", "mlon", "reach")
-        # Closed rows keep their sums; a path that no node has lets them pass the join unmatched, spread over the tasks.
-        met = salted_join(front, nodes, "path", "inner" if i == 0 else "left", by=["slat", "slon"])
-        met = met.withColumns({c: F.col(f"__{c}") if i == 0 else F.when(F.col("closed"), F.col(c)).otherwise(F.col(f"__{c}")) for c in carried}).drop(*[f"__{c}" for c in carried])
-        d = geo.haversine("slat", "slon", "mlat", "mlon")
-        met = met.withColumns({"low": F.greatest(F.lit(0.0), d - F.col("reach")), "high": d + F.col("reach")})
-        count = F.when(~F.col("closed"), F.col("n"))
-        met = met.withColumns({"under_high": F.sum(count).over(place.orderBy("closed", "high").rangeBetween(Window.unboundedPreceding, 0)),
-                               "under_low": F.sum(count).over(place.orderBy("closed", "low").rangeBetween(Window.unboundedPreceding, 0))})
-        bound = F.min(F.when(~F.col("closed") & (F.col("under_high") >= F.col("left")), F.col("high"))).over(place)
-        sure = F.min(F.when(~F.col("closed") & (F.col("under_low") > F.col("left")), F.col("low"))).over(place)
-        met = met.withColumns({"bound": F.least(F.coalesce(bound, F.lit(metres)), F.lit(metres)), "sure": F.coalesce(sure, F.lit(float("inf")))})
-        met = met.where(F.col("closed") | (F.col("low") <= F.col("bound")))
-        inside = ~F.col("closed") & (F.col("high") < F.col("sure")) & (F.col("high") <= metres)
-        met = met.withColumn("now", inside)
-        met = met.withColumn("left", F.col("left") - F.coalesce(F.sum(F.when(F.col("now"), F.col("n"))).over(place), F.lit(0)))
-        nobody = F.concat(F.lit("-"), F.pmod(F.xxhash64("slat", "slon", "path"), F.lit(1 << 20)).cast("string"))
-        met = met.withColumn("closed", F.col("closed") | F.col("now")).withColumn("path", F.when(F.col("closed"), nobody).otherwise(F.col("path")))
-        front = met.select("slat", "slon", "left", "closed", "path", *carried)
-        if i + 1 < len(levels):
-            # An open node is followed by its children: the child paths of a node are listed once for all starts.
-            below = placed.select(*names[:i + 2]).distinct().select(F.concat_ws("/", *names[:i + 1]).alias("path"), F.concat_ws("/", *names[:i + 2]).alias("child"))
-            front = salted_join(front, below, "path", "left", by=["slat", "slon"]).withColumn("path", F.coalesce("child", "path")).drop("child")
-    single = placed.select(F.concat_ws("/", *names).alias("path"), "cell", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), *[F.col(k).alias(f"__{k}") for k in AVERAGED])
-    rows = salted_join(front, single, "path", "left", by=["slat", "slon"]).withColumn("d", F.when(~F.col("closed"), geo.haversine("slat", "slon", "tlat", "tlon")))
-    rows = rows.where(F.col("closed") | (F.col("d") <= metres))
-    rank = F.row_number().over(Window.partitionBy("slat", "slon", "closed").orderBy("d", "cell"))
-    rows = rows.withColumn("rank", rank).where(F.col("closed") | (F.col("rank") <= F.col("left")))
-    one = {k: F.when(F.col("closed"), F.col(k)).otherwise(F.col(f"__{k}")) for k in AVERAGED}
-    sums = rows.groupBy("slat", "slon").agg(F.sum(F.when(F.col("closed"), F.col("n")).otherwise(1)).alias("baseline_tiles"), *[F.sum(v).alias(k) for k, v in one.items()])
+    res, tasks = grid.resolution_for(metres), int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    located = starts.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    homes = grid.placed(located, "slat", "slon", "home", res).groupBy("home").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    asked = grid.placed(located.distinct(), "slat", "slon", "home", res).join(F.broadcast(homes), "home")
+    asked = asked.select("home", F.pmod(F.xxhash64("slat", "slon"), F.col("parts")).alias("part"), "slat", "slon")
+    # The ring is taken at the latitude of the farthest start, where degrees of longitude are shortest.
+    ring = k_ring(grid.cell_of("tlat", "tlon", res), grid.ring_for_metres(metres, F.least(F.lit(89.0), F.abs("tlat") + metres / 111_000.0), res))
+    spread = tiles.select("cell", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), *AVERAGED)
+    spread = spread.repartition(tasks).withColumn("home", F.explode(ring)).join(F.broadcast(homes), "home")
+    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    schema = "slat double, slon double, baseline_tiles bigint, " + ", ".join(f"{k} double" for k in AVERAGED)
+    met = [df.repartition(tasks, "home", "part").groupBy("home", "part") for df in (asked, spread)]
+    sums = met[0].cogroup(met[1]).applyInArrow(_nearest_sums(metres, most), schema)
     means = sums.select("slat", "slon", *[round_half_up(clamp01(F.col(k) / F.col("baseline_tiles")), 4).alias(k) for k in AVERAGED], "baseline_tiles")
     return starts.select(key, "lat", "lon").join(means, (F.col("lat") == F.col("slat")) & (F.col("lon") == F.col("slon"))).drop("lat", "lon", "slat", "slon")
 
