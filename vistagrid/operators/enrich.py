@@ -173,10 +173,10 @@ def canopy_point(tiles: DataFrame, raster: DataFrame, weights: DataFrame, grid:
 
 def canopy_overlap(tiles: DataFrame, polygons: DataFrame, weights: DataFrame, grid: HexGrid) -> DataFrame:
     """cell, canopy: overlap-area weighted mean over classified polygons; exact clipping against the hexagon."""
-    pairs = sp.tile_rings(tiles.select("cell"), grid).join(sp.cover_polygons(polygons.select("class_id", "ring"), grid), "cell")
+    pairs = sp.tile_rings(tiles.select("cell").join(sp.cover_polygons(polygons.select("class_id", "ring"), grid), "cell"), grid)
     box, hexbox = geo.envelope("ring"), geo.envelope("tile_ring")
     pairs = pairs.withColumns({"b": box, "h": hexbox}).where("b.min_lon < h.max_lon AND b.max_lon > h.min_lon AND b.min_lat < h.max_lat AND b.max_lat > h.min_lat")
-    pairs = pairs.withColumn("area", sp.overlap_area("ring", "tile_ring")).where("area > 0").join(F.broadcast(weights), "class_id", "left")
+    pairs = sp.with_overlap_area(pairs.select("cell", "class_id", "ring", "tile_ring")).where("area > 0").join(F.broadcast(weights), "class_id", "left")
     return pairs.groupBy("cell").agg(clamp01(F.sum(F.col("area") * F.coalesce("canopy_weight", F.lit(0.0))) / F.sum("area")).alias("canopy"))
 
 
